@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -36,3 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+def numbered(rows: DataFrame, group: str, cell: Sequence[Column], inside: Sequence[Column], name: str) -> DataFrame:
+    """rows with gapless numbers from 0 in each group, by the cells' order and then by the order inside. Only a cell's
+    rows meet in one task; of the others just the cells' counts are needed."""
+    keys = [f"__cell{k}" for k in range(len(cell))]
+    rows = rows.withColumns(dict(zip(keys, cell)))
+    before = Window.partitionBy(group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(group, *keys).count().select(group, *keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    nth = F.row_number().over(Window.partitionBy(group, *keys).orderBy(*inside))
+    out = rows.withColumn("__nth", nth).join(first, [group, *keys])
+    return out.withColumn(name, (F.col("__first") + F.col("__nth") - 1).cast("long")).drop("__first", "__nth", *keys)

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelseries.llm.common import stored
+from pixelseries.llm.common import numbered, stored
 
 SHARDS = 40
 CELL_ROWS = 100_000
@@ -62,11 +62,5 @@ def place(docs: DataFrame, shards: int = SHARDS, cell_rows: int = CELL_ROWS) ->
     )
     rows = stored(rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)}), "placed")
     cells = max(1, -(-rows.count() // (shards * cell_rows)))
-    rows = rows.withColumn("cell", F.pmod("spread", F.lit(cells)).cast("int"))
-    order = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("shard", "cell").count()  # a row for each cell
-    first = sizes.select("shard", "cell", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "cell").orderBy("doc_id", "spread", "text_crc32", "size")
-    numbered = rows.withColumn("nth", F.row_number().over(inside))
-    out = numbered.join(first, ["shard", "cell"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard")
+    rows = numbered(rows, "shard", [F.pmod("spread", F.lit(cells))], [F.col(c) for c in ("doc_id", "spread", "text_crc32", "size")], "slot")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
