@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelseries.llm import mixing, quality, sharding, simhash, token_counts, token_output, toxicity, url_filter
+from pixelseries.llm import decontam, mixing, quality, sharding, simhash, token_counts, token_output, toxicity, url_filter
 from pixelseries.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each leak: a document and a benchmark item that it contains."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_token_output": op3_token_output,
     "op5_url_filters": op5_url_filters,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
