@@ -11,6 +11,7 @@ equal texts are judged row by row; an empty table gives an empty result. Extra c
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +60,12 @@ def log_ratios(counts: DataFrame, smooth: float = 1.0) -> list[int]:
     return [round(SCALE * (math.log((t + smooth) / m) - math.log((r + smooth) / n))) for r, t in zip(raw, trusted)]
 
 
-def base_features(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts and h (word hashes) of each row."""
+def base_features(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The carried columns, the base counts and h (word hashes) of each row."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select(
-        "doc_id",
+        *carry,
         F.length(F.translate("text", SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
@@ -83,16 +84,22 @@ def base_features(docs: DataFrame) -> DataFrame:
     # a repeated window covers the words up to the next one's start, WINDOW at most
     cover = F.transform("starts", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get("starts", j + 1) - x, F.lit(WINDOW))))
     rows = rows.withColumn("n_repeat_words", F.coalesce(F.aggregate(cover, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
-    return rows.select("doc_id", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "h")
+    return rows.select(*carry, n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "h")
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_TRUSTED) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score (mean log ratio), kept."""
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_TRUSTED, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score (mean log ratio), kept."""
     model = log_ratios(bucket_counts(docs, labels, most))
     weight = F.split(F.lit(",".join(map(str, model))), ",").cast("array<bigint>")  # folded to one literal array
     total = F.aggregate(_buckets(F.col("h")), F.lit(0).cast("long"), lambda a, b: a + F.get(weight, b))
     grams = 2 * F.size("h") - 1
-    rows = base_features(docs).withColumn("score", F.when(grams > 0, total / (grams * F.lit(float(SCALE)))))
+    rows = base_features(docs, carry).withColumn("score", F.when(grams > 0, total / (grams * F.lit(float(SCALE)))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))).drop("h")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
+    """The documents, with all their columns, that pass the rules."""
+    whole = docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("__row"))
+    return quality(whole, labels, carry=("__row",), **options).where("kept").select("__row.*")

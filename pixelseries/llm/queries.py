@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelseries.llm import decontam, mixing, quality, sharding, simhash, token_counts, token_output, toxicity, url_filter
+from pixelseries.llm import decontam, mixing, pii, quality, sharding, simhash, token_counts, token_output, toxicity, url_filter
 from pixelseries.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_token_output": op3_token_output,
+    "op4_personal_data": op4_personal_data,
     "op5_url_filters": op5_url_filters,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_sharding": op7_sharding,
