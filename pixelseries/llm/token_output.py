@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,6 +39,8 @@ END = 2
 BLOCK = 1 << 16
 MAGIC = b"BPL1"
 CACHED_WORDS = 1 << 19
+CACHED_CORES = 1 << 20
+GROUP_BYTES = 1 << 19  # texts are encoded together up to this size
 #: Closing characters that make a piece of their own behind a letter.
 TAIL = b".,!?*%&#$|:;)"
 
@@ -100,27 +103,24 @@ class Encoder:
         return (core.lower() if core.isalpha() else core), word[len(core) :]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+        if len(self.cores) > CACHED_CORES:
             self.cores.clear()
         parts = {w: self.cut(w) for w in words}
-        new = list({p for pair in parts.values() for p in pair if p and p not in self.cores})
-        for k in range(0, len(new), 4096):
-            batch = new[k : k + 4096]
-            for w, e in zip(batch, self.library.encode_batch_fast([w.decode() for w in batch], add_special_tokens=False)):
-                self.cores[w] = np.array(e.ids, self.dtype).tobytes()
-        self.cores[b""] = b""
+        new = list({p for pair in parts.values() for p in pair if p not in self.cores})
+        for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            self.cores[w] = np.array(e.ids, self.dtype).tobytes()
         for w, (core, tail) in parts.items():
             self.words[w] = self.cores[core] + self.cores[tail]
 
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
         known = self.words
-        if missing := {w for w in words if w not in known}:
-            if len(known) + len(missing) > CACHED_WORDS:
-                missing = set(words)
+        if missing := {w for words in split for w in words if w not in known}:
             self.learn(missing)
-        return b"".join([known[w] for w in words])
+        get = known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -162,13 +162,17 @@ def write_ids(docs: DataFrame, to: str, path: str = DEFAULT, end: int = END, blo
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, kinds)], schema=kinds)
 
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
-            for d, t in zip(b.column(0).to_pylist(), texts):
-                ids = enc.encode(t.as_py()) + stop
-                held += ids
-                index.append([d, len(ids) // width])
-                while len(held) >= block * width:
-                    yield out(block)
+            texts, ids = b.column(1).cast(pa.binary()), b.column(0)
+            sizes = pc.binary_length(texts).to_numpy()
+            group = np.cumsum(sizes, dtype=np.int64) // GROUP_BYTES
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(texts)]
+            for i, j in zip(cuts, cuts[1:]):
+                for d, t in zip(ids[i:j].to_pylist(), enc.encode(texts[i:j].to_pylist())):
+                    held += t
+                    held += stop
+                    index.append([d, len(t) // width + 1])
+                    while len(held) >= block * width:
+                        yield out(block)
         if held:
             yield out(len(held) // width)
 
