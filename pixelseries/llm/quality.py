@@ -96,7 +96,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mo
     rows = base_features(docs, carry).withColumn("score", F.when(grams > 0, total / (grams * F.lit(float(SCALE)))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))).drop("h")
+    # the row number is always there; with it, a filter on the verdict stays above the features it is made of, instead of
+    # repeating all their expressions below
+    verdict = F.coalesce(F.col("score") >= threshold, F.lit(False)) & (F.monotonically_increasing_id() >= 0)
+    return rows.withColumn("kept", ~F.col("base_failed") & verdict).drop("h")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
