@@ -26,6 +26,7 @@ CAP = 2
 UNIT = 1_000_000_000  # rates are rounded to so many parts, so that counting with them is exact
 MEND_ROUNDS = 6
 CELL_ROWS = 100_000
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, total: float = TOTAL, cap: int = CAP) -> DataFrame:
@@ -88,9 +89,11 @@ def mix(
     totals = rows.groupBy("grp").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = stored(source_targets(totals.drop("n"), weights, total, cap), "targets")
     cells = stored(rows.groupBy("grp", "prior").agg(F.sum("size").alias("mass")), "cells")
-    plan = targets.join(balance(cells, targets, cap), "grp")
+    plan = targets.join(balance(cells, targets, cap), "grp").drop("source")
+    # broadcast behind a check of its size: dealt by source, a source's rows would stay in one task up to their numbering
+    few = targets.count() <= BROADCAST_SOURCES
 
-    rated = rows.join(plan.drop("source"), "grp").withColumn("rate", F.least(F.lit(float(cap)), F.col("prior") * F.exp("lam")))
+    rated = rows.join(F.broadcast(plan) if few else plan, "grp").withColumn("rate", F.least(F.lit(float(cap)), F.col("prior") * F.exp("lam")))
     units = F.when(F.col("source_size") > 0, F.bround(F.col("rate") * UNIT)).otherwise(0).cast("long")
     rated = rated.withColumn("whole", F.floor(units / UNIT)).withColumn("part", units - F.col("whole") * UNIT)
     chunks = max(1, -(-rows.count() // cell_rows))
@@ -128,5 +131,5 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     shares = mix(docs, **options).where("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").cast("int").alias("__copies"))
     shares = shares.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("size").alias("__size"), "__copies")
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__null": F.col("doc_id").isNull(), "__size": F.size(words(F.col("text"))).cast("long")})
-    joined = keyed.join(shares, ["__id", "__null", "__size"])
+    joined = keyed.join(shares.hint("merge"), ["__id", "__null", "__size"])  # files of ids shrink so well that their size misleads
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
