@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -20,7 +21,8 @@ def db(small: str) -> duckdb.DuckDBPyConnection:
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
-    text = lambda v: "null" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    number = lambda v: isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_))
+    text = lambda v: "null" if pd.isna(v) else f"{float(v):.6f}" if number(v) else str(v)
     return sorted(tuple(map(text, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
