@@ -54,3 +54,9 @@ def legacy_classes(classes: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole as double; 0 if there is no whole."""
     return F.when(whole > 0, F.lit(100.0) * part / whole).otherwise(F.lit(0.0))
+
+
+def stored_value(value: Column, highest: int = 65535) -> Column:
+    """Null and NaN as 0, the no-data value; the rest clamped to the stored type and truncated."""
+    known = F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.least(F.lit(float(highest)), F.greatest(F.lit(0.0), known)).cast("int")

@@ -13,6 +13,7 @@ from pixelseries.operators import composite, grid, layout, ledger, profile, samp
 from pixelseries.plans import views as V
 from pixelseries.plans.views import with_views
 from pixelseries.sources import catalog, lists, sinks
+from pixelseries.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -668,3 +669,57 @@ def batch_score(s: SparkSession, d: str) -> DataFrame:
         return score.two_sensor_scorer(a, b, wa, wb, reduce)
 
     return score.score_batches(s2.join(s1, "px"), ["s2", "s1"], "px", make, 16)
+
+
+@query("SELECT vec_id, round(0.7 * z[1] + 0.3 * coalesce(lead(z[1]) OVER w, first(z[1]) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 6) AS m0 FROM rep WINDOW w AS (PARTITION BY vec_id % 64 ORDER BY (vec_id * 7919) % 1000003, vec_id)", "rep")
+def mixup_pairs(s: SparkSession, d: str) -> DataFrame:
+    out = sampling.mixup(V.rep(s, d).select("vec_id", "z"), "vec_id", "z", 0.7)
+    return out.select("vec_id", r6(F.get("mixed", F.lit(0))).alias("m0"))
+
+
+@query("SELECT item_id, least(65535, greatest(0, CAST(trunc(amp * 30000) AS INTEGER))) AS stored FROM sar", "sar")
+def stored_values(s: SparkSession, d: str) -> DataFrame:
+    return V.sar(s, d).select("item_id", optical.stored_value(F.col("amp") * 30000).alias("stored"))
+
+
+@query(None)
+def utm_bounds(s: SparkSession, d: str) -> DataFrame:
+    boxes = V.scenes(s, d).where("abs(miny) < 80 and abs(maxy) < 80")
+    return grid.utm_bounds(boxes, crs.simple_zone((F.col("minx") + F.col("maxx")) / 2), "item_id")
+
+
+# --- streams: all files read as a stream, the result as of the end ---------------------------------------------------
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    return arrivals.timed(V.sar_rows(arrivals.table_stream(s, d, "events")))
+
+
+def _settled(stream: DataFrame) -> DataFrame:
+    return arrivals.settled(stream, arrivals.work_folder(stream.sparkSession))
+
+
+@query("SELECT date AS day, orbit, pol, y, x, arg_min(code, item_id) AS code FROM coded WHERE code <> 0 GROUP BY ALL", "coded", dates=("day",))
+def stream_daily_radar(s: SparkSession, d: str) -> DataFrame:
+    return _settled(arrivals.daily_radar(_stream(s, d)))
+
+
+@query("SELECT date AS day, y, x, min(item_id) AS item_id FROM sar WHERE amp > 0 GROUP BY ALL", "sar", dates=("day",))
+def stream_daily_first(s: SparkSession, d: str) -> DataFrame:
+    return _settled(arrivals.daily_first(_stream(s, d).withColumn("valid", F.col("amp") > 0)))
+
+
+@query("SELECT date AS day, orbit, count(*) AS n FROM sar GROUP BY ALL", "sar", dates=("day",))
+def stream_daily_pixels(s: SparkSession, d: str) -> DataFrame:
+    return _settled(arrivals.daily_pixels(_stream(s, d), "orbit"))
+
+
+@query("SELECT strftime(CAST(date - CAST(k AS INTEGER) AS DATE), '%Y-%m-%d') AS start, count(*) AS n FROM sar, range(10) t(k) GROUP BY ALL", "sar")
+def stream_sliding_activity(s: SparkSession, d: str) -> DataFrame:
+    return _settled(arrivals.sliding_activity(_stream(s, d))).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
+
+
+@query("SELECT item_id, px FROM sar", "sar")
+def stream_once(s: SparkSession, d: str) -> DataFrame:
+    out = arrivals.once(_stream(s, d)).select("item_id", "px")
+    return arrivals.drained(out, arrivals.work_folder(s))

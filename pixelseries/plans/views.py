@@ -38,9 +38,14 @@ def roi(spark: SparkSession, d: str) -> DataFrame:
 
 def sar(spark: SparkSession, d: str) -> DataFrame:
     """Radar observations of 8 x 8 pixels: item_id, px, y, x, ts, date, orbit, pol, tile, amp."""
+    return sar_rows(table(spark, d, "events"))
+
+
+def sar_rows(events: DataFrame) -> DataFrame:
+    """The same of a table or stream of events."""
     kind, px = F.col("event_type"), (F.col("user_id") % RADAR_PIXELS).cast("int")
     orbit = F.when(kind.isin("view", "click"), "ascending").when(kind.isin("purchase", "signup"), "descending")
-    return table(spark, d, "events").select(
+    return events.select(
         F.col("event_id").alias("item_id"), px.alias("px"), F.floor(px / 8).cast("int").alias("y"), (px % 8).alias("x"), "ts", F.to_date("ts").alias("date"),
         F.coalesce(orbit, F.lit("unknown")).alias("orbit"), F.when(F.col("event_id") % 2 == 0, "vv").otherwise("vh").alias("pol"),
         (F.col("event_id") % 3).cast("int").alias("tile"), F.when(F.col("event_id") % 17 == 0, 0.0).otherwise(F.col("value") / 100).alias("amp"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -103,6 +104,32 @@ def ledger_upsert(stream: DataFrame, path: str, checkpoint: str, key: str = "til
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (found or f"file://{tempfile.mkdtemp(prefix='spark-')}").rstrip("/")
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's file or files as a stream."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def settled(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs an aggregating stream over all that is there now and returns its complete result as of the end."""
+    spark, out = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/rows")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
 def drained(stream: DataFrame, folder: str) -> DataFrame:
     """Runs a stream over all that is there now and returns what it has appended."""
     spark, out = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
