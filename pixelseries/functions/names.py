@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TILE_ID = r"^(?:tile_)?zone(\d+)_r(\d+)_c(\d+)"
-NETWORK_WORDS = ("timeout", "connection", "network", "unreachable", "refused", "reset", "dns", "ssl", "socket", "http", "gateway", "temporarily")
+#: What network failures say; fixed values.
+NETWORK_WORDS = (
+    "timeout", "connection", "network", "exceeded the maximum allowed time", "read timeout", "connect timeout", "unreachable", "refused", "reset", "temporary failure",
+    "service unavailable",
+)
 
 
 def tile_part(tile_id: Column, part: int) -> Column:
@@ -28,17 +32,16 @@ def mosaic_name(date: Column, pol: Column | None = None, orbit: Column | None =
     return F.concat(day, F.lit("_mosaic")) if pol is None else F.concat_ws("_", day, pol, orbit)
 
 
-def partition_label(start: Column, end: Column) -> Column:
-    """Name of a date range by the parts in which its ends differ."""
-    y0, y1, m0, m1 = F.date_format(start, "yyyy"), F.date_format(end, "yyyy"), F.date_format(start, "MM"), F.date_format(end, "MM")
-    d0, d1 = F.date_format(start, "dd"), F.date_format(end, "dd")
-    same_day = F.concat_ws("", y0, m0, d0)
-    return (
-        F.when(start == end, same_day)
-        .when((y0 == y1) & (m0 == m1), F.concat(y0, m0, F.lit("_"), d0, F.lit("-"), d1))
-        .when(y0 == y1, F.concat(y0, F.lit("_"), m0, d0, F.lit("-"), m1, d1))
-        .otherwise(F.concat(y0, m0, d0, F.lit("-"), y1, m1, d1))
+def partition_label(start: Column, end: Column, index: Column, prefix: str) -> Column:
+    """Name of a date range: its first day, then as much of the last one as differs."""
+    day = lambda c, form: F.date_format(c, form)
+    last = (
+        F.when(start == end, "")
+        .when(day(start, "yyyyMM") == day(end, "yyyyMM"), F.concat(F.lit("-"), day(end, "dd")))
+        .when(F.year(start) == F.year(end), F.concat(F.lit("-"), day(end, "MMdd")))
+        .otherwise(F.concat(F.lit("-"), day(end, "yyyyMMdd")))
     )
+    return F.concat(F.lit(f"{prefix}_P"), index.cast("string"), F.lit("_"), day(start, "yyyyMMdd"), last)
 
 
 def network_error(message: Column) -> Column:

@@ -12,20 +12,31 @@ INVALID_CLASSES = (0, 1, 2, 3, 8, 9)
 
 #: Labels of the twelve scene classes; fixed values.
 CLASS_LABELS = {
-    0: "No Data",
-    1: "Saturated / Defective",
-    2: "Dark Area Pixels",
-    3: "Cloud Shadows",
+    0: "No data",
+    1: "Saturated or defective",
+    2: "Dark area pixels",
+    3: "Cloud shadows",
     4: "Vegetation",
-    5: "Not Vegetated",
+    5: "Not vegetated",
     6: "Water",
     7: "Unclassified",
-    8: "Cloud Medium Probability",
-    9: "Cloud High Probability",
-    10: "Thin Cirrus",
-    11: "Snow / Ice",
+    8: "Cloud medium probability",
+    9: "Cloud high probability",
+    10: "Thin cirrus",
+    11: "Snow",
 }
 
+#: Names of the bands by their codes; fixed values.
+BAND_NAMES = {
+    "B02": "blue", "B03": "green", "B04": "red", "B05": "rededge1", "B06": "rededge2", "B07": "rededge3", "B08": "nir", "B8A": "nir08", "B11": "swir16", "B12": "swir22", "SCL": "scl",
+}
+
+#: Statistics by which optical and radar bands are standardised, in the cubes' band order; fixed values.
+OPTICAL_MEAN = (1711.0938, 1308.8511, 1546.4543, 3010.1293, 3106.5083, 2068.3044, 2685.0845, 2931.5889, 2514.6928, 1899.4922)
+OPTICAL_STD = (1926.1026, 1862.9751, 1803.1792, 1741.7837, 1677.4543, 1888.7862, 1736.3090, 1715.8104, 1514.5199, 1398.4779)
+RADAR_MEAN = (5484.0407, 3003.7812)
+RADAR_STD = (1871.2334, 1726.0670)
+
 OFFSET = 1000
 OFFSET_AFTER = "2022-01-25"
 

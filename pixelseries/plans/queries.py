@@ -179,9 +179,9 @@ def chunked_search(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT year, part, CASE WHEN part = 0 THEN first_day ELSE first_day + CAST(floor(sec * part / 7.0::DOUBLE / 86400) AS INTEGER) + 1 END AS part_start,
-    CASE WHEN part = 6 THEN last_day ELSE first_day + CAST(floor(sec * (part + 1) / 7.0::DOUBLE / 86400) AS INTEGER) END AS part_end
-    FROM (SELECT *, (last_day - first_day)::BIGINT * 86400 + 86399 AS sec, unnest(range(7)) AS part FROM spans)""",
+    """SELECT year, part, first_day + CAST(part * piece // 86400 AS INTEGER) AS part_start,
+    CASE WHEN part = 6 THEN last_day ELSE first_day + CAST((part + 1) * piece // 86400 AS INTEGER) - 1 END AS part_end
+    FROM (SELECT *, ((last_day - first_day)::BIGINT + 1) * 86400 // 7 AS piece, unnest(range(7)) AS part FROM spans)""",
     "spans", dates=("part_start", "part_end"))
 def date_partitions(s: SparkSession, d: str) -> DataFrame:
     return catalog.date_partitions(V.spans(s, d), 7).select("year", "part", "part_start", "part_end")
@@ -309,7 +309,7 @@ def tree_pixel_series(s: SparkSession, d: str) -> DataFrame:
     series = treemask.pixel_series(profile.time_index(rows, "px"), "px")
     each = series.select("px", F.explode("series").alias("o"))
     dates = rows.select("px", "date", "doy")
-    flat = each.select("px", F.col("o.t").alias("t"), F.col("o.doy").alias("doy"), F.get("o.v", F.lit(0)).cast("long").alias("b0"))
+    flat = each.select("px", F.col("o.t").alias("t"), F.col("o.doy").alias("doy"), F.coalesce(F.get("o.v", F.lit(0)).cast("long"), F.lit(-1)).alias("b0"))
     return profile.time_index(dates, "px").select("px", "date", "t").join(flat, ["px", "t"])
 
 
@@ -645,9 +645,9 @@ def years_with_data(s: SparkSession, d: str) -> DataFrame:
     return lists.years_with_data(t.select("tile_id"), data)
 
 
-@query("SELECT year, CASE WHEN first_day = last_day THEN strftime(first_day, '%Y%m%d') WHEN year(first_day) = year(last_day) AND month(first_day) = month(last_day) THEN strftime(first_day, '%Y%m_%d') || '-' || strftime(last_day, '%d') ELSE strftime(first_day, '%Y_%m%d') || '-' || strftime(last_day, '%m%d') END AS label FROM spans", "spans")
+@query("SELECT year, 'S2_P' || (year - 1990) || '_' || strftime(first_day, '%Y%m%d') || CASE WHEN first_day = last_day THEN '' WHEN year(first_day) = year(last_day) AND month(first_day) = month(last_day) THEN '-' || strftime(last_day, '%d') ELSE '-' || strftime(last_day, '%m%d') END AS label FROM spans", "spans")
 def partition_label(s: SparkSession, d: str) -> DataFrame:
-    return V.spans(s, d).select("year", names.partition_label(F.col("start"), F.col("end")).alias("label"))
+    return V.spans(s, d).select("year", names.partition_label(F.col("start"), F.col("end"), F.col("year") - 1990, "S2").alias("label"))
 
 
 # --- scoring ---------------------------------------------------------------------------------------------------------

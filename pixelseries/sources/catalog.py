@@ -48,13 +48,12 @@ def search_chunked(scenes: DataFrame, spans: DataFrame, days: int = 15) -> DataF
 
 
 def date_partitions(spans: DataFrame, n: int) -> DataFrame:
-    """Each row's range cut into n equal pieces of seconds, snapped to dates, without gap or overlap."""
-    seconds = F.datediff("end", "start") * F.lit(86400).cast("long") + 86399
-    day = lambda k: F.date_add("start", F.floor(seconds * k / F.lit(n) / 86400).cast("int"))
+    """Each row's range of whole days cut into n pieces of equally many seconds, snapped to dates, without gap or overlap."""
+    piece = F.floor((F.datediff("end", "start").cast("long") + 1) * 86400 / F.lit(n))
+    day = lambda k: F.date_add("start", F.floor(k * piece / 86400).cast("int"))
     rows = spans.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
-    begin = F.when(F.col("part") == 0, F.col("start")).otherwise(F.date_add(day(F.col("part")), 1))
-    finish = F.when(F.col("part") == n - 1, F.col("end")).otherwise(day(F.col("part") + 1))
-    return rows.withColumns({"part_start": begin, "part_end": finish})
+    finish = F.when(F.col("part") == n - 1, F.col("end")).otherwise(F.date_sub(day(F.col("part") + 1), 1))
+    return rows.withColumns({"part_start": day(F.col("part")), "part_end": finish})
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
