@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelseries.llm import decontam, mixing, quality, sharding, simhash
+from pixelseries.llm import decontam, mixing, neardup, quality, sharding
 from pixelseries.llm.common import stored, table
 
 
@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.without_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def sharding_by_key(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", simhash_near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
     ("mixing to target weights", mixing_to_target_weights),
     ("sharding", sharding_by_key),
