@@ -111,10 +111,13 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's file or files as a stream."""
+    """A table's file, or the files of its folder, as a stream."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # of the store that holds it, whichever Spark reads
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def settled(stream: DataFrame, folder: str) -> DataFrame:
