@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelseries.llm.common import keyed
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # least share of an item's own score
 OVERLAP = 0.5  # least share of the question's, and of the answer's shingles
@@ -223,10 +225,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """The documents that hold no benchmark item. Documents without an id cannot be named and are searched in place."""
-    bad = leaks(docs.where("doc_id is not null"), benchmark, **options).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(docs.columns)
-    nameless = docs.where("doc_id is null")
-    unnamed = nameless.withColumn("__id", F.xxhash64("text"))
-    found = leaks(unnamed.select(F.col("__id").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("__id")).distinct()
-    return named.unionByName(unnamed.join(found, "__id", "left_anti").select(docs.columns))
+    """The documents that hold no benchmark item, judged row by row."""
+    held = keyed(docs)
+    found = leaks(held.select(F.col("row").alias("doc_id"), "doc.text"), benchmark, **options)
+    bad = found.select(F.col("doc_id").alias("row")).distinct()
+    return held.join(bad, "row", "left_anti").select("doc.*")

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelseries.llm.common import numbered, stored, words
+from pixelseries.llm.common import keyed, numbered, stored, words
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -72,13 +72,14 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP, tolerance: f
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[int] = WEIGHTS, total: float = TOTAL, cap: int = CAP, prior: Column | None = None, cell_rows: int = CELL_ROWS
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, total: float = TOTAL, cap: int = CAP, prior: Column | None = None, cell_rows: int = CELL_ROWS, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """doc_id, size, source, source_size, target, rate, copies, taken (copies times size). prior: a document's rate before
-    balancing, above 0; 1 by default."""
+    """doc_id, the carried columns, size, source, source_size, target, rate, copies, taken (copies times size). prior: a
+    document's rate before balancing, above 0; 1 by default."""
     source = F.col("source").cast("string")
     rows = docs.select(
         "doc_id",
+        *carry,
         F.size(words(F.col("text"))).cast("long").alias("size"),
         source.alias("source"),
         F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("grp"),
@@ -116,7 +117,7 @@ def mix(
         flips = best.select("grp", "nth", "move") if flips is None else flips.unionByName(best.select("grp", "nth", "move"))
         gap = stored(gap.join(best, "grp", "left").select("grp", (F.col("gap") - F.coalesce("gain", F.lit(0))).alias("gap")), "gap")
     out = _flipped(rated, flips)
-    return out.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", *carry, "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _flipped(rated: DataFrame, flips: DataFrame) -> DataFrame:
@@ -126,10 +127,8 @@ def _flipped(rated: DataFrame, flips: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents as the mix takes them: each as often as it has copies. Rows that agree in doc_id and size are taken
-    equally often, as often as the first of them."""
-    shares = mix(docs, **options).where("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").cast("int").alias("__copies"))
-    shares = shares.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("size").alias("__size"), "__copies")
-    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__null": F.col("doc_id").isNull(), "__size": F.size(words(F.col("text"))).cast("long")})
-    joined = keyed.join(shares.hint("merge"), ["__id", "__null", "__size"])  # files of ids shrink so well that their size misleads
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    """The documents as the mix takes them: each row as often as it has copies."""
+    held = keyed(docs)
+    shares = mix(held.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=("row",), **options).where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    joined = held.join(shares.hint("merge"), "row")  # files of numbers shrink so well that their size misleads
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

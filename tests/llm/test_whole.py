@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelseries.llm import neardup
+from pixelseries.llm import decontam, mixing, neardup
 from pixelseries.llm.common import table
 
 
@@ -64,3 +64,22 @@ def test_pipeline_drops_near_copies(spark, small):
     out = corpus_pipeline.STAGES[1][1](spark, docs, small)
     assert out.columns == docs.columns
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(want)
+
+
+def test_stages_judge_rows_not_ids(spark):
+    item = "the quick brown fox jumps over the lazy dog while nine.\nother animals look on from the quiet side"
+    clean = "nothing of that kind stands in this text of some eleven words"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = frame(spark, [(1, item, "a"), (1, clean, "a"), (None, item, "b"), (None, clean, "b")])
+    out = decontam.without_leaks(docs, bench)
+    assert sorted(out.collect(), key=str) == sorted(docs.where(docs.text == clean).collect(), key=str)
+
+
+def test_mix_meets_targets_without_ids(spark):
+    rows = [(None if k % 3 else k // 30, f"w{k} b c d e", "abc"[k % 3 if k < 300 else 2]) for k in range(900)]
+    docs = frame(spark, rows)
+    taken = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        taken[r["source"]] += 5
+    for r in mixing.mix(docs).select("source", "target").distinct().collect():
+        assert abs(taken[r["source"]] - r["target"]) <= 5
