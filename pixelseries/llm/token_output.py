@@ -11,8 +11,8 @@ bit on; of a byte-plane frame, byte p. Frames are rows of an uncompressed Parque
 by block, whose other columns are the chunk index: range, block, ids before it in the range, and the documents with ids in
 it with their numbers of ids. Any block can be read alone.
 
-Null and empty texts consist of the end id. Null doc_ids come first; equal doc_ids are ordered by text, and repeated rows
-stay repeated, each with its own start. An empty table gives an empty result. Extra columns are ignored.
+Null and empty texts consist of the end id. Null doc_ids come first; equal doc_ids are ordered by a hash of the text, and repeated
+rows stay repeated, each with its own start. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,16 +34,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelseries.llm.common import shared_dir
+from pixelseries.llm.token_counts import byte_symbols
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
 END = 2
 BLOCK = 1 << 16
 MAGIC = b"BPL1"
-CACHED_WORDS = 1 << 19
 CACHED_CORES = 1 << 20
-GROUP_BYTES = 1 << 19  # texts are encoded together up to this size
+GROUP_BYTES = 1 << 22  # texts are encoded together up to this size
 #: Closing characters that make a piece of their own behind a letter.
-TAIL = b".,!?*%&#$|:;)"
+TAIL = ".,!?*%&#$|:;)"
 
 
 def pack(ids: np.ndarray, planes: str = "bit", level: int = 3) -> bytes:
@@ -50,9 +51,9 @@ def pack(ids: np.ndarray, planes: str = "bit", level: int = 3) -> bytes:
     width = ids.dtype.itemsize
     octets = np.ascontiguousarray(ids, ids.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, width)
     if planes == "bit":
-        rows = np.packbits(np.unpackbits(octets, axis=1, bitorder="little").T, axis=1, bitorder="little")
+        rows = [np.packbits(octets[:, k] & (1 << bit), bitorder="little") for k in range(width) for bit in range(8)]
     elif planes == "byte":
-        rows = np.ascontiguousarray(octets.T)
+        rows = [np.ascontiguousarray(octets[:, k]) for k in range(width)]
     else:
         raise ValueError(f"planes are 'bit' or 'byte', not {planes!r}")
     codec = zstandard.ZstdCompressor(level=level, write_content_size=True)
@@ -80,56 +81,105 @@ def unpack(frame: bytes) -> np.ndarray:
     return np.ascontiguousarray(octets).view(f"<u{width}").reshape(-1)
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... of all k, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library. The vocabulary's pieces never reach over white space, nor over the border
-    of a letter and a closing character, so every distinct word core is encoded once and kept."""
+    of a letter and a closing character, so every distinct word core is encoded once. Ids of all cores stand in one
+    table; words, and then texts, take theirs from it by number."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.model = self.library.model
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def cut(word: bytes) -> tuple[bytes, bytes]:
-        core = word.rstrip(TAIL)
-        if b"<|" in word or not core or not core[-1:].isalpha():  # isalpha() of bytes: a-z and A-Z
-            return word, b""
-        return (core.lower() if core.isalpha() else core), word[len(core) :]
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.cores) > CACHED_CORES:
-            self.cores.clear()
-        parts = {w: self.cut(w) for w in words}
-        new = list({p for pair in parts.values() for p in pair if p not in self.cores})
-        for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.cores[w] = np.array(e.ids, self.dtype).tobytes()
-        for w, (core, tail) in parts.items():
-            self.words[w] = self.cores[core] + self.cores[tail]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        known = self.words
-        if missing := {w for words in split for w in words if w not in known}:
+        self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
+        self.end = end
+        self.forget()
+
+    def forget(self) -> None:
+        self.cores: dict[str, int] = {"": 0}
+        self.table = np.array([self.end], self.dtype)  # the end id, then those of the cores
+        self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def plain(self, core: str) -> bool:
+        """Whether a core is one piece that needs no normalising but lower case: letters of the Latin blocks only."""
+        return core.isascii() and core.isalpha() or core.isalpha() and max(core) < "\u0250" and "\u0130" not in core
+
+    def learn(self, cores: list[str]) -> None:
+        ids: list[list[int]] = []
+        other: list[str] = []
+        for c in cores:
+            if self.plain(c):
+                c = c if c.isascii() else c.lower().encode().decode("latin-1").translate(self.symbols)
+                ids.append([t.id for t in self.model.tokenize(c)])
+            else:
+                ids.append([])
+                other.append(c)
+        found = iter(self.library.encode_batch_fast(other, add_special_tokens=False))
+        ids = [x or next(found).ids for x in ids]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.starts)
+        self.cores.update(zip(cores, range(first, first + len(cores))))
+        self.starts = np.concatenate([self.starts, len(self.table) + np.cumsum(n) - n])
+        self.lengths = np.concatenate([self.lengths, n])
+        self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(ids), self.dtype, int(n.sum()))])
+
+    def numbers(self, cores: pa.Array) -> np.ndarray:
+        each = cores.dictionary_encode()
+        names = each.dictionary.to_numpy(zero_copy_only=False)
+        if missing := [c for c in names if c not in self.cores]:
             self.learn(missing)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return np.fromiter(map(self.cores.__getitem__, names), np.int64, len(names))[each.indices.to_numpy()]
 
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id behind it, and how many each one has."""
+        if len(self.cores) > CACHED_CORES:
+            self.forget()
+        split = pc.ascii_split_whitespace(texts)
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        each = split.flatten().dictionary_encode()
+        words = each.dictionary
+        special = pc.match_substring(words, "<|")
+        lower = pc.if_else(special, words, pc.ascii_lower(words))
+        trimmed = pc.ascii_rtrim(lower, TAIL)
+        parted = pc.and_(pc.match_substring_regex(trimmed, "[a-z]$"), pc.invert(special))
+        core = pc.if_else(parted, trimmed, lower)
+        n, whole = pc.utf8_length(core).to_numpy(), lower.to_numpy(zero_copy_only=False)
+        more = np.flatnonzero(n < pc.utf8_length(lower).to_numpy())
+        core, tail = self.numbers(core), np.zeros(len(words), np.int64)
+        tail[more] = self.numbers(pa.array([whole[k][n[k] :] for k in more], pa.string()))
+        # a word's ids: its core's, then its tail's
+        pairs = np.stack([core, tail], axis=1).reshape(-1)
+        by_word = self.table[ragged(self.starts[pairs], self.lengths[pairs])]
+        lengths = self.lengths[core] + self.lengths[tail]
+        starts = np.cumsum(lengths) - lengths
+        # one more word, the end id, stands behind every text
+        by_word = np.append(by_word, self.table[0])
+        starts, lengths = np.append(starts, len(by_word) - 1), np.append(lengths, 1)
+        order = np.insert(each.indices.to_numpy().astype(np.int64), offsets[1:], len(starts) - 1)
+        taken = lengths[order]
+        ends = np.concatenate([[0], np.cumsum(taken)])[offsets[1:] + np.arange(1, len(offsets))]
+        return by_word[ragged(starts[order], taken)], np.diff(ends, prepend=0)
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end: int) -> Encoder:
+    """One for each worker process, kept between tasks."""
+    if (path, end) not in _ENCODERS:
+        _ENCODERS[path, end] = Encoder(path, end)
+    return _ENCODERS[path, end]
 
 
 FRAMES = "part int, block int, first_id long, n_ids int, first_doc long, goes_on boolean, docs array<long>, lengths array<int>, frame binary"
@@ -139,46 +189,48 @@ def write_ids(docs: DataFrame, to: str, path: str = DEFAULT, end: int = END, blo
     """Encodes every text and writes the frame table in ascending doc_id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(path), TaskContext.get().partitionId()
-        stop, width = np.array([end], enc.dtype).tobytes(), enc.dtype.itemsize
-        held, first_id, k, first_doc, n_docs, goes_on = bytearray(), 0, 0, 0, 0, False
+        enc, part = encoder(path, end), TaskContext.get().partitionId()
+        held, n_held, first_id, k, first_doc, goes_on = [], 0, 0, 0, 0, False
         index: list[list[int | None]] = []  # of the ids in hand: document, ids
 
-        def out(n: int) -> pa.RecordBatch:
+        def out(ids: np.ndarray) -> pa.RecordBatch:
             nonlocal first_id, k, first_doc, goes_on, index
-            took, left, i = [], n, 0
+            took, left, i = [], len(ids), 0
             while left:
                 use = min(left, index[i][1])
                 took.append((index[i][0], use))
                 left -= use
                 index[i][1] -= use
                 i += index[i][1] == 0
-            ids = np.frombuffer(bytes(held[: n * width]), enc.dtype)
-            del held[: n * width]
-            row = [part, k, first_id, n, first_doc, goes_on, [d for d, _ in took], [u for _, u in took], pack(ids, planes)]
-            first_id, k, first_doc = first_id + n, k + 1, first_doc + i
+            row = [part, k, first_id, len(ids), first_doc, goes_on, [d for d, _ in took], [u for _, u in took], pack(ids, planes)]
+            first_id, k, first_doc = first_id + len(ids), k + 1, first_doc + i
             goes_on = i < len(took)
             index = index[i:]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, kinds)], schema=kinds)
 
         for b in batches:
-            texts, ids = b.column(1).cast(pa.binary()), b.column(0)
-            sizes = pc.binary_length(texts).to_numpy()
+            sizes = pc.binary_length(b.column(1)).to_numpy()
             group = np.cumsum(sizes, dtype=np.int64) // GROUP_BYTES
-            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(texts)]
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else []
             for i, j in zip(cuts, cuts[1:]):
-                for d, t in zip(ids[i:j].to_pylist(), enc.encode(texts[i:j].to_pylist())):
-                    held += t
-                    held += stop
-                    index.append([d, len(t) // width + 1])
-                    while len(held) >= block * width:
-                        yield out(block)
-        if held:
-            yield out(len(held) // width)
+                ids, n = enc.encode(b.column(1).slice(i, j - i))
+                index += map(list, zip(b.column(0).slice(i, j - i).to_pylist(), n.tolist()))
+                held.append(ids)
+                n_held += len(ids)
+                if n_held >= block:
+                    ids = np.concatenate(held)
+                    full = n_held - n_held % block
+                    for at in range(0, full, block):
+                        yield out(ids[at : at + block])
+                    held, n_held = [ids[full:]], n_held - full
+        if n_held:
+            yield out(np.concatenate(held))
 
     kinds = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int32()), ("first_doc", pa.int64()), ("goes_on", pa.bool_()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("frame", pa.binary())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # by the text's hash too, so that rows of one id, or of none, are dealt to more than one task
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     dealt.mapInArrow(run, FRAMES).write.option("compression", "none").parquet(to)
 
 
