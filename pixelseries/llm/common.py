@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,22 +36,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """rows, a stored table of a few narrow columns, to be broadcast if there are not too many; else joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("merge")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc, row): the documents as structs, each with a number that names it alone, stored so that it stays the same."""
     return stored(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... of all k, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def numbered(rows: DataFrame, group: str, cell: Sequence[Column], inside: Sequence[Column], name: str) -> DataFrame:
-    """rows with gapless numbers from 0 in each group, by the cells' order and then by the order inside. Only a cell's
-    rows meet in one task; of the others just the cells' counts are needed."""
+def running(rows: DataFrame, group: str, cell: Sequence[Column], inside: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with running sums: what the rows of the group that come before have together, by the cells' order and then
+    by the order inside. Only a cell's rows meet in one task; of the others just the cells' sums are needed."""
     keys = [f"__cell{k}" for k in range(len(cell))]
-    rows = rows.withColumns(dict(zip(keys, cell)))
+    rows = rows.withColumns(dict(zip(keys, cell)) | {f"__add_{n}": c.cast("long") for n, c in sums.items()})
     before = Window.partitionBy(group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy(group, *keys).count().select(group, *keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
-    nth = F.row_number().over(Window.partitionBy(group, *keys).orderBy(*inside))
-    out = rows.withColumn("__nth", nth).join(first, [group, *keys])
-    return out.withColumn(name, (F.col("__first") + F.col("__nth") - 1).cast("long")).drop("__first", "__nth", *keys)
+    each = rows.groupBy(group, *keys).agg(*(F.sum(f"__add_{n}").alias(f"__all_{n}") for n in sums))
+    first = each.select(group, *keys, *(F.coalesce(F.sum(f"__all_{n}").over(before), F.lit(0)).alias(f"__first_{n}") for n in sums))
+    above = Window.partitionBy(group, *keys).orderBy(*inside).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"__own_{n}": F.coalesce(F.sum(f"__add_{n}").over(above), F.lit(0)) for n in sums})
+    out = rows.join(first, [group, *keys]).withColumns({n: (F.col(f"__first_{n}") + F.col(f"__own_{n}")).cast("long") for n in sums})
+    return out.drop(*keys, *(f"__{k}_{n}" for k in ("add", "own", "first") for n in sums))
+
+
+def numbered(rows: DataFrame, group: str, cell: Sequence[Column], inside: Sequence[Column], name: str) -> DataFrame:
+    """rows with gapless numbers from 0 in each group."""
+    return running(rows, group, cell, inside, {name: F.lit(1)})

@@ -1,31 +1,38 @@
 """Mixing sources to target weights by entropy balancing.
 
-A document of prior rate q gets the rate r = min(cap, q * exp(lambda)), lambda being its source's: of all rates that meet
-the sources' token targets these are the nearest to the prior in token-weighted relative entropy. The dual is convex and
-falls apart by source; Newton steps solve it, each one summing tokens and slopes over all documents (of equal source and
-prior together). Rates are rounded into copies by systematic sampling in order of size, and the words that a source still
-misses or has too many are then mended by a few single documents that gain or lose a copy.
+A document of prior rate q and size s gets the rate r = min(cap, q * exp(lambda * s / scale)), lambda being its source's
+and scale the source's mean size: of all rates that meet the sources' token targets these are the nearest to the prior
+in relative entropy over documents. So a source that must grow takes more of its long documents, one that must shrink more
+of its short ones. The dual is convex and falls apart by source; bracketed Newton steps solve it, each one summing value
+and slope over all documents (of equal source, prior and size together) with exact decimal sums, so that reruns agree.
+A source whose target is all that the cap allows has its multiplier at infinity: every document has the rate cap.
+
+Rates are rounded into copies by systematic sampling: a document gets as many copies as whole numbers lie between the
+running sums of rates before and behind it, in order of size. The words that a source still misses or has too many
+are then mended by a few single documents that gain or lose a copy.
 
 Documents with a null source are one source of their own, last in order. Null and empty texts have size 0 and take nothing.
-Null or repeated doc_ids and repeated rows are documents of their own; ties are broken by doc_id and text. An empty table
-gives an empty result. Extra columns are ignored.
+Very long texts count whole. Null or repeated doc_ids and repeated rows are documents of their own; ties in size are broken
+by doc_id and text. An empty table gives an empty result. Extra columns are ignored, whatever their names. Sources are
+numbered in one task, so there may be millions of them, not billions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelseries.llm.common import keyed, numbered, stored, words
+from pixelseries.llm.common import keyed, running, stored, words
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 CAP = 2
-UNIT = 1_000_000_000  # rates are rounded to so many parts, so that counting with them is exact
+UNIT = 1_000_000  # rates are rounded to so many parts, so that adding them up is exact
 MEND_ROUNDS = 6
-CELL_ROWS = 100_000
+EXACT = "decimal(32,12)"  # of sums whose order must not matter
 BROADCAST_SOURCES = 100_000
 
 
@@ -50,29 +57,47 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, total: fl
     return rows.select("grp", "source", "source_size", target.alias("target"))
 
 
-def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP, tolerance: float = 1e-12, most: int = 60) -> DataFrame:
-    """(grp, lam): the dual's solution. cells: (grp, prior, mass), the words of documents with equal source and prior.
-    Newton steps that leave the bracket known so far, or start where all documents are capped, become bisections."""
-    state = targets.select("grp", "target", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"))
-    rate = F.least(F.lit(float(cap)), F.col("prior") * F.exp("lam"))
+def tilted(cap: float) -> Column:
+    """A document's rate from its prior and size and its source's lam (null: all at the cap) and scale."""
+    grown = F.col("prior") * F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(700.0)))
+    return F.when(F.col("lam").isNull(), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), grown))
+
+
+def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP, tolerance: float = 1e-12, most: int = 100) -> DataFrame:
+    """(grp, lam, scale): the dual's solution. cells: (grp, prior, size, n), the documents with equal source, prior and
+    size, sizes above 0; targets: (grp, target). Newton steps are taken on the logarithm of the words, which is nearly
+    straight; a step that leaves the bracket known so far or does not halve what is missing becomes a bisection."""
+    mass = F.col("n") * F.col("size")
+    most_words = F.sum(mass).cast("double")
+    sums = cells.groupBy("grp").agg(most_words.alias("mass"), (most_words / F.sum("n")).alias("scale"), F.min("prior").alias("least"), F.max("prior").alias("greatest"))
+    start = targets.select("grp", "target").join(sums, "grp").where("mass > 0 and target > 0")
+    full = F.col("target") >= F.lit(float(cap)) * F.col("mass")
+    # at these ends every document is at the cap, or all together have less than the target
+    low = F.col("scale") * F.least(F.lit(0.0), F.ln(F.col("target") / (F.col("mass") * F.col("greatest")))) - 1
+    high = F.col("scale") * F.greatest(F.lit(0.0), F.ln(F.lit(float(cap)) / F.col("least"))) + 1
+    start = start.select("grp", "target", "scale", F.when(~full, F.lit(0.0)).alias("lam"), low.alias("low"), high.alias("high"), F.lit(float("inf")).alias("off"))
+    state = stored(start, "dual")
     for _ in range(most):
-        sums = cells.join(state, "grp").groupBy("grp").agg(
-            F.sum(F.col("mass") * rate).alias("has"), F.sum(F.when(rate < cap, F.col("mass") * rate).otherwise(0.0)).alias("slope")
+        rate = tilted(cap)
+        slope = F.when(rate < cap, mass * rate * F.col("size") / F.col("scale")).otherwise(0.0)
+        sums = cells.join(state, "grp").where("lam is not null").groupBy("grp").agg(
+            F.sum((mass * rate).cast(EXACT)).cast("double").alias("has"), F.sum(slope.cast(EXACT)).cast("double").alias("slope")
         )
-        off = F.col("target") - F.col("has")
-        moved = state.join(sums, "grp").withColumn("off", F.when(F.abs(off) > tolerance * F.col("target"), off).otherwise(0.0))
-        moved = moved.withColumns({"low": F.when(F.col("off") > 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(F.col("off") < 0, F.col("lam")).otherwise(F.col("high"))})
-        step = F.col("lam") + F.when(F.col("slope") > 0, F.col("off") / F.col("slope"))
-        inside = (step > F.col("low")) & (step < F.col("high"))
-        nxt = F.when(F.col("off") == 0, F.col("lam")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
-        state = stored(moved.select("grp", "target", nxt.alias("lam"), "low", "high", "off"), "dual")
-        if state.where("off <> 0 and high - low > 1e-15").isEmpty():
+        now = state.join(sums, "grp", "left").withColumn("was", F.col("off"))
+        off = F.ln(F.col("has") / F.col("target"))
+        now = now.withColumn("off", F.when(F.abs(off) > tolerance, off).otherwise(0.0))  # at the cap: null is 0
+        now = now.withColumns({"low": F.when(F.col("off") < 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(F.col("off") > 0, F.col("lam")).otherwise(F.col("high"))})
+        step = F.col("lam") - F.when(F.col("slope") > 0, F.col("off") * F.col("has") / F.col("slope"))
+        good = (step > F.col("low")) & (step < F.col("high")) & (F.abs("off") <= F.abs("was") / 2)
+        nxt = F.when(F.col("off") == 0, F.col("lam")).when(good, step).otherwise((F.col("low") + F.col("high")) / 2)
+        state = stored(now.select("grp", "target", "scale", nxt.alias("lam"), "low", "high", "off"), "dual")
+        if state.where("off <> 0 and high - low > 1e-14 * greatest(1, abs(lam))").isEmpty():
             break
-    return state.select("grp", "lam")
+    return state.select("grp", "lam", "scale")
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[int] = WEIGHTS, total: float = TOTAL, cap: int = CAP, prior: Column | None = None, cell_rows: int = CELL_ROWS, carry: Sequence[str] = ()
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, total: float = TOTAL, cap: int = CAP, prior: Column | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """doc_id, the carried columns, size, source, source_size, target, rate, copies, taken (copies times size). prior: a
     document's rate before balancing, above 0; 1 by default."""
@@ -87,21 +112,22 @@ def mix(
         (F.lit(1.0) if prior is None else prior.cast("double")).alias("prior"),
     )
     rows = stored(rows, "sizes")
-    totals = rows.groupBy("grp").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    targets = stored(source_targets(totals.drop("n"), weights, total, cap), "targets")
-    cells = stored(rows.groupBy("grp", "prior").agg(F.sum("size").alias("mass")), "cells")
-    plan = targets.join(balance(cells, targets, cap), "grp").drop("source")
+    totals = rows.groupBy("grp").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    targets = stored(source_targets(totals, weights, total, cap), "targets")
+    cells = stored(rows.where("size > 0").groupBy("grp", "prior", "size").agg(F.count("*").alias("n")), "cells")
+    plan = stored(targets.join(balance(cells, targets, cap), "grp", "left").drop("source"), "plan")
     # broadcast behind a check of its size: dealt by source, a source's rows would stay in one task up to their numbering
     few = targets.count() <= BROADCAST_SOURCES
 
-    rated = rows.join(F.broadcast(plan) if few else plan, "grp").withColumn("rate", F.least(F.lit(float(cap)), F.col("prior") * F.exp("lam")))
-    units = F.when(F.col("source_size") > 0, F.bround(F.col("rate") * UNIT)).otherwise(0).cast("long")
+    rated = rows.join(F.broadcast(plan) if few else plan, "grp")
+    rated = rated.withColumn("rate", F.when(F.col("size") > 0, tilted(cap)).otherwise(0.0)).drop("lam", "scale")
+    units = F.bround(F.col("rate") * UNIT).cast("long")
     rated = rated.withColumn("whole", F.floor(units / UNIT)).withColumn("part", units - F.col("whole") * UNIT)
-    chunks = max(1, -(-rows.count() // cell_rows))
-    order = [-F.length(F.bin("size")), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(chunks))]  # larger documents first, by size class
-    rated = numbered(rated, "grp", order, [F.desc("size"), F.col("doc_id"), F.col("tie")], "nth")
-    at = F.expr(f"(nth + 1) * part + {UNIT // 2}"), F.expr(f"nth * part + {UNIT // 2}")
-    copies = F.col("whole") + F.floor(at[0] / UNIT) - F.floor(at[1] / UNIT)
+    # cells of a size class: as many as keep both their number and the rows of one in bounds
+    chunks = max(1, math.isqrt(rows.count()) // 8)
+    order = [-F.length(F.bin("size")), F.pmod(F.xxhash64("doc_id", "tie", "size"), F.lit(chunks))]  # larger documents first
+    rated = running(rated, "grp", order, [F.desc("size"), F.col("doc_id"), F.col("tie")], {"nth": F.lit(1), "before": F.col("part")})
+    copies = F.col("whole") + F.floor((F.col("before") + F.col("part") + UNIT // 2) / UNIT) - F.floor((F.col("before") + UNIT // 2) / UNIT)
     rated = stored(rated.withColumn("copies", copies.cast("long")), "copies")
 
     gap = stored(rated.groupBy("grp").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")), "gap")

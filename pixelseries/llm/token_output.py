@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelseries.llm.common import shared_dir
+from pixelseries.llm.common import ragged, shared_dir
 from pixelseries.llm.token_counts import byte_symbols
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
@@ -81,12 +81,6 @@ def unpack(frame: bytes) -> np.ndarray:
     return np.ascontiguousarray(octets).view(f"<u{width}").reshape(-1)
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places starts[k], starts[k] + 1, ... of all k, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Encoder:
     """Ids of texts by the tokenizers library. The vocabulary's pieces never reach over white space, nor over the border
     of a letter and a closing character, so every distinct word core is encoded once. Ids of all cores stand in one
