@@ -6,19 +6,24 @@ tokens came after it; that is all that later symbols can depend on, because a se
 its string if every adjacent pair is. A transition carries the number of tokens it emits (which may be negative: a
 later merge takes tokens back). States and transitions are determinised when first reached and kept.
 
-Over longer texts the machine starts anew at every ASCII white space, so a chunk's state map is constant behind its
-first space: (head before it, tokens of the words inside, tail behind the last space). Two such maps compose by running
-the machine over tail + head, which is associative. Texts above `long_chars` are cut into chunks that are dealt to all
-tasks; their maps are composed in order.
+Every text is cut into chunks of about `chunk` characters, and each chunk becomes a state map: entry state, exit state and
+tokens emitted in between. A cut is made where a piece surely ends (white space, an ASCII digit) if there is such a place
+within REACH characters, so that the state handed over is the one between words; else in a run of plain letters, and the
+state is that of the open word. The entry state of such a chunk is worked out from the LEAD letters before it, which decide
+it but for texts made against it; where the chunk before turns out to exit in another state, the chunk is mapped again from
+that one, until all seams agree. Maps of neighbours then compose pairwise, in as many rounds as the largest number of
+chunks has binary digits. A map is of bounded size, whatever the text. First chunks are mapped by the task that reads the
+text, all others are dealt to all tasks, so a very long text is the work of many. Where there is no place to cut (long runs
+of one kind of sign without a space or digit), a chunk runs on to the next such place.
 
 Null and empty texts count 0 tokens and 0 bytes. Rows are counted one by one, so null or repeated ids, ties and repeated
-rows stay; an empty table gives an empty result; extra columns are ignored.
+rows stay; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import public_tokenizers
@@ -26,10 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelseries.llm.common import stored
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
-CHUNK = 1 << 16
-LONG = 1 << 18
+CHUNK = 1 << 14
+REACH = 1 << 10
+LEAD = 1 << 8
 CACHED_WORDS = 1 << 20
 MOST_STATES = 1 << 18
 
@@ -141,21 +148,50 @@ class Transducer:
         self.steps[state][c] = nxt, emitted
         return nxt, emitted
 
-    def count(self, word: str) -> int:
-        if len(self.windows) > MOST_STATES:  # only memory is at stake: states come back when next reached
-            self.forget()
-        state = n = 0
-        steps = self.steps
-        for c in word[:-1]:
+    def run(self, state: int, symbols: str) -> tuple[int, int]:
+        """The state behind more symbols of an open word, and the tokens emitted."""
+        n, steps = 0, self.steps
+        for c in symbols:
             step = steps[state].get(c)
             state, emitted = step if step is not None else self.compile_step(state, c)
             n += emitted
-        c = word[-1]
+        return state, n
+
+    def finish(self, state: int, symbols: str) -> int:
+        """The tokens emitted by the rest of an open word, one symbol at least."""
+        state, n = self.run(state, symbols[:-1])
+        c = symbols[-1]
         done = self.ends[state].get(c)
         if done is None:
             done = self.ends[state][c] = self.last(state, c + self.end)[2]
         return n + done
 
+    def count(self, word: str) -> int:
+        if len(self.windows) > MOST_STATES:  # only memory is at stake: states come back when next reached
+            self.forget()
+        return self.finish(0, word)
+
+    def name(self, state: int) -> str:
+        """The state as text that any process understands."""
+        return json.dumps(self.windows[state])
+
+    def state(self, name: str) -> int:
+        read, window = json.loads(name)
+        key = (read, tuple((t, n) for t, n in window))
+        found = self.ids.setdefault(key, len(self.windows))
+        if found == len(self.windows):
+            self.windows.append(key)
+            self.steps.append({})
+            self.ends.append({})
+        return found
+
+
+PLAIN = 32  # letters before a cut inside a word, more than the name of any special token has
+#: Places where a piece surely ends and, failing those, places between two of many plain letters, from the right.
+BORDER = regex.compile("(?r)(?=[\x20\x09-\x0d])|(?<=[A-Za-z0-9])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[\u4e00-\u9fa5])(?=[\u3002\uff0c])")
+INSIDE = regex.compile("(?r)(?<=[A-Za-z]{%d})(?=[A-Za-z])|(?<=[\u4e00-\u9fa5]{%d})(?=[\u4e00-\u9fa5])" % (PLAIN, PLAIN))
+LETTERS = regex.compile("(?:[A-Za-z]+|[\u4e00-\u9fa5]+)\\Z")
+
 
 class Counter:
     """Token counts of texts for a word-end BPE file of the tokenizers library."""
@@ -181,29 +217,32 @@ class Counter:
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.words: dict[bytes, int] = {}
 
-    def piece(self, text: str) -> int:
-        count = self.machine.count
+    def pieces(self, text: str) -> list[str]:
+        """The pieces that merges never cross, as symbols."""
         if text.isascii():
             words = self.split.findall(text.lower())
         else:
             text = self.normalizer.normalize_str(text)
             # beyond the common Latin letters the tables of Unicode versions differ, so the library itself splits
             if max(text, default="") > "\u024f":
-                return sum(count(w) for w, _ in self.pre_tokenizer.pre_tokenize_str(text))
+                return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(text)]
             words = self.split.findall(text)
-        n, symbol = 0, self.symbol
-        for w in words:
-            n += count(w if w.isascii() and w.isprintable() else "".join([symbol[b] for b in w.encode()]))
-        return n
+        symbol = self.symbol
+        return [w if w.isascii() and w.isprintable() else "".join([symbol[b] for b in w.encode()]) for w in words]
+
+    def parts(self, text: str) -> list[str | None]:
+        """The pieces of a text, null for a special token."""
+        if "<|" not in text:
+            return self.pieces(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [*self.pieces(text[at : m.start()]), None]
+            at = m.end()
+        return out + self.pieces(text[at:])
 
     def word(self, word: str) -> int:
-        if "<|" not in word:
-            return self.piece(word)
-        n, at = 0, 0
-        for m in self.special.finditer(word):
-            n += self.piece(word[at : m.start()]) + 1
-            at = m.end()
-        return n + self.piece(word[at:])
+        count = self.machine.count
+        return sum(1 if p is None else count(p) for p in self.parts(word))
 
     def count(self, text: bytes) -> int:
         """Tokens of UTF-8 text. bytes.split() cuts at ASCII white space only."""
@@ -219,21 +258,45 @@ class Counter:
             n += k
         return n
 
-    def chunk(self, text: str) -> tuple[str, int, str | None]:
-        """The state map of a chunk: head, tokens inside, tail (null: no space in it, all is head)."""
-        cuts = [m.start() for m in (regex.search(r"[\x20\x09-\x0D]", text), regex.search(r"(?r)[\x20\x09-\x0D]", text)) if m]
-        if not cuts:
-            return text, 0, None
-        return text[: cuts[0]], self.count(text[cuts[0] : cuts[1] + 1].encode()), text[cuts[1] + 1 :]
-
-    def compose(self, maps: list[tuple[str, int, str | None]]) -> int:
-        n, open_word = 0, []
-        for head, inside, tail in maps:
-            open_word.append(head)
-            if tail is not None:
-                n += self.count("".join(open_word).encode()) + inside
-                open_word = [tail]
-        return n + self.count("".join(open_word).encode())
+    def cuts(self, text: str, size: int, reach: int = REACH) -> list[tuple[int, bool]]:
+        """Where chunks begin, near every multiple of size, and whether a word goes on over that place."""
+        out = [(0, False)]
+        for at in range(size, len(text), size):
+            low = max(out[-1][0] + 1, at - reach)
+            base = max(0, low - PLAIN)
+            near = text[base : at + 1]
+            for pattern, inside in ((BORDER, False), (INSIDE, True)):
+                if low <= at and (m := pattern.search(near, low - base)):
+                    out.append((base + m.start(), inside))
+                    break
+        return out
+
+    def entry(self, lead: str) -> str:
+        """The state behind letters of a word of which these are the last, or nearly always so."""
+        machine = self.machine
+        return machine.name(machine.run(0, "".join(self.pieces(lead)))[0])
+
+    def walk(self, parts: list[str | None], entry: str | None, goes_on: bool) -> tuple[int, str | None]:
+        machine, n = self.machine, 0
+        for k, p in enumerate(parts):
+            state = machine.state(entry) if k == 0 and entry is not None else 0
+            if goes_on and k == len(parts) - 1:
+                state, more = machine.run(state, p)
+                return n + more, machine.name(state)
+            n += 1 if p is None else machine.finish(state, p)
+        return n, None
+
+    def map(self, text: str, entry: str | None, goes_on: bool) -> tuple[int, str | None]:
+        """Tokens emitted and exit state of a chunk; a null state is the one between words. goes_on: whether the last
+        word is open at the chunk's end."""
+        if len(self.machine.windows) > MOST_STATES:
+            self.machine.forget()
+        spaces = [m.start() for m in (regex.search(r"[\x20\x09-\x0D]", text), regex.search(r"(?r)[\x20\x09-\x0D]", text)) if m]
+        if not spaces:
+            return self.walk(self.parts(text), entry, goes_on)
+        n = self.walk(self.parts(text[: spaces[0]]), entry, False)[0] + self.count(text[spaces[0] : spaces[1]].encode())
+        last, state = self.walk(self.parts(text[spaces[1] + 1 :]), None, goes_on)
+        return n + last, state
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -246,46 +309,87 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-def token_counts(docs: DataFrame, path: str = DEFAULT, limit: int = 2048, chunk: int = CHUNK, long_chars: int = LONG) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+CHUNKS = "row long, doc_id long, k int, chunks int, n_bytes long, entry string, exit string, n long, goes_on boolean, lead string, text string"
+NAMES = [c.split()[0] for c in CHUNKS.split(", ")]
+KINDS = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in CHUNKS.split(", ")]
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
-        for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
-            n = [c.count(t.as_py()) for t in texts]
-            size = pa.array([len(t.as_buffer()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, i, t in zip(b.column(0), b.column(1), b.column(2)):
-                text = t.as_py()
-                for k, at in enumerate(range(0, len(text), chunk)):
-                    arrays = [pa.array([x], kind) for x, kind in ((row.as_py(), pa.int64()), (i.as_py(), pa.int64()), (k, pa.int32()), (text[at : at + chunk], pa.string()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "k", "text"])
+def _table(columns: Sequence[pa.Array | list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, KINDS)], NAMES)
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
+    """A row for each chunk of each text: the state map of first chunks, and the others with their text, still to be mapped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            found = [c.chunk(t.as_py()) for t in b.column(3)]
-            columns = [pa.array([x[j] for x in found], kind) for j, kind in enumerate((pa.string(), pa.int64(), pa.string()))]
-            size = pa.array([len(t.as_py().encode()) for t in b.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], size, *columns], ["row", "doc_id", "k", "n_bytes", "head", "inside", "tail"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            size = [len(t.as_buffer()) for t in b.column(2)]
+            texts, n, exits, counts, goes_on, rest = b.column(2).cast(pa.large_binary()), [], [], [], [], []
+            for t, bytes_, row, doc_id in zip(texts, size, b.column(0), b.column(1)):
+                cuts = c.cuts(t.as_py().decode(), chunk) if bytes_ > chunk else [(0, False)]
+                counts.append(len(cuts))
+                if len(cuts) == 1:
+                    n.append(c.count(t.as_py()))
+                    exits.append(None)
+                    goes_on.append(False)
+                    continue
+                text, ends = t.as_py().decode(), [*cuts[1:], (None, False)]
+                first = c.map(text[: ends[0][0]], None, ends[0][1])
+                n.append(first[0])
+                exits.append(first[1])
+                goes_on.append(ends[0][1])
+                size[len(n) - 1] = len(text[: ends[0][0]].encode())
+                for k, ((at, inside), (end, on)) in enumerate(zip(cuts[1:], ends[1:]), 1):
+                    lead = LETTERS.search(text[max(0, at - LEAD) : at]).group() if inside else None
+                    rest.append((row.as_py(), doc_id.as_py(), k, len(cuts), len(text[at:end].encode()), None, None, None, on, lead, text[at:end]))
+            none = [None] * len(n)
+            yield _table([b.column(0), b.column(1), [0] * len(n), counts, size, none, exits, n, goes_on, none, none])
+            for at in range(0, len(rest), 256):  # batches of bounded size
+                yield _table(list(zip(*rest[at : at + 256])))
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return stored(rows.mapInArrow(run, CHUNKS), "chunks")
+
+
+def mapped(rows: DataFrame, path: str) -> DataFrame:
+    """State maps of chunks, from the entry state if it is known, else from the one that the lead tells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            n = [c.compose([(m["head"], m["inside"], m["tail"]) for m in row.as_py()]) for row in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    out = "doc_id long, n_bytes long, n_tokens long"
-    short = rows.where(F.length("text") <= long_chars).mapInArrow(whole, out)
-    # a number for each row: its file and place there, the same whenever it is read again
-    long = rows.withColumn("row", F.monotonically_increasing_id()).where(F.length("text") > long_chars)
-    chunks = long.select("row", "doc_id", "text").mapInArrow(cut, "row long, doc_id long, k int, text string").repartition("row", "k")
-    mapped = chunks.mapInArrow(maps, "row long, doc_id long, k int, n_bytes long, head string, inside long, tail string")
-    per_doc = mapped.groupBy("row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("k", "head", "inside", "tail"))).alias("maps"))
-    scanned = per_doc.select("doc_id", "n_bytes", "maps").mapInArrow(scan, out)
-    return short.unionByName(scanned).withColumn("over_limit", F.col("n_tokens") > limit)
+            entry, exits, n = [], [], []
+            for e, on, lead, text in zip(*(b.column(k).to_pylist() for k in (5, 8, 9, 10))):
+                entry.append(c.entry(lead) if e is None and lead is not None else e)
+                found = c.map(text, entry[-1], on)
+                n.append(found[0])
+                exits.append(found[1])
+            yield _table([*b.columns[:5], entry, exits, n, b.column(8), b.column(9), [None] * len(n)])
+
+    return rows.select(NAMES).mapInArrow(run, CHUNKS)
+
+
+def token_counts(docs: DataFrame, path: str = DEFAULT, limit: int = 2048, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens), n_chunks."""
+    cut = chunks(docs, path, chunk)
+    later = cut.where("text is not null")
+    maps = stored(mapped(later.repartition("row", "k"), path), "maps")
+    while True:  # a second time only for texts made against it
+        own = cut.where("text is null and chunks > 1").unionByName(maps)
+        before = own.select("row", (F.col("k") + 1).alias("k"), F.col("exit").alias("had"))
+        wrong = maps.join(before, ["row", "k"]).where(~F.col("entry").eqNullSafe(F.col("had"))).select("row", "k", "had")
+        wrong = stored(wrong, "seams")
+        if wrong.isEmpty():
+            break
+        again = mapped(later.join(wrong, ["row", "k"]).withColumn("entry", F.col("had")), path)
+        maps = stored(maps.join(wrong.select("row", "k"), ["row", "k"], "left_anti").unionByName(again), "maps")
+    longest = cut.agg(F.max("chunks")).first()[0] or 1
+    scan = own.select("row", "doc_id", "k", "chunks", "n_bytes", "entry", "exit", "n")
+    for _ in range((longest - 1).bit_length()):
+        pair = scan.groupBy("row", F.floor(F.col("k") / 2).cast("int").alias("half"))
+        scan = pair.agg(
+            F.min("doc_id").alias("doc_id"), F.max("chunks").alias("chunks"), F.sum("n_bytes").alias("n_bytes"),
+            F.min_by("entry", "k").alias("entry"), F.max_by("exit", "k").alias("exit"), F.sum("n").alias("n"),
+        ).withColumnRenamed("half", "k")
+    whole = cut.where("chunks = 1").select("doc_id", "n_bytes", "n", "chunks").unionByName(scan.select("doc_id", "n_bytes", "n", "chunks"))
+    return whole.select("doc_id", "n_bytes", F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"), F.col("chunks").alias("n_chunks"))
