@@ -1,4 +1,4 @@
-"""UTM zones and the transverse Mercator projection as column arithmetic (WGS84, Krueger's series to the sixth order)."""
+"""UTM zones and the transverse Mercator projection as column arithmetic (WGS84, Krueger's series to the fifth order)."""
 
 from __future__ import annotations
 

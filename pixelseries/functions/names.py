@@ -44,6 +44,16 @@ def partition_label(start: Column, end: Column, index: Column, prefix: str) -> C
     return F.concat(F.lit(f"{prefix}_P"), index.cast("string"), F.lit("_"), day(start, "yyyyMMdd"), last)
 
 
+def year_bounds(year: Column) -> tuple[Column, Column]:
+    """First and last second of a year."""
+    return F.make_timestamp_ntz(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), F.make_timestamp_ntz(year, F.lit(12), F.lit(31), F.lit(23), F.lit(59), F.lit(59))
+
+
+def iso_time(text: Column) -> Column:
+    """The time of an ISO text, with or without a final Z; null if it is none."""
+    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "")).cast("timestamp_ntz")
+
+
 def network_error(message: Column) -> Column:
     return F.lower(message).rlike("|".join(NETWORK_WORDS))
 

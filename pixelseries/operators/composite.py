@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelseries.functions.mix import mixed
 from pixelseries.functions.optical import INVALID_CLASSES, class_label, harmonized, percent, valid_class
 from pixelseries.functions.radar import db_code, finite_positive
 
@@ -45,11 +46,10 @@ def day_mosaic(obs: DataFrame, roi: DataFrame, bands: Sequence[str], min_coverag
 
 
 def fallback(obs: DataFrame, roi: DataFrame, chosen: DataFrame, seed: int = 17) -> DataFrame:
-    """(date, y, x, item_seq): for days and ROI pixels without a valid item, one of their items by a portable hash."""
+    """(date, y, x, item_seq): for days and ROI pixels without a valid item, one of their items, that of the least hash."""
     rest = obs.join(roi.select(*PIXEL), list(PIXEL), "left_semi").join(chosen.select("date", *PIXEL), ["date", *PIXEL], "left_anti")
-    day = F.year("date").cast("long") * 372 + F.month("date") * 31
-    h = (F.col("y").cast("long") * 126704 + F.col("x") * 7919 + day * 6151 + F.col("item_seq").cast("long") * 104729 + seed) % 1000003
-    return rest.groupBy("date", *PIXEL).agg(F.min(h * 1000 + F.col("item_seq")).alias("least")).select("date", *PIXEL, (F.col("least") % 1000).cast("int").alias("item_seq"))
+    h = mixed(F.col("y"), F.col("x"), F.unix_date("date"), F.col("item_seq"), seed=seed)
+    return rest.groupBy("date", *PIXEL).agg(F.min(F.struct(h.alias("h"), "item_seq")).alias("b")).select("date", *PIXEL, F.col("b.item_seq").alias("item_seq"))
 
 
 def class_histogram(obs: DataFrame, roi: DataFrame) -> DataFrame:
@@ -76,9 +76,18 @@ def radar_mosaic(sar: DataFrame) -> DataFrame:
     return coded.groupBy("date", "orbit", "pol", *PIXEL).agg(F.min_by("code", "item_id").alias("code"))
 
 
-def radar_status(groups: DataFrame, min_coverage: float = 10.0) -> DataFrame:
-    """Adds status to (date, orbit, pol, n, pct): no_data, skipped (too little coverage) or success."""
-    return groups.withColumn("status", F.when(F.col("n") == 0, "no_data").when(F.col("pct") < min_coverage, "skipped").otherwise("success"))
+def radar_groups(sar: DataFrame, roi_pixels: int) -> DataFrame:
+    """(date, orbit, pol, n, pct): all groups that have items, n their valid pixels over all items, pct the best item's."""
+    keys = ["date", "orbit", "pol"]
+    each = sar.groupBy(*keys, "tile", *PIXEL).agg(F.max(finite_positive(F.col("amp")).cast("int")).alias("ok"))
+    tiles = each.groupBy(*keys, "tile").agg(F.sum("ok").alias("n"))
+    return tiles.groupBy(*keys).agg(F.sum("n").alias("n"), percent(F.max("n"), F.lit(roi_pixels)).alias("pct"))
+
+
+def radar_status(groups: DataFrame, min_coverage: float = 10.0, failed: Column | None = None) -> DataFrame:
+    """Adds status to (date, orbit, pol, n, pct): failed (where told so), no_data, skipped (too little coverage) or success."""
+    status = F.when(F.lit(False) if failed is None else failed, "failed").when(F.col("n") == 0, "no_data")
+    return groups.withColumn("status", status.when(F.col("pct") < min_coverage, "skipped").otherwise("success"))
 
 
 def status_summary(status: DataFrame, *keys: str) -> DataFrame:
@@ -88,7 +97,7 @@ def status_summary(status: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("ok", (F.col("n_success") > 0) | (F.col("n_skipped") == F.col("n_all")))
 
 
-def run_verdict(groups: DataFrame) -> DataFrame:
-    """One row: groups that are fine, all groups, and all/partial/none."""
-    out = groups.agg(F.count_if("ok").alias("n_ok"), F.count("*").alias("n_groups"))
+def run_verdict(groups: DataFrame, *keys: str) -> DataFrame:
+    """Of each run: groups that are fine, all groups, and all/partial/none."""
+    out = groups.groupBy(*keys).agg(F.count_if("ok").alias("n_ok"), F.count("*").alias("n_groups"))
     return out.withColumn("verdict", F.when(F.col("n_ok") == F.col("n_groups"), "all").when(F.col("n_ok") > 0, "partial").otherwise("none"))

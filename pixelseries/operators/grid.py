@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelseries.functions.crs import epsg, simple_zone, to_utm
+from pixelseries.functions.crs import epsg, from_utm, simple_zone, to_utm
 
 
 def world(a: Column, c: Column, index: Column) -> Column:
@@ -77,9 +77,9 @@ def regrid(rows: DataFrame, rate: int) -> DataFrame:
     return kept.withColumns({"y": (F.col("y") / rate).cast("int"), "x": (F.col("x") / rate).cast("int")})
 
 
-def block_mean(rows: DataFrame, value: str, factor: int, height: int, width: int, whole_numbers: bool = False) -> DataFrame:
+def block_mean(rows: DataFrame, value: str, factor: int, height: Column, width: Column, whole_numbers: bool = False) -> DataFrame:
     """Means of blocks of factor x factor pixels; remainder rows and columns are dropped, whole numbers truncated."""
-    inside = rows.where((F.col("y") < height // factor * factor) & (F.col("x") < width // factor * factor))
+    inside = rows.where((F.col("y") < F.floor(height / factor) * factor) & (F.col("x") < F.floor(width / factor) * factor))
     keys = [F.floor(F.col(k) / factor).cast("int").alias(k) for k in ("y", "x")]
     others = [c for c in rows.columns if c not in ("y", "x", value)]
     mean = F.sum(value) / F.lit(float(factor * factor))
@@ -117,3 +117,33 @@ def utm_bounds(boxes: DataFrame, zone: Column, *keys: str, steps: int = 20) -> D
     east, north = to_utm(F.col("p.lon"), F.col("p.lat"), F.col("__zone"))
     xy = points.select(*keys, east.alias("e"), north.alias("n"))
     return xy.groupBy(*keys).agg(F.min("e").alias("min_e"), F.min("n").alias("min_n"), F.max("e").alias("max_e"), F.max("n").alias("max_n"))
+
+
+def lonlat_bounds(boxes: DataFrame, zone: Column, south: Column, *keys: str, steps: int = 20) -> DataFrame:
+    """West, south, east and north of boxes in UTM metres, from points along their edges."""
+    rows = boxes.select("*", zone.alias("__zone"), south.alias("__south"), F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
+    at = F.col("k") / F.lit(float(steps))
+    x, y = F.col("minx") + (F.col("maxx") - F.col("minx")) * at, F.col("miny") + (F.col("maxy") - F.col("miny")) * at
+    sides = F.array(*(F.struct(a.alias("e"), b.alias("n")) for a, b in ((x, F.col("miny")), (x, F.col("maxy")), (F.col("minx"), y), (F.col("maxx"), y))))
+    points = rows.select(*keys, "__zone", "__south", F.explode(sides).alias("p"))
+    lon, lat = from_utm(F.col("p.e"), F.col("p.n"), F.col("__zone"), F.col("__south"))
+    ends = points.select(*keys, lon.alias("lon"), lat.alias("lat"))
+    return ends.groupBy(*keys).agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+
+
+def ordinal(y: Column, x: Column, width: int) -> Column:
+    """Row-major number of a pixel."""
+    return y.cast("long") * width + x
+
+
+def from_ordinal(n: Column, width: int) -> tuple[Column, Column]:
+    """(y, x) of a row-major number."""
+    return F.floor(n / width).cast("int"), F.pmod(n, F.lit(width)).cast("int")
+
+
+def common_extent(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of the rasters within the height and width that all of a key's rasters (raster) have: the common crop from the
+    upper left corner."""
+    sizes = rows.groupBy(*keys, "raster").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    least = sizes.groupBy(*keys).agg(F.min("h").alias("__h"), F.min("w").alias("__w"))
+    return rows.join(least, list(keys)).where((F.col("y") < F.col("__h")) & (F.col("x") < F.col("__w"))).drop("__h", "__w")

@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelseries.functions.mix import mixed
+
+
+def numbered(rows: DataFrame, group: Sequence[str], cell: Sequence[Column], inside: Sequence[Column], name: str) -> DataFrame:
+    """rows with gapless numbers from 0 in each group (all rows, if it names none), by the cells' order, then by the order
+    inside. Only a cell's rows meet in one task; of the others just the cells' counts are needed."""
+    keys = [f"__cell{k}" for k in range(len(cell))]
+    rows = rows.withColumns(dict(zip(keys, cell)))
+    before = Window.partitionBy(*group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(*group, *keys).count().select(*group, *keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    nth = F.row_number().over(Window.partitionBy(*group, *keys).orderBy(*inside))
+    out = rows.withColumn("__nth", nth).join(first, [*group, *keys])
+    return out.withColumn(name, (F.col("__first") + F.col("__nth") - 1).cast("long")).drop("__first", "__nth", *keys)
+
 
 def spread_bits(v: Column, bits: int = 16) -> Column:
     """Bit k of a number moves to bit 2k."""
@@ -27,10 +43,15 @@ def by_locality(rows: DataFrame, partitions: int, *keys: str) -> DataFrame:
 
 def chunked(pixels: DataFrame, size: int, *keys: str) -> DataFrame:
     """chunk: every `size` pixels of a key in row-major order."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x")) - 1
-    return pixels.withColumn("chunk", F.floor(nth / size).cast("int"))
+    return numbered(pixels, list(keys), [F.col("y")], [F.col("x")], "chunk").withColumn("chunk", F.floor(F.col("chunk") / size).cast("int"))
 
 
 def shard(rows: DataFrame, shards: int, pixel: Column, seed: int = 17) -> DataFrame:
-    """shard: by a portable hash of the pixel, so that a pixel's sensors share a shard."""
-    return rows.withColumn("shard", ((pixel.cast("long") * 7919 + seed) % 1000003 % shards).cast("int"))
+    """shard: by a hash of the pixel, so that a pixel's sensors share a shard."""
+    return rows.withColumn("shard", (mixed(pixel, seed=seed) % shards).cast("int"))
+
+
+def write_shards(rows: DataFrame, shards: int, pixel: Column, path: str) -> None:
+    """Rows by shard, a folder each, in order of the Morton key; a hot shard is dealt to several writers by its key's range."""
+    placed = shard(rows, shards, pixel).withColumn("morton", morton(F.col("y"), F.col("x")))
+    placed.repartitionByRange("shard", "morton").sortWithinPartitions("shard", "morton").write.partitionBy("shard").parquet(path)

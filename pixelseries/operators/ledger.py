@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelseries.functions.names import duration
+from pixelseries.operators.layout import numbered
 
 
 def open_tiles(tiles: DataFrame, done: DataFrame, key: str = "tile_id") -> DataFrame:
@@ -13,19 +14,26 @@ def open_tiles(tiles: DataFrame, done: DataFrame, key: str = "tile_id") -> DataF
     return tiles.join(done.select(key), key, "left_anti")
 
 
-def balanced_split(tiles: DataFrame, workers: int, key: str = "tile_id") -> DataFrame:
-    """worker (0..): contiguous shares in order of the key, the first ones a tile larger; none is lost. A list of tiles is
-    short, so one task may number it."""
-    return tiles.withColumn("worker", F.ntile(workers).over(Window.orderBy(key)) - 1)
+def _placed(tiles: DataFrame, key: str, prefix: int) -> DataFrame:
+    """Adds __n (place in order of the key, from 0) and __all (number of tiles). Tiles of a key's prefix are one cell."""
+    rows = numbered(tiles, [], [F.substring(key, 1, prefix)], [F.col(key)], "__n")
+    return rows.join(F.broadcast(tiles.agg(F.count("*").alias("__all"))))  # one row
 
 
-def ratio_split(tiles: DataFrame, first: int, second: int, key: str = "tile_id") -> DataFrame:
+def balanced_split(tiles: DataFrame, workers: int, key: str = "tile_id", prefix: int = 12) -> DataFrame:
+    """worker (0..): contiguous shares in order of the key, the first ones a tile larger; none is lost."""
+    size, extra = F.floor(F.col("__all") / workers), F.col("__all") % workers
+    late = extra + F.floor((F.col("__n") - extra * (size + 1)) / size)
+    worker = F.when(F.col("__n") < extra * (size + 1), F.floor(F.col("__n") / (size + 1))).otherwise(late)
+    return _placed(tiles, key, prefix).withColumn("worker", worker.cast("int")).drop("__n", "__all")
+
+
+def ratio_split(tiles: DataFrame, first: int, second: int, key: str = "tile_id", prefix: int = 12) -> DataFrame:
     """pool: 1 for the first floor(n * first / (first + second)) tiles in order, 2 for the rest."""
     if first < 0 or second < 0 or first + second == 0:
         raise ValueError("shares are not negative and not both 0")
-    w = Window.orderBy(key)
-    bound = F.floor(F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * first / (first + second))
-    return tiles.withColumn("pool", F.when(F.row_number().over(w) <= bound, 1).otherwise(2))
+    bound = F.floor(F.col("__all") * first / (first + second))
+    return _placed(tiles, key, prefix).withColumn("pool", F.when(F.col("__n") < bound, 1).otherwise(2)).drop("__n", "__all")
 
 
 def progress(tiles: DataFrame, done: DataFrame, key: str = "tile_id") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelseries.functions.mix import PRIME, mixed
 from pixelseries.functions.optical import legacy_classes
 from pixelseries.functions.vectors import allclose
 
@@ -79,6 +80,12 @@ def raster_audit(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return out.withColumn("usable", (F.col("lowest") != 0) | (F.col("highest") != 0))
 
 
+def tile_report(rows: DataFrame, value: str, nodata: float, *keys: str) -> DataFrame:
+    """Of each raster: width, height, values, share without data, and the kind of its values."""
+    out = rows.groupBy(*keys).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.count("*").alias("n"), F.avg((F.col(value) == nodata).cast("double")).alias("nodata_share"))
+    return out.withColumn("dtype", F.lit(dict(rows.dtypes)[value]))
+
+
 def grid_audit(rasters: DataFrame, grids: DataFrame) -> DataFrame:
     """Each raster's grid against the expected one: size, EPSG code and affine terms (within tolerance); missing is null."""
     terms = lambda t: F.array(*(F.col(f"{t}.{c}") for c in "abcdef"))
@@ -108,12 +115,12 @@ def equalize(rows: DataFrame, value: str, levels: int = 256) -> DataFrame:
 
 def head_by_hash(rows: DataFrame, key: Column, n: int = 1) -> DataFrame:
     """n rows picked by a portable hash: a repeatable random pixel."""
-    return rows.withColumn("__h", key * 7919 % 1000003).orderBy("__h", key).limit(n).drop("__h")
+    return rows.withColumn("__h", mixed(key)).orderBy("__h", key).limit(n).drop("__h")
 
 
 def sampled_missing(cube: DataFrame, missing: Column, key: Column, share: float) -> DataFrame:
     """missing_fraction of about `share` of the rows, picked by a portable hash: the sampling is the feature."""
-    return missing_fraction(cube.where((key * 7919 + 17) % 1000003 < int(share * 1000003)), missing)
+    return missing_fraction(cube.where(mixed(key) < int(share * PRIME) * PRIME), missing)
 
 
 def channel_order(values: Column, order: Sequence[int]) -> Column:

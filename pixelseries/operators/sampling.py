@@ -7,30 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelseries.functions.mix import mixed
 from pixelseries.functions.vectors import any_nonzero, standardized
 
-PRIME = 1000003
 STEPS = 40
-
-
-def portable_hash(pixel: Column, date: Column, item: Column, seed: int = 17) -> Column:
-    day = F.year(date).cast("long") * 372 + F.month(date) * 31
-    return (pixel.cast("long") * 7919 + day * 6151 + item.cast("long") * 104729 + seed) % PRIME
+MIXUP_SEED = 29
 
 
 def sample_steps(rows: DataFrame, pixel: Sequence[str], ordinal: str, valid: Column, h: Column, k: int = STEPS) -> DataFrame:
-    """Exactly k steps of each pixel, in order: of N valid steps (all steps, if none is valid) k by the least hashes if
-    N >= k, else k draws with repeats, the j-th being the (hash of the pixel's first step + j * 7919) % N-th one. Adds rank
-    (0..k-1 in order of the ordinal)."""
+    """Exactly k steps of each pixel, in order: of N valid steps (all steps, if none is valid) those of the k least hashes if
+    N >= k, else k draws with replacement, each a hash of pixel and draw. Adds rank (0..k-1 in order of the ordinal).
+    More than k steps of a pixel are never needed, so the rest is dropped while it is ranked."""
     w = Window.partitionBy(*pixel)
-    rows = rows.withColumns({"__ok": valid, "__h": h})
-    rows = rows.withColumn("__any", F.max(F.col("__ok").cast("int")).over(w)).where((F.col("__any") == 0) | F.col("__ok"))
-    rows = rows.withColumns({"__n": F.count("*").over(w), "__at": F.row_number().over(w.orderBy(ordinal)) - 1, "__rk": F.row_number().over(w.orderBy("__h", ordinal)), "__first": F.min("__h").over(w)})
-    draws = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (F.col("__first") + j * 7919) % F.col("__n"))
-    times = F.when(F.col("__n") >= k, (F.col("__rk") <= k).cast("int")).otherwise(F.size(F.filter(draws, lambda d: d == F.col("__at"))))
-    taken = rows.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    rows = rows.withColumns({"__ok": valid.cast("int"), "__h": h})
+    rows = rows.withColumn("__rk", F.row_number().over(w.orderBy(F.desc("__ok"), "__h", ordinal))).where(F.col("__rk") <= k)
+    rows = rows.withColumns({"__n_ok": F.sum("__ok").over(w), "__all": F.count("*").over(w)}).where("__n_ok = 0 or __ok = 1")
+    n = F.when(F.col("__n_ok") > 0, F.col("__n_ok")).otherwise(F.col("__all"))  # k at most
+    drawn = lambda j: mixed(*map(F.col, pixel), j) % n == F.col("__rk") - 1
+    copies = F.when(n >= k, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), drawn))
+    taken = rows.withColumn("__copy", F.explode(copies))
     out = taken.withColumn("rank", F.row_number().over(w.orderBy(ordinal, "__copy")) - 1)
-    return out.drop("__ok", "__h", "__any", "__n", "__at", "__rk", "__first", "__times", "__copy")
+    return out.drop("__ok", "__h", "__rk", "__n_ok", "__all", "__copy")
 
 
 def orbit_union(ascending: DataFrame, descending: DataFrame) -> DataFrame:
@@ -51,14 +48,17 @@ def radar_valid() -> Column:
 
 
 def shuffled(tiles: DataFrame, key: Column, most: int | None = None) -> DataFrame:
-    """Rows in order of a portable hash, at most `most`: a capped, shuffled training sample."""
-    out = tiles.withColumn("__h", key.cast("long") * 7919 % PRIME).orderBy("__h", key)
+    """Rows in order of a hash, at most `most`: a capped, shuffled training sample."""
+    out = tiles.withColumn("__h", mixed(key)).orderBy("__h", key)
     return (out if most is None else out.limit(most)).drop("__h")
 
 
-def mixup(rows: DataFrame, key: str, values: str, share: float) -> DataFrame:
-    """share * v + (1 - share) * the vector of the next key in a hash order of each bucket of keys."""
-    bucket = Window.partitionBy(F.pmod(F.col(key), F.lit(64))).orderBy(F.col(key).cast("long") * 7919 % PRIME, key)
-    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    partner = F.coalesce(F.lead(values).over(bucket), F.first(values).over(whole))
-    return rows.withColumn("mixed", F.zip_with(F.col(values), partner, lambda a, b: a * share + b * (1 - share)))
+def mixup(rows: DataFrame, key: str, values: str, share: float, bucket_rows: int = 10_000) -> DataFrame:
+    """share * v + (1 - share) * the vector of the next key in a hash order of each bucket of keys; buckets of about
+    `bucket_rows` keys, by another hash."""
+    buckets = max(1, -(-rows.count() // bucket_rows))
+    rows = rows.withColumn("__bucket", mixed(F.col(key), seed=MIXUP_SEED) % buckets)
+    order = Window.partitionBy("__bucket").orderBy(mixed(F.col(key)), key)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    partner = F.coalesce(F.lead(values).over(order), F.first(values).over(whole))
+    return rows.withColumn("mixed", F.zip_with(F.col(values), partner, lambda a, b: a * share + b * (1 - share))).drop("__bucket")

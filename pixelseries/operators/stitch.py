@@ -34,11 +34,21 @@ def scale_factors(results: DataFrame, roi_rows: DataFrame, *keys: str) -> DataFr
     return a.join(b, list(keys)).withColumn("factor", F.col("result_rows") / F.col("roi_rows"))
 
 
+def placed(patches: DataFrame, values: DataFrame, key: str, rows: int, cols: int) -> DataFrame:
+    """(key, y, x, ...): a patch's values (py, px of rows x cols) at the target pixels of its window (row0, col0, row1, col1):
+    each target pixel takes the nearest value at the patch's scale. An equi-join by patch and value."""
+    height, width = F.col("row1") - F.col("row0"), F.col("col1") - F.col("col0")
+    cells = patches.where((height > 0) & (width > 0)).select("*", F.explode(F.sequence(F.col("row0"), F.col("row1") - 1)).alias("y"))
+    cells = cells.select("*", F.explode(F.sequence(F.col("col0"), F.col("col1") - 1)).alias("x"))
+    py, px = F.floor((F.col("y") - F.col("row0")) * rows / height).cast("int"), F.floor((F.col("x") - F.col("col0")) * cols / width).cast("int")
+    return cells.select(key, "y", "x", py.alias("py"), px.alias("px")).join(values, [key, "py", "px"]).drop("py", "px")
+
+
 def stitch(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
-    """(y, x, winner, values, n_patches): of the patches on a target pixel the last by order. The order alone is
-    aggregated (hashed, partly before the shuffle); the winner's values are joined back."""
-    best = rows.groupBy("y", "x").agg(F.max(order).alias(order), F.count("*").alias("n_patches"))
-    return rows.join(best, ["y", "x", order]).select("y", "x", F.col(order).alias("winner"), *values, "n_patches")
+    """(y, x, winner, values, n_patches): of the patches on a target pixel the last by order; of rows with equal order the
+    one with the greatest values."""
+    best = rows.groupBy("y", "x").agg(F.max(F.struct(order, *values)).alias("b"), F.count("*").alias("n_patches"))
+    return best.select("y", "x", F.col(f"b.{order}").alias("winner"), *(F.col(f"b.{v}").alias(v) for v in values), "n_patches")
 
 
 def stitch_coverage(stitched: DataFrame, roi: DataFrame, total: int) -> DataFrame:
@@ -50,21 +60,18 @@ def stitch_coverage(stitched: DataFrame, roi: DataFrame, total: int) -> DataFram
     return counts.withColumns({"pct_roi": percent(F.col("n_inside"), F.col("n_roi")), "pct_all": percent(F.col("n_covered"), F.lit(total))})
 
 
-def bilinear(source: DataFrame, value: str, height: int, width: int, out_height: int, out_width: int) -> DataFrame:
-    """(y, x, value) of the target grid: every source pixel sends its value with a weight to the target pixels near it,
-    and these add up; at the right and lower edges the neighbour is clamped."""
-    target = source.select("y", "x").agg(F.lit(1).alias("one"))
-    ys = target.select(F.explode(F.sequence(F.lit(0), F.lit(out_height - 1))).alias("ty"))
-    grid = ys.select("ty", F.explode(F.sequence(F.lit(0), F.lit(out_width - 1))).alias("tx"))
-    sy, sx = F.col("ty") * F.lit(height / out_height), F.col("tx") * F.lit(width / out_width)
-    y0, x0 = F.floor(sy).cast("int"), F.floor(sx).cast("int")
-
-    def near(c: Column, low: Column, size: int) -> list[tuple[Column, Column]]:
-        low = F.least(low, F.lit(size - 1))
-        part = F.least(F.greatest(c - low, F.lit(0.0)), F.lit(1.0))
-        return [(low, 1 - part), (F.least(low + 1, F.lit(size - 1)), part)]
-
-    parts = [F.struct(y.alias("y"), x.alias("x"), (wy * wx).alias("weight")) for y, wy in near(sy, y0, height) for x, wx in near(sx, x0, width)]
-    taps = grid.select("ty", "tx", F.explode(F.array(*parts)).alias("p")).select("ty", "tx", "p.*").where("weight > 0")
-    summed = taps.join(source.select("y", "x", value), ["y", "x"]).groupBy("ty", "tx").agg(F.sum(F.col("weight") * F.col(value)).alias(value))
-    return summed.select(F.col("ty").alias("y"), F.col("tx").alias("x"), value)
+def bilinear(source: DataFrame, value: str, height: int | Column, width: int | Column, zoom: int) -> DataFrame:
+    """(y, x, value) of a grid `zoom` times as fine: every target pixel lies between two rows and two columns of source
+    pixels, whose values come with its weights; at the right and lower edges the neighbour is clamped. Source pixels list the
+    targets that they have a part in, so the work is dealt as the source is."""
+    height, width = (c if isinstance(c, Column) else F.lit(c) for c in (height, width))
+
+    def reach(k: Column, size: Column) -> Column:
+        """(t, weight) along one axis: targets from the source pixel before to the next one; the last pixel is its own next."""
+        own = F.transform(F.sequence(k * zoom, k * zoom + zoom - 1), lambda t: F.struct(t.alias("t"), F.when(k == size - 1, 1.0).otherwise(1 - (t - k * zoom) / zoom).alias("w")))
+        back = F.transform(F.sequence((k - 1) * zoom, k * zoom - 1), lambda t: F.struct(t.alias("t"), ((t - (k - 1) * zoom) / zoom).alias("w")))
+        return F.filter(F.when(k > 0, F.concat(own, back)).otherwise(own), lambda p: p["w"] > 0)
+
+    rows = source.select(F.col(value), F.explode(reach(F.col("y"), height)).alias("p"), reach(F.col("x"), width).alias("across"))
+    taps = rows.select(value, F.col("p.t").alias("y"), F.col("p.w").alias("wy"), F.explode("across").alias("q"))
+    return taps.groupBy("y", F.col("q.t").alias("x")).agg(F.sum(F.col("wy") * F.col("q.w") * F.col(value)).alias(value))

@@ -21,10 +21,10 @@ def layer_mosaic(layers: DataFrame) -> DataFrame:
     return layers.groupBy("y", "x").agg(F.max_by("value", "layer_seq").alias("value"))
 
 
-def square_mask(mask: DataFrame) -> DataFrame:
-    """Set cells within the smaller side of a mask that is not square."""
-    side = mask.agg(F.least(F.max("y"), F.max("x")).alias("side"))
-    return mask.join(F.broadcast(side)).where((F.col("value") != 0) & (F.col("y") <= F.col("side")) & (F.col("x") <= F.col("side"))).select("y", "x")
+def square_mask(mask: DataFrame, height: int, width: int) -> DataFrame:
+    """Set cells within the smaller side of a mask that is not square; the sides are the grid's, whatever cells are set."""
+    side = min(height, width)
+    return mask.where((F.col("value") != 0) & (F.col("y") < side) & (F.col("x") < side)).select("y", "x")
 
 
 def masked(cube: DataFrame, mask: DataFrame, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:

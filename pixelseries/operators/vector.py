@@ -83,13 +83,14 @@ def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return chain(points) + chain(points[::-1])
 
 
-def convex_hulls(points: DataFrame, key: str, slices: int = 64) -> DataFrame:
-    """(key, seq, vx, vy): hull corners. Only points that are extreme in their column of x (slices of a key's width) can be
-    corners, so at most 2 * slices + 2 columns' extremes of a key meet in one group."""
-    span = points.groupBy(key).agg(F.min("vx").alias("lo"), F.max("vx").alias("hi"))
-    cut = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("vx") - F.col("lo")) / (F.col("hi") - F.col("lo")) * slices)).otherwise(0)
-    sliced = points.join(span, key).withColumn("slice", cut)
-    # every corner is on the hull of its own column: hulls of columns first, then of their corners
+def convex_hulls(points: DataFrame, key: str, part_rows: int = 50_000) -> DataFrame:
+    """(key, seq, vx, vy): hull corners, counter-clockwise from the leftmost. A hull's corners are among those of the hulls of
+    any parts: of each x only the lowest and highest point is kept, and a key's points are dealt by a hash into parts of about
+    `part_rows` points, whose few corners then meet."""
+    ends = points.groupBy(key, "vx").agg(F.min("vy").alias("lo"), F.max("vy").alias("hi"))
+    ends = ends.select(key, F.col("vx").cast("double").alias("vx"), F.explode(F.array_distinct(F.array(F.col("lo").cast("double"), F.col("hi").cast("double")))).alias("vy"))
+    parts = max(1, -(-points.count() // part_rows))
+    dealt = ends.withColumn("part", F.pmod(F.xxhash64("vx", "vy"), F.lit(parts)))
 
     def run(table: pa.Table) -> pa.Table:
         hull = _hull(list(zip(table.column("vx").to_pylist(), table.column("vy").to_pylist())))
@@ -98,8 +99,7 @@ def convex_hulls(points: DataFrame, key: str, slices: int = 64) -> DataFrame:
 
     kind = dict(points.dtypes)[key]
     schema = f"{key} {kind}, seq int, vx double, vy double"
-    columns = sliced.select(key, "slice", F.col("vx").cast("double").alias("vx"), F.col("vy").cast("double").alias("vy"))
-    return columns.groupBy(key, "slice").applyInArrow(run, schema).groupBy(key).applyInArrow(run, schema)
+    return dealt.groupBy(key, "part").applyInArrow(run, schema).groupBy(key).applyInArrow(run, schema)
 
 
 def meets_any(windows_: DataFrame, rings: DataFrame, bin_size: float, window_id: str) -> DataFrame:

@@ -5,38 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelseries.functions import crs, names, optical, vectors
+from pixelseries.functions.mix import PRIME, mixed, mixed_sql
 from pixelseries.operators import composite, grid, layout, ledger, profile, sampling, score, stitch, treemask, vector
 from pixelseries.plans import views as V
-from pixelseries.plans.views import with_views
+from pixelseries.plans.registry import ORACLES, QUERIES, query, r6
 from pixelseries.sources import catalog, lists, sinks
 from pixelseries.streaming import arrivals
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None, *views: str, dates: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    """Registers a query under its name, with its SQL over the named views. Dates are returned as ISO strings."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = lambda s, d: f(s, d).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in dates})
-        if sql:
-            text = ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c}" for c in dates)
-            ORACLES[f.__name__] = with_views(f"SELECT * REPLACE ({text}) FROM ({sql})" if dates else sql, *views)
-        return f
-
-    return add
-
-
-def r6(c: Column) -> Column:
-    """Six decimals, without a negative zero."""
-    return F.round(c.cast("double"), 6) + F.lit(0.0)
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- optical ---------------------------------------------------------------------------------------------------------
 
@@ -79,18 +60,21 @@ def day_mosaic_harmonized(s: SparkSession, d: str) -> DataFrame:
     return composite.day_mosaic(V.obs(s, d), V.roi(s, d), ["p0"], min_coverage=10.0)
 
 
+DAY = "(date - DATE '1970-01-01')"
+
+
 @query(
-    """SELECT date, y, x, min(h * 1000 + item_seq) % 1000 AS item_seq FROM (SELECT o.*, (o.y * 126704 + o.x * 7919 + (year(date) * 372 + month(date) * 31) * 6151 + item_seq * 104729 + 17) % 1000003 AS h
-    FROM obs o JOIN roi USING (px) ANTI JOIN first_valid f USING (date, px)) GROUP BY date, y, x""",
+    f"""SELECT date, y, x, item_seq FROM (SELECT o.*, row_number() OVER (PARTITION BY date, o.y, o.x ORDER BY {mixed_sql("o.y", "o.x", DAY, "item_seq")}, item_seq) AS nth
+    FROM obs o JOIN roi USING (px) ANTI JOIN first_valid f USING (date, px)) WHERE nth = 1""",
     "obs", "roi", "first_valid", dates=("date",))
 def fallback_pick(s: SparkSession, d: str) -> DataFrame:
     obs, roi = V.obs(s, d), V.roi(s, d)
     return composite.fallback(obs, roi, composite.first_valid(obs, roi))
 
 
-@query("SELECT count(*) AS n_days FROM (SELECT date FROM obs GROUP BY date HAVING list_sort(list(DISTINCT scl)) = [0, 4])", "obs")
+@query("SELECT px, date FROM obs GROUP BY px, date HAVING list_sort(list(DISTINCT scl)) = [0, 4]", "obs", dates=("date",))
 def legacy_products(s: SparkSession, d: str) -> DataFrame:
-    return profile.legacy_products(V.obs(s, d), "date").agg(F.count("*").alias("n_days"))
+    return profile.legacy_products(V.obs(s, d), "px", "date")
 
 
 # --- radar -----------------------------------------------------------------------------------------------------------
@@ -128,21 +112,24 @@ def radar_mosaic(s: SparkSession, d: str) -> DataFrame:
 
 
 def _status(s: SparkSession, d: str) -> DataFrame:
-    groups = composite.radar_item_coverage(V.sar(s, d), V.RADAR_PIXELS)
-    return composite.radar_status(groups.withColumn("n", F.lit(1)), 30.0)
+    groups = composite.radar_groups(V.sar(s, d), V.RADAR_PIXELS)
+    return composite.radar_status(groups, 3.0, F.col("orbit") == "unknown").withColumn("month", F.date_format("date", "yyyy-MM"))
 
 
-@query(
-    f"""SELECT date, orbit, count(*) FILTER (pct >= 30) AS n_success, count(*) FILTER (pct < 30) AS n_skipped, 0 AS n_no_data, 0 AS n_failed, count(*) AS n_all,
-    count(*) FILTER (pct >= 30) > 0 OR count(*) FILTER (pct < 30) = count(*) AS ok FROM ({RADAR_COVERAGE}) GROUP BY date, orbit""",
-    "sar", dates=("date",))
+STATUS = """SELECT *, strftime(date, '%Y-%m') AS month, CASE WHEN orbit = 'unknown' THEN 'failed' WHEN n = 0 THEN 'no_data' WHEN 100.0::DOUBLE * best / 64 < 3 THEN 'skipped' ELSE 'success' END AS status
+    FROM (SELECT date, orbit, pol, sum(n) AS n, max(n) AS best FROM (SELECT date, orbit, pol, tile, count(DISTINCT px) FILTER (amp > 0) AS n FROM sar GROUP BY ALL) GROUP BY ALL)"""
+SUMMARY = f"""SELECT month, date, count(*) FILTER (status = 'success') AS n_success, count(*) FILTER (status = 'skipped') AS n_skipped, count(*) FILTER (status = 'no_data') AS n_no_data,
+    count(*) FILTER (status = 'failed') AS n_failed, count(*) AS n_all, bool_or(status = 'success') OR bool_and(status = 'skipped') AS ok FROM ({STATUS}) GROUP BY month, date"""
+
+
+@query(f"SELECT * EXCLUDE (month) FROM ({SUMMARY})", "sar", dates=("date",))
 def run_status(s: SparkSession, d: str) -> DataFrame:
-    return composite.status_summary(_status(s, d), "date", "orbit")
+    return composite.status_summary(_status(s, d), "date")
 
 
-@query(f"SELECT count(*) AS n_ok, count(*) AS n_groups, 'all' AS verdict FROM (SELECT DISTINCT date, orbit FROM ({RADAR_COVERAGE}))", "sar")
+@query(f"SELECT month, count(*) FILTER (ok) AS n_ok, count(*) AS n_groups, CASE WHEN bool_and(ok) THEN 'all' WHEN bool_or(ok) THEN 'partial' ELSE 'none' END AS verdict FROM ({SUMMARY}) GROUP BY month", "sar")
 def run_verdict(s: SparkSession, d: str) -> DataFrame:
-    return composite.run_verdict(composite.status_summary(_status(s, d), "date", "orbit"))
+    return composite.run_verdict(composite.status_summary(_status(s, d), "month", "date"), "month")
 
 
 # --- catalog ---------------------------------------------------------------------------------------------------------
@@ -237,7 +224,7 @@ def missing_fraction(s: SparkSession, d: str) -> DataFrame:
     return profile.missing_fraction(V.cube(s, d), ~F.col("valid"), "year").withColumn("missing", r6(F.col("missing")))
 
 
-@query("SELECT round(avg((NOT valid)::INT::DOUBLE), 6) AS missing FROM cube WHERE ((px::BIGINT * 10000 + doy) * 7919 + 17) % 1000003 < 500001", "cube")
+@query(f"SELECT round(avg((NOT valid)::INT::DOUBLE), 6) AS missing FROM cube WHERE {mixed_sql('px * 10000 + doy')} < {PRIME // 2} * {PRIME}::BIGINT", "cube")
 def sampled_missing(s: SparkSession, d: str) -> DataFrame:
     key = F.col("px").cast("long") * 10000 + F.col("doy")
     return profile.sampled_missing(V.cube(s, d), ~F.col("valid"), key, 0.5).withColumn("missing", r6(F.col("missing")))
@@ -268,7 +255,7 @@ def raster_audit(s: SparkSession, d: str) -> DataFrame:
     return profile.raster_audit(V.cube(s, d), "b0", "date")
 
 
-@query("SELECT px FROM (SELECT DISTINCT px FROM cube) ORDER BY (px * 7919) % 1000003, px LIMIT 1", "cube")
+@query(f"SELECT px FROM (SELECT DISTINCT px FROM cube) ORDER BY {mixed_sql('px')}, px LIMIT 1", "cube")
 def random_pixel(s: SparkSession, d: str) -> DataFrame:
     return profile.head_by_hash(V.cube(s, d).select("px").distinct(), F.col("px"))
 
@@ -287,12 +274,16 @@ def block_scan(s: SparkSession, d: str) -> DataFrame:
     return select_band(block(V.cube(s, d), 4, 9, 2, 11), "v", 0).select("px", "date", F.col("value").cast("long").alias("b0"))
 
 
-@query("SELECT px, count(*) FILTER (valid) AS s2_valid, count(*) FILTER (b1 <> 0) AS radar_valid FROM cube GROUP BY px HAVING bool_or(b0 <> 0 OR b1 <> 0 OR b2 <> 0) AND count(*) FILTER (valid) >= 20 AND count(*) FILTER (b0 <> 0 OR b1 <> 0 OR b2 <> 0) >= 20", "cube")
+@query(
+    """SELECT px, s2_valid, s1a_valid, s1d_valid FROM (SELECT px, count(*) FILTER (valid) AS s2_valid, bool_or(b0 <> 0 OR b1 <> 0 OR b2 <> 0) AS s2_any FROM cube GROUP BY px)
+    JOIN (SELECT px, count(*) FILTER (orbit = 'ascending' AND (vv <> 0 OR vh <> 0)) AS s1a_valid, count(*) FILTER (orbit = 'descending' AND (vv <> 0 OR vh <> 0)) AS s1d_valid FROM radar_cube GROUP BY px) USING (px)
+    WHERE s2_any AND s2_valid >= 20 AND s1a_valid + s1d_valid >= 20""",
+    "cube", "radar_cube")
 def pixel_eligibility(s: SparkSession, d: str) -> DataFrame:
-    c = V.cube(s, d)
-    both = c.withColumn("sensor", F.lit("S2")).unionByName(c.withColumn("sensor", F.lit("S1A")))
-    keep = profile.eligible(profile.valid_counts(both, "px"), 20).select("px")
-    return c.join(keep, "px", "left_semi").groupBy("px").agg(F.count_if("valid").alias("s2_valid"), F.count_if(F.col("b1") != 0).alias("radar_valid"))
+    optical = V.cube(s, d).select("px", F.lit("S2").alias("sensor"), "valid", "v")
+    sensor = F.when(F.col("orbit") == "ascending", "S1A").otherwise("S1D")
+    both = optical.unionByName(V.radar_cube(s, d).select("px", sensor.alias("sensor"), F.lit(True).alias("valid"), "v"))
+    return profile.eligible(profile.valid_counts(both, "px"), 20).select("px", "s2_valid", "s1a_valid", "s1d_valid")
 
 
 # --- trees -----------------------------------------------------------------------------------------------------------
@@ -320,9 +311,9 @@ def layer_mosaic(s: SparkSession, d: str) -> DataFrame:
     return treemask.layer_mosaic(V.sar(s, d).select(F.col("item_id").alias("layer_seq"), "y", "x", db_code(F.col("amp")).alias("value")))
 
 
-@query("SELECT fy AS y, fx AS x FROM fine WHERE tree AND fy <= (SELECT least(max(fy), max(fx)) FROM fine) AND fx <= (SELECT least(max(fy), max(fx)) FROM fine)", "fine")
+@query("SELECT fy AS y, fx AS x FROM fine WHERE tree AND fy < 30 AND fx < 30", "fine")
 def square_mask(s: SparkSession, d: str) -> DataFrame:
-    return treemask.square_mask(V.fine(s, d).select(F.col("fy").alias("y"), F.col("fx").alias("x"), F.col("tree").cast("int").alias("value")))
+    return treemask.square_mask(V.fine(s, d).select(F.col("fy").alias("y"), F.col("fx").alias("x"), F.col("tree").cast("int").alias("value")), 30, 50)
 
 
 # --- grids -----------------------------------------------------------------------------------------------------------
@@ -335,18 +326,17 @@ def patch_assignment(s: SparkSession, d: str) -> DataFrame:
     return V.cube(s, d).select(grid.patch(F.col("y"), F.col("x"), 5, 16, 16)["patch"].alias("patch")).groupBy("patch").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT {PATCH} AS patch, count(*) AS n FROM cube WHERE {PATCH} IN (SELECT {PATCH} FROM tree_mask WHERE y < 3) GROUP BY ALL", "cube", "tree_mask")
+@query(f"SELECT {PATCH} AS patch, count(*) AS n FROM cube WHERE {PATCH} IN (SELECT {PATCH} FROM tree_mask) GROUP BY ALL", "cube", "tree_mask")
 def patch_with_data(s: SparkSession, d: str) -> DataFrame:
-    mask = treemask.tree_mask(V.fine(s, d), 2).where("y < 3")
+    mask = treemask.tree_mask(V.fine(s, d), 2)
     return grid.patches_with_data(V.cube(s, d), mask, 5, 16, 16).groupBy("patch").agg(F.count("*").alias("n"))
 
 
 @query("SELECT y // 3 AS y, x // 3 AS x, k - 1 AS dim, round(sum(z[k]) / 9, 6) AS value FROM rep, range(1, 5) t(k) WHERE y < (SELECT max(y) + 1 FROM rep) // 3 * 3 AND x < 24 GROUP BY ALL", "rep")
 def block_mean(s: SparkSession, d: str) -> DataFrame:
     rep = V.rep(s, d)
-    height = rep.agg(F.max("y")).first()[0] + 1
-    each = rep.select("y", "x", F.posexplode(F.slice("z", 1, 4)).alias("dim", "value"))
-    return grid.block_mean(each, "value", 3, height, 25).withColumn("value", r6(F.col("value")))
+    each = rep.join(F.broadcast(rep.agg((F.max("y") + 1).alias("h")))).select("h", "y", "x", F.posexplode(F.slice("z", 1, 4)).alias("dim", "value"))  # one row
+    return grid.block_mean(each, "value", 3, F.col("h"), F.lit(25)).select("y", "x", "dim", r6(F.col("value")).alias("value"))
 
 
 @query("SELECT y // 2 AS y, x // 2 AS x, vec_id FROM rep WHERE y % 2 = 0 AND x % 2 = 0", "rep")
@@ -383,15 +373,14 @@ def morton_key(s: SparkSession, d: str) -> DataFrame:
     return V.cube(s, d).select("px", "date", layout.morton(F.col("y"), F.col("x")).alias("morton"))
 
 
-@query("SELECT px, date, ((px::BIGINT * 7919 + 17) % 1000003) % 8 AS shard FROM cube", "cube", dates=("date",))
+@query(f"SELECT px, date, {mixed_sql('px')} % 8 AS shard FROM cube", "cube", dates=("date",))
 def shard_assignment(s: SparkSession, d: str) -> DataFrame:
     return layout.shard(V.cube(s, d), 8, F.col("px")).select("px", "date", "shard")
 
 
 @query("SELECT y, x, (row_number() OVER (ORDER BY y, x) - 1) // 100 AS chunk FROM tree_mask", "tree_mask")
 def series_chunks(s: SparkSession, d: str) -> DataFrame:
-    mask = treemask.tree_mask(V.fine(s, d), 2).withColumn("tile_id", F.lit("all"))
-    return layout.chunked(mask, 100, "tile_id").select("y", "x", "chunk")
+    return layout.chunked(treemask.tree_mask(V.fine(s, d), 2), 100).select("y", "x", "chunk")
 
 
 # --- stitching -------------------------------------------------------------------------------------------------------
@@ -425,8 +414,8 @@ def stitch_coverage(s: SparkSession, d: str) -> DataFrame:
 )
 def bilinear_resample(s: SparkSession, d: str) -> DataFrame:
     rep = V.rep(s, d).select("y", "x", F.get("z", F.lit(0)).alias("value"))
-    h = rep.agg(F.max("y")).first()[0] + 1
-    return stitch.bilinear(rep, "value", h, 25, 2 * h, 50).withColumn("value", r6(F.col("value")))
+    rep = rep.join(F.broadcast(rep.agg((F.max("y") + 1).alias("h"))))  # one row
+    return stitch.bilinear(rep, "value", F.col("h"), 25, 2).select("y", "x", r6(F.col("value")).alias("value"))
 
 
 @query(
@@ -441,33 +430,65 @@ def target_window(s: SparkSession, d: str) -> DataFrame:
 
 # --- sampling and features -------------------------------------------------------------------------------------------
 
-HASH = "(px::BIGINT * 7919 + (year(date) * 372 + month(date) * 31) * 6151 + item_seq * 104729 + 17) % 1000003"
 
 
-@query(f"SELECT px, date, item_seq, row_number() OVER (PARTITION BY px ORDER BY date, item_seq) - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY px ORDER BY {HASH}, date, item_seq) AS rk, count(*) OVER (PARTITION BY px) AS n FROM obs WHERE scl NOT IN (0, 1, 2, 3, 8, 9)) WHERE n >= 40 AND rk <= 40", "obs", dates=("date",))
+def sampled_sql(rows: str, k: int, h: str, ordinal: str) -> str:
+    """Sampled steps of each px of rows (px, ok, ...): the same columns, n_steps, copy and rank."""
+    return f"""SELECT *, row_number() OVER (PARTITION BY px ORDER BY {ordinal}, copy) - 1 AS rank FROM (
+    SELECT e.*, j AS copy FROM (SELECT *, CASE WHEN n_ok > 0 THEN n_ok ELSE n END AS n_steps FROM (
+        SELECT *, count(*) FILTER (ok) OVER (PARTITION BY px) AS n_ok, count(*) OVER (PARTITION BY px) AS n, row_number() OVER (PARTITION BY px ORDER BY ok DESC, {h}, {ordinal}) AS rk FROM ({rows}))
+        WHERE n_ok = 0 OR ok) e, range({k}) t(j)
+    WHERE CASE WHEN n_steps >= {k} THEN j = 0 AND rk <= {k} ELSE {mixed_sql("px", "j")} % n_steps = rk - 1 END)"""
+
+
+@query("SELECT px, date, item_seq, rank FROM (" + sampled_sql("SELECT *, scl NOT IN (0, 1, 2, 3, 8, 9) AS ok FROM obs", 40, mixed_sql("px", DAY, "item_seq"), "date, item_seq") + ")", "obs", dates=("date",))
 def sample_k(s: SparkSession, d: str) -> DataFrame:
-    rows = V.obs(s, d).withColumn("ordinal", F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long") * 100 + F.col("item_seq"))
-    h = sampling.portable_hash(F.col("px"), F.col("date"), F.col("item_seq"))
-    enough = rows.where(optical.valid_class(F.col("scl"))).groupBy("px").count().where("count >= 40").select("px")
-    return sampling.sample_steps(rows.join(enough, "px", "left_semi"), ["px"], "ordinal", optical.valid_class(F.col("scl")), h).select("px", "date", "item_seq", "rank")
+    rows = V.obs(s, d).withColumn("ordinal", F.unix_date("date").cast("long") * 100 + F.col("item_seq"))
+    h = mixed(F.col("px"), F.unix_date("date"), F.col("item_seq"))
+    return sampling.sample_steps(rows, ["px"], "ordinal", optical.valid_class(F.col("scl")), h).select("px", "date", "item_seq", "rank")
 
 
-@query(
-    """SELECT px, date, count(*) AS times FROM (SELECT c.px, c.date, c.pos FROM (SELECT px, date, row_number() OVER (PARTITION BY px ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY px) AS n, min(h) OVER (PARTITION BY px) AS h0 FROM
-    (SELECT px, date, (px::BIGINT * 7919 + (year(date) * 372 + month(date) * 31) * 6151 + 17) % 1000003 AS h FROM cube WHERE valid)) c, range(60) t(j) WHERE n < 60 AND (h0 + j * 7919) % n = pos) GROUP BY px, date""",
-    "cube", dates=("date",))
+@query("SELECT px, date, count(*) AS times FROM (" + sampled_sql("SELECT *, valid AS ok FROM cube", 60, mixed_sql("px", DAY), "date") + ") GROUP BY px, date", "cube", dates=("date",))
 def sample_with_repeats(s: SparkSession, d: str) -> DataFrame:
-    rows = V.cube(s, d).withColumn("ordinal", F.datediff("date", F.lit("1970-01-01").cast("date")))
-    few = rows.where("valid").groupBy("px").count().where("count < 60").select("px")
-    h = sampling.portable_hash(F.col("px"), F.col("date"), F.lit(0))
-    out = sampling.sample_steps(rows.join(few, "px", "left_semi"), ["px"], "ordinal", F.col("valid"), h, 60)
+    rows = V.cube(s, d).withColumn("ordinal", F.unix_date("date"))
+    out = sampling.sample_steps(rows, ["px"], "ordinal", F.col("valid"), mixed(F.col("px"), F.unix_date("date")), 60)
     return out.groupBy("px", "date").agg(F.count("*").alias("times"))
 
 
-MEAN, STD = (5000.0, 4000.0, 3000.0), (1200.0, 1500.0, 900.0)
+MEAN, STD = optical.OPTICAL_MEAN[:3], optical.OPTICAL_STD[:3]
+Z = [f"(b{k} - {m!r}::DOUBLE) / ({t!r}::DOUBLE + 1e-9::DOUBLE)" for k, (m, t) in enumerate(zip(MEAN, STD))]
+S2 = sampled_sql("SELECT *, valid AND px % 5 <> 0 AS ok FROM cube", 40, mixed_sql("px", DAY), "date")
+S1 = sampled_sql("SELECT *, CASE orbit WHEN 'ascending' THEN 0 ELSE 1 END AS orbit_rank, vv <> 0 OR vh <> 0 AS ok FROM radar_cube", 40, mixed_sql("px", DAY, "CASE orbit WHEN 'ascending' THEN 0 ELSE 1 END"), "orbit_rank, date")
 
 
-@query("SELECT px, date, round((b0 - 5000) / (1200 + 1e-9::DOUBLE), 6) AS v0, round((b1 - 4000) / (1500 + 1e-9::DOUBLE), 6) AS v1, round((b2 - 3000) / (900 + 1e-9::DOUBLE), 6) AS v2 FROM cube", "cube", dates=("date",))
+def _optical_steps(s: SparkSession, d: str) -> DataFrame:
+    """Of every fifth pixel no step counts as valid, so all of its steps take part."""
+    rows = V.cube(s, d).withColumn("ordinal", F.unix_date("date"))
+    return sampling.sample_steps(rows, ["px"], "ordinal", F.col("valid") & (F.col("px") % 5 != 0), mixed(F.col("px"), F.unix_date("date")))
+
+
+def _radar_steps(s: SparkSession, d: str) -> DataFrame:
+    rows = V.radar_cube(s, d).withColumn("t", F.unix_date("date"))
+    both = sampling.orbit_union(rows.where("orbit = 'ascending'"), rows.where("orbit = 'descending'"))
+    return sampling.sample_steps(both, ["px"], "ordinal", sampling.radar_valid(), mixed(F.col("px"), F.unix_date("date"), F.col("orbit_rank")))
+
+
+@query(f"SELECT px, rank, doy, {', '.join(f'round({z}, 6) AS v{k}' for k, z in enumerate(Z))} FROM ({S2})", "cube")
+def sample_matrix_s2(s: SparkSession, d: str) -> DataFrame:
+    rows = sampling.sample_matrix(_optical_steps(s, d), ["px"], MEAN, STD, "m").select("px", F.posexplode("m").alias("rank", "v"))
+    return rows.select("px", "rank", F.get("v", F.lit(3)).cast("int").alias("doy"), *(r6(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(3)))
+
+
+RADAR_Z = [f"({b} - {m!r}::DOUBLE) / ({t!r}::DOUBLE + 1e-9::DOUBLE)" for b, m, t in zip(("vv", "vh"), optical.RADAR_MEAN, optical.RADAR_STD)]
+
+
+@query(f"SELECT px, rank, doy, round({RADAR_Z[0]}, 6) AS vv, round({RADAR_Z[1]}, 6) AS vh FROM ({S1})", "radar_cube")
+def sample_matrix_s1(s: SparkSession, d: str) -> DataFrame:
+    rows = sampling.sample_matrix(_radar_steps(s, d), ["px"], optical.RADAR_MEAN, optical.RADAR_STD, "m").select("px", F.posexplode("m").alias("rank", "v"))
+    return rows.select("px", "rank", F.get("v", F.lit(2)).cast("int").alias("doy"), r6(F.get("v", F.lit(0))).alias("vv"), r6(F.get("v", F.lit(1))).alias("vh"))
+
+
+@query(f"SELECT px, date, {', '.join(f'round({z}, 6) AS v{k}' for k, z in enumerate(Z))} FROM cube", "cube", dates=("date",))
 def standardize(s: SparkSession, d: str) -> DataFrame:
     z = V.cube(s, d).select("px", "date", vectors.standardized(F.col("v"), MEAN, STD).alias("z"))
     return z.select("px", "date", *(r6(F.get("z", F.lit(k))).alias(f"v{k}") for k in range(3)))
@@ -498,15 +519,15 @@ def doy_encoding(s: SparkSession, d: str) -> DataFrame:
     "cube",
 )
 def softmax_pool(s: SparkSession, d: str) -> DataFrame:
-    out = score.softmax_pool(V.cube(s, d).where("valid"), F.col("doy") / F.lit(100.0), "v", "px")
+    out = score.softmax_pool(V.cube(s, d).where("valid"), F.col("doy") / F.lit(100.0), "v", 3, "px")
     return out.withColumn("pooled", r6(F.col("pooled")))
 
 
 @query("SELECT vec_id, o AS out, round(sum(z[k] * (((o * 31 + (k - 1) * 17) % 11 - 5) / 10.0::DOUBLE)), 6) AS value FROM rep, range(1, 65) t(k), range(4) u(o) GROUP BY ALL", "rep")
 def linear_map(s: SparkSession, d: str) -> DataFrame:
-    weights = s.range(4 * 64).select(F.floor(F.col("id") / 64).cast("int").alias("out"), (F.col("id") % 64).cast("int").alias("dim"))
-    weights = weights.withColumn("w", ((F.col("out") * 31 + F.col("dim") * 17) % 11 - 5) / F.lit(10.0))
-    return score.linear_long(V.rep(s, d), "z", weights, "vec_id").withColumn("value", r6(F.col("value")))
+    weights = [[((o * 31 + k * 17) % 11 - 5) / 10 for k in range(64)] for o in range(4)]
+    out = V.rep(s, d).select("vec_id", F.posexplode(vectors.linear(F.col("z"), weights, [0.0] * 4)).alias("out", "value"))
+    return out.withColumn("value", r6(F.col("value")))
 
 
 @query("SELECT vec_id, 128 AS width, round(list_sum(z) + list_sum(list_reverse(z)), 6) AS total FROM rep", "rep")
@@ -527,7 +548,7 @@ def repeat_average(s: SparkSession, d: str) -> DataFrame:
     return score.repeat_average(runs, "z", "label").withColumn("value", r6(F.col("value")))
 
 
-@query("SELECT px, year, count(*) AS n FROM (SELECT px, year, (px * 7919) % 1000003 AS h FROM (SELECT DISTINCT px, year FROM cube)) WHERE px IN (SELECT px FROM (SELECT DISTINCT px FROM cube) ORDER BY (px * 7919) % 1000003, px LIMIT 50) GROUP BY ALL", "cube")
+@query(f"SELECT px, year, count(*) AS n FROM (SELECT DISTINCT px, year FROM cube) WHERE px IN (SELECT px FROM (SELECT DISTINCT px FROM cube) ORDER BY {mixed_sql('px')}, px LIMIT 50) GROUP BY ALL", "cube")
 def capped_sample(s: SparkSession, d: str) -> DataFrame:
     c = V.cube(s, d)
     some = sampling.shuffled(c.select("px").distinct(), F.col("px"), 50)
@@ -551,14 +572,48 @@ def utm_zone(s: SparkSession, d: str) -> DataFrame:
     return V.pts(s, d).select("id", zone.alias("zone"), crs.epsg(zone, F.col("lat")).alias("epsg"))
 
 
-@query("SELECT id, true AS same_lon, true AS same_lat, true AS inside FROM pts", "pts")
+# the projection's series (Karney 2011) written once more as SQL over a source with lon, lat and zone, or e, n, zone and south
+
+
+def _series(terms: tuple[float, ...], f: str, x: str, g: str = "", y: str = "") -> str:
+    return " + ".join(f"{c!r}::DOUBLE * {f}({2 * j} * {x})" + (f" * {g}({2 * j} * {y})" if g else "") for j, c in enumerate(terms, 1))
+
+
+def to_utm_sql(source: str) -> str:
+    scale, ecc = f"{crs.K0 * crs.RADIUS!r}::DOUBLE", f"{crs.ECC!r}::DOUBLE"
+    return f"""SELECT *, 500000 + {scale} * (eta + {_series(crs.ALPHA, "cos", "xi", "sinh", "eta")}) AS e,
+        {scale} * (xi + {_series(crs.ALPHA, "sin", "xi", "cosh", "eta")}) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END AS n
+    FROM (SELECT *, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta
+        FROM (SELECT *, sinh(atanh(s) - {ecc} * atanh({ecc} * s)) AS t FROM (SELECT *, radians(lon - (zone * 6 - 183)) AS lam, sin(radians(lat)) AS s FROM ({source}))))"""
+
+
+def from_utm_sql(source: str) -> str:
+    scale = f"{crs.K0 * crs.RADIUS!r}::DOUBLE"
+    return f"""SELECT *, degrees(atan2(sinh(gx), cos(gy))) + zone * 6 - 183 AS lon, degrees(chi + {_series(crs.DELTA, "sin", "chi")}) AS lat
+    FROM (SELECT *, asin(sin(gy) / cosh(gx)) AS chi FROM (SELECT *, eta - ({_series(crs.BETA, "cos", "xi", "sinh", "eta")}) AS gx, xi - ({_series(crs.BETA, "sin", "xi", "cosh", "eta")}) AS gy
+        FROM (SELECT *, (n - CASE WHEN south THEN 10000000 ELSE 0 END) / {scale} AS xi, (e - 500000) / {scale} AS eta FROM ({source}))))"""
+
+
+@query("SELECT id, round(e, 3) AS e, round(n, 3) AS n, round(lon, 6) + 0.0::DOUBLE AS lon, round(lat, 6) + 0.0::DOUBLE AS lat FROM (" + to_utm_sql(f"SELECT *, {ZONE} AS zone FROM pts") + ")", "pts")
 def utm_round_trip(s: SparkSession, d: str) -> DataFrame:
     zone = crs.utm_zone(F.col("lon"), F.col("lat"))
     east, north = crs.to_utm(F.col("lon"), F.col("lat"), zone)
-    there = V.pts(s, d).select("id", "lon", "lat", zone.alias("zone"), east.alias("e"), north.alias("n"))
-    lon, lat = crs.from_utm(F.col("e"), F.col("n"), F.col("zone"), F.col("lat") < 0)
-    near = lambda a, b: F.abs(a - b) < 1e-8
-    return there.select("id", near(lon, F.col("lon")).alias("same_lon"), near(lat, F.col("lat")).alias("same_lat"), F.col("e").between(100000, 900000).alias("inside"))
+    there = V.pts(s, d).select("id", zone.alias("zone"), (F.col("lat") < 0).alias("south"), east.alias("e"), north.alias("n"))
+    lon, lat = crs.from_utm(F.col("e"), F.col("n"), F.col("zone"), F.col("south"))
+    return there.select("id", F.round("e", 3).alias("e"), F.round("n", 3).alias("n"), r6(lon).alias("lon"), r6(lat).alias("lat"))
+
+
+BOXES = f"SELECT id, zone, lat < 0 AS south, e - 5000 AS x0, e + 5000 AS x1, n - 3000 AS y0, n + 3000 AS y1 FROM ({to_utm_sql(f'SELECT *, {ZONE} AS zone FROM pts')})"
+EDGES = f"""SELECT id, zone, south, CASE side WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x0 + (x1 - x0) * k / 4 END AS e, CASE side WHEN 2 THEN y0 WHEN 3 THEN y1 ELSE y0 + (y1 - y0) * k / 4 END AS n
+    FROM ({BOXES}), range(5) a(k), range(4) b(side)"""
+
+
+@query(f"SELECT id, round(min(lon), 6) + 0.0::DOUBLE AS west, round(min(lat), 6) + 0.0::DOUBLE AS south, round(max(lon), 6) + 0.0::DOUBLE AS east, round(max(lat), 6) + 0.0::DOUBLE AS north FROM ({from_utm_sql(EDGES)}) GROUP BY id", "pts")
+def lonlat_bounds(s: SparkSession, d: str) -> DataFrame:
+    zone = crs.utm_zone(F.col("lon"), F.col("lat"))
+    east, north = crs.to_utm(F.col("lon"), F.col("lat"), zone)
+    boxes = V.pts(s, d).select("id", zone.alias("zone"), (F.col("lat") < 0).alias("south"), (east - 5000).alias("minx"), (east + 5000).alias("maxx"), (north - 3000).alias("miny"), (north + 3000).alias("maxy"))
+    return grid.lonlat_bounds(boxes, F.col("zone"), F.col("south"), "id", steps=4).select("id", *(r6(F.col(c)).alias(c) for c in ("west", "south", "east", "north")))
 
 
 @query("SELECT item_id, zone, greatest(minx, zone * 6 - 186) AS west, least(maxx, zone * 6 - 180) AS east FROM (SELECT *, unnest(range(least(60, greatest(1, CAST(floor((minx + 180) / 6) AS BIGINT) + 1)), least(60, greatest(1, CAST(floor((maxx + 180) / 6) AS BIGINT) + 1)) + 1)) AS zone FROM scenes)", "scenes")
@@ -595,10 +650,35 @@ def bbox_overlap(s: SparkSession, d: str) -> DataFrame:
     return vector.boxes_meeting(V.scenes(s, d), vector.bounds(V.rings(s, d), 1.0, "feature_id"), 5.0, "item_id", "feature_id")
 
 
-@query(None)
+POINTS = "SELECT id % 25 AS grp, CAST(round(lon * 100) AS BIGINT) AS vx, CAST(round(lat * 100) AS BIGINT) AS vy FROM pts"
+
+
+@query(
+    f"""SELECT a.grp, a.vx::DOUBLE AS vx, a.vy::DOUBLE AS vy FROM ({POINTS}) a JOIN ({POINTS}) b ON a.grp = b.grp AND (a.vx <> b.vx OR a.vy <> b.vy) JOIN ({POINTS}) c ON c.grp = a.grp
+    GROUP BY a.grp, a.vx, a.vy, b.vx, b.vy HAVING bool_and((b.vx - a.vx) * (c.vy - a.vy) - (b.vy - a.vy) * (c.vx - a.vx) > 0
+        OR ((b.vx - a.vx) * (c.vy - a.vy) = (b.vy - a.vy) * (c.vx - a.vx) AND c.vx BETWEEN least(a.vx, b.vx) AND greatest(a.vx, b.vx) AND c.vy BETWEEN least(a.vy, b.vy) AND greatest(a.vy, b.vy)))""",
+    "pts",
+)
 def convex_hull(s: SparkSession, d: str) -> DataFrame:
-    points = V.pts(s, d).select((F.col("id") % 25).alias("grp"), F.col("lon").alias("vx"), F.col("lat").alias("vy"))
-    return vector.convex_hulls(points, "grp")
+    points = V.pts(s, d).select((F.col("id") % 25).alias("grp"), F.round(F.col("lon") * 100).alias("vx"), F.round(F.col("lat") * 100).alias("vy"))
+    return vector.convex_hulls(points, "grp").select("grp", "vx", "vy")
+
+
+HULL_EDGES = """SELECT feature_id, vx AS x1, vy AS y1, coalesce(lead(vx) OVER w, first(vx) OVER w2) AS x2, coalesce(lead(vy) OVER w, first(vy) OVER w2) AS y2 FROM rings
+    WINDOW w AS (PARTITION BY feature_id ORDER BY seq), w2 AS (PARTITION BY feature_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
+@query(
+    f"""SELECT feature_id, count(*) AS n, sum(x * 1000 + y)::BIGINT AS px_sum FROM (SELECT e.feature_id, x, y, bool_and((x2 - x1) * (y + 0.5::DOUBLE - y1) - (y2 - y1) * (x + 0.5::DOUBLE - x1) > 0) AS inside
+    FROM ({HULL_EDGES}) e, range(60) a(x), range(60) b(y) GROUP BY ALL) WHERE inside GROUP BY feature_id""",
+    "rings",
+)
+def hull_raster(s: SparkSession, d: str) -> DataFrame:
+    """Pixels inside the hulls of the suppliers' quadrilaterals, which are their own hulls."""
+    hulls = vector.convex_hulls(V.rings(s, d).select("feature_id", "vx", "vy"), "feature_id").withColumn("ring_id", F.lit(0))
+    line = s.range(60)
+    pixels = line.select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x"))
+    return vector.pixels_inside(hulls, pixels).groupBy("feature_id").agg(F.count("*").alias("n"), F.sum(F.col("x") * 1000 + F.col("y")).alias("px_sum"))
 
 
 # --- ledgers ---------------------------------------------------------------------------------------------------------
@@ -632,10 +712,14 @@ def ratio_split(s: SparkSession, d: str) -> DataFrame:
     return ledger.ratio_split(V.tiles(s, d), 3, 5).select("tile_id", "pool")
 
 
-@query("SELECT user_id, count(*) AS n_tiles, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS samples, floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT AS seconds FROM events GROUP BY user_id")
+@query(
+    """SELECT user_id, n_tiles, samples, seconds, round(samples / seconds::DOUBLE, 6) AS samples_a_second, round(n_tiles * 3600.0::DOUBLE / seconds, 6) AS tiles_an_hour FROM (
+    SELECT user_id, count(*) AS n_tiles, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS samples, nullif(floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT, 0) AS seconds FROM events GROUP BY user_id)"""
+)
 def throughput(s: SparkSession, d: str) -> DataFrame:
     rows = V.table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("started"), F.col("ts").cast("timestamp").alias("ended"), F.floor("value").alias("samples"))
-    return ledger.throughput(rows, "user_id").select("user_id", "n_tiles", "samples", "seconds")
+    out = ledger.throughput(rows, "user_id").withColumn("seconds", F.nullif("seconds", F.lit(0)))
+    return out.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("samples_a_second", "tiles_an_hour")})
 
 
 @query("SELECT tile_id, nr + 2016 - nr // 9 * 9 AS year FROM tiles WHERE nr % 2 = 0", "tiles")
@@ -653,27 +737,48 @@ def partition_label(s: SparkSession, d: str) -> DataFrame:
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
 
+LINEAR = [(o * 31 + k * 7) % 11 - 5 for o in range(4) for k in range(7)]
+
+
+@query(
+    f"""SELECT px, o AS out, round(CASE WHEN n2 = 40 AND n1 = 40 THEN total END, 6) AS value FROM (SELECT px, o, sum(n2) AS n2, sum(n1) AS n1, sum(t) AS total FROM (
+    SELECT px, o, 1 AS n2, 0 AS n1, (rank + 1) / 10.0::DOUBLE * (list_extract({LINEAR}, o * 7 + 1) * {Z[0]} + list_extract({LINEAR}, o * 7 + 2) * {Z[1]} + list_extract({LINEAR}, o * 7 + 3) * {Z[2]} + list_extract({LINEAR}, o * 7 + 4) * doy / 100.0::DOUBLE) AS t FROM ({S2}), range(4) u(o)
+    UNION ALL SELECT px, o, 0, 1, (rank + 1) / 10.0::DOUBLE * (list_extract({LINEAR}, o * 7 + 5) * {RADAR_Z[0]} + list_extract({LINEAR}, o * 7 + 6) * {RADAR_Z[1]} + list_extract({LINEAR}, o * 7 + 7) * doy / 100.0::DOUBLE) FROM ({S1}), range(4) u(o)) GROUP BY px, o)
+    WHERE n2 = 40 AND n1 = 40""",
+    "cube", "radar_cube")
+def batch_score_linear(s: SparkSession, d: str) -> DataFrame:
+    """The scorer hook with a linear scorer: each pixel's two matrices in one batch, four outputs."""
+
+    def make() -> Callable:
+        w = np.array(LINEAR, float).reshape(4, 7)
+        w[:, [3, 6]] /= 100
+        by_rank = (np.arange(40) + 1)[:, None] / 10
+        return lambda a, b: (a * by_rank).sum(axis=1) @ w[:, :4].T + (b * by_rank).sum(axis=1) @ w[:, 4:].T
+
+    z = score.score_batches(_matrices(s, d), ["s2", "s1"], "px", make, 4, "double")
+    return z.select("px", F.posexplode("z").alias("out", "value")).withColumn("value", r6(F.col("value")))
+
+
+def _matrices(s: SparkSession, d: str) -> DataFrame:
+    s2 = sampling.sample_matrix(_optical_steps(s, d), ["px"], MEAN, STD, "s2")
+    return s2.join(sampling.sample_matrix(_radar_steps(s, d), ["px"], optical.RADAR_MEAN, optical.RADAR_STD, "s1"), "px")
+
+
 @query(None)
 def batch_score(s: SparkSession, d: str) -> DataFrame:
-    """Encodes the sampled optical and radar steps of each pixel with a small network."""
-    rows = V.cube(s, d).withColumn("ordinal", F.datediff("date", F.lit("1970-01-01").cast("date")))
-    h = sampling.portable_hash(F.col("px"), F.col("date"), F.lit(0))
-    s2 = sampling.sample_matrix(sampling.sample_steps(rows, ["px"], "ordinal", F.col("valid"), h), ["px"], MEAN, STD, "s2")
-    two = rows.withColumn("v", F.slice("v", 1, 2))
-    s1 = sampling.sample_matrix(sampling.sample_steps(two, ["px"], "ordinal", sampling.radar_valid(), h), ["px"], MEAN[:2], STD[:2], "s1")
+    """Encodes the sampled optical and radar steps of each pixel; the weights here are an example's."""
 
     def make() -> Callable:
         a, b = score.EncoderShape(3), score.EncoderShape(2)
         wa, wb = score.random_weights(a, 1), score.random_weights(b, 2)
-        reduce = score.random_weights(score.EncoderShape(32, 16), 3)["embed1"][:, :16]
-        return score.two_sensor_scorer(a, b, wa, wb, reduce)
+        return score.two_sensor_scorer(a, b, wa, wb, np.random.default_rng(3).normal(0, 0.2, (16, 32)).astype(np.float32))
 
-    return score.score_batches(s2.join(s1, "px"), ["s2", "s1"], "px", make, 16)
+    return score.score_batches(_matrices(s, d), ["s2", "s1"], "px", make, 16)
 
 
-@query("SELECT vec_id, round(0.7 * z[1] + 0.3 * coalesce(lead(z[1]) OVER w, first(z[1]) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 6) AS m0 FROM rep WINDOW w AS (PARTITION BY vec_id % 64 ORDER BY (vec_id * 7919) % 1000003, vec_id)", "rep")
+@query(f"SELECT vec_id, round(0.7 * z[1] + 0.3 * coalesce(lead(z[1]) OVER w, first(z[1]) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 6) AS m0 FROM rep WINDOW w AS (PARTITION BY {mixed_sql('vec_id', seed=sampling.MIXUP_SEED)} % ((SELECT count(*) FROM rep) + 499) // 500 ORDER BY {mixed_sql('vec_id')}, vec_id)".replace("% ((SELECT count(*) FROM rep) + 499) // 500", "% (((SELECT count(*) FROM rep) + 499) // 500)"), "rep")
 def mixup_pairs(s: SparkSession, d: str) -> DataFrame:
-    out = sampling.mixup(V.rep(s, d).select("vec_id", "z"), "vec_id", "z", 0.7)
+    out = sampling.mixup(V.rep(s, d).select("vec_id", "z"), "vec_id", "z", 0.7, bucket_rows=500)
     return out.select("vec_id", r6(F.get("mixed", F.lit(0))).alias("m0"))
 
 
@@ -682,10 +787,14 @@ def stored_values(s: SparkSession, d: str) -> DataFrame:
     return V.sar(s, d).select("item_id", optical.stored_value(F.col("amp") * 30000).alias("stored"))
 
 
-@query(None)
+SIDES = """SELECT item_id, least(60, greatest(1, CAST(floor(((minx + maxx) / 2 + 180) / 6) AS INTEGER) + 1)) AS zone, CASE side WHEN 0 THEN minx WHEN 1 THEN maxx ELSE minx + (maxx - minx) * (k / 20.0::DOUBLE) END AS lon,
+    CASE side WHEN 2 THEN miny WHEN 3 THEN maxy ELSE miny + (maxy - miny) * (k / 20.0::DOUBLE) END AS lat FROM scenes, range(21) a(k), range(4) b(side)"""
+
+
+@query(f"SELECT item_id, round(min(e), 3) AS min_e, round(min(n), 3) AS min_n, round(max(e), 3) AS max_e, round(max(n), 3) AS max_n FROM ({to_utm_sql(SIDES)}) GROUP BY item_id", "scenes")
 def utm_bounds(s: SparkSession, d: str) -> DataFrame:
-    boxes = V.scenes(s, d).where("abs(miny) < 80 and abs(maxy) < 80")
-    return grid.utm_bounds(boxes, crs.simple_zone((F.col("minx") + F.col("maxx")) / 2), "item_id")
+    out = grid.utm_bounds(V.scenes(s, d), crs.simple_zone((F.col("minx") + F.col("maxx")) / 2), "item_id")
+    return out.select("item_id", *(F.round(c, 3).alias(c) for c in ("min_e", "min_n", "max_e", "max_n")))
 
 
 # --- streams: all files read as a stream, the result as of the end ---------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelseries.functions.optical import valid_class
+from pixelseries.functions.radar import db_code
 
 PIXELS = 256
 RADAR_PIXELS = 64
@@ -52,6 +53,14 @@ def sar_rows(events: DataFrame) -> DataFrame:
     )
 
 
+def radar_cube(spark: SparkSession, d: str) -> DataFrame:
+    """One radar observation a pixel, orbit and date: px, orbit, date, doy, vv, vh (the highest code; 0: none), v."""
+    best = lambda pol: F.coalesce(F.max(F.when(F.col("pol") == pol, F.col("code"))), F.lit(0)).alias(pol)
+    rows = sar(spark, d).where("orbit <> 'unknown'").withColumn("code", db_code(F.col("amp")))
+    out = rows.groupBy("px", "orbit", "date").agg(best("vv"), best("vh"))
+    return out.withColumns({"doy": F.dayofyear("date"), "v": F.array(F.col("vv").cast("double"), F.col("vh").cast("double"))})
+
+
 def cube(spark: SparkSession, d: str) -> DataFrame:
     """One observation a pixel and date, of the lowest item: px, y, x, date, year, doy, valid, b0, b1, b2, v."""
     best = F.min_by(F.col("scl") * F.lit(10000) + F.col("p0"), "item_seq")  # both in one int: a hash aggregate
@@ -74,9 +83,14 @@ def rep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:
+    return tiles_of(table(spark, d, "supplier"))
+
+
+def tiles_of(suppliers: DataFrame) -> DataFrame:
+    """The same of a table or stream of suppliers."""
     s = F.col("s_suppkey")
     name = F.concat(F.lit("zone"), (F.col("s_nationkey") % 6 + 32642).cast("string"), F.lit("_r"), F.floor(s / 10).cast("string"), F.lit("_c"), (s % 10).cast("string"))
-    return table(spark, d, "supplier").select(name.alias("tile_id"), s.alias("nr"))
+    return suppliers.select(name.alias("tile_id"), s.alias("nr"))
 
 
 def pts(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +138,8 @@ SQL = {
     "coded": """SELECT *, CASE WHEN amp > 0 THEN CAST(floor(least(32767::DOUBLE, greatest(0::DOUBLE, (20 * log10(amp) + 50) * 200))) AS INTEGER) ELSE 0 END AS code FROM sar""",
     "cube": """SELECT px, px // 16 AS y, px % 16 AS x, date, year(date) AS year, dayofyear(date) AS doy, scl NOT IN (0, 1, 2, 3, 8, 9) AS valid,
         p0 AS b0, (p0 * 3 + px) % 10000 AS b1, (p0 * 7 + px) % 10000 AS b2 FROM obs QUALIFY row_number() OVER (PARTITION BY px, date ORDER BY item_seq) = 1""",
+    "radar_cube": """SELECT px, orbit, date, dayofyear(date) AS doy, coalesce(max(code) FILTER (pol = 'vv'), 0) AS vv, coalesce(max(code) FILTER (pol = 'vh'), 0) AS vh
+        FROM coded WHERE orbit <> 'unknown' GROUP BY px, orbit, date""",
     "fine": "SELECT p_partkey // 50 AS fy, p_partkey % 50 AS fx, p_size > 40 AS tree, CASE WHEN p_partkey % 3 = 0 THEN 40 ELSE 30 END AS lc FROM part",
     "tree_mask": "SELECT fy // 2 AS y, fx // 2 AS x, avg(tree::INT::DOUBLE) AS cover FROM fine GROUP BY ALL HAVING avg(tree::INT::DOUBLE) > 0.1 AND max(lc) = 40",
     "rep": "SELECT vec_id, vec_id // 25 AS y, vec_id % 25 AS x, embedding::DOUBLE[] AS z FROM embeddings",
@@ -144,7 +160,7 @@ SQL = {
 }
 
 USES = {
-    "first_valid": ("obs", "roi"), "covered": ("first_valid", "roi"), "coded": ("sar",), "cube": ("obs",), "tree_mask": ("fine",),
+    "first_valid": ("obs", "roi"), "covered": ("first_valid", "roi"), "coded": ("sar",), "radar_cube": ("coded",), "cube": ("obs",), "tree_mask": ("fine",),
     "spans": ("scenes",), "rings": ("corners",), "edges": ("rings",),
 }
 

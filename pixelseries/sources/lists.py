@@ -31,6 +31,16 @@ def json_list(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", "array<string>")).alias("path"))
 
 
+def as_json(tiles: DataFrame, column: str, *keys: str) -> DataFrame:
+    """(keys, list): a JSON array of each key's sorted strings; such lists are short."""
+    return tiles.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(column))).alias("list"))
+
+
+def rings_with_crs(features: DataFrame, default: int = 4326) -> DataFrame:
+    """Features whose reference system is unknown (null or 0) get the default one."""
+    return features.withColumn("epsg", F.coalesce(F.nullif("epsg", F.lit(0)), F.lit(default)))
+
+
 def numeric_years(names: DataFrame, column: str = "name") -> DataFrame:
     """Names that are numbers, in string order."""
     return names.where(F.col(column).rlike("^[0-9]+$")).orderBy(column)

@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelseries.operators.grid import patch
+from pixelseries.operators.layout import morton
 
-def write_mosaic(mosaic: DataFrame, path: str, keys: Sequence[str] = ("tile_id",)) -> None:
-    """Day mosaics by keys, year and month. Rows of one month go to one writer for each key and month at a time."""
-    rows = mosaic.withColumns({"year": F.year("date"), "month": F.month("date")})
-    rows.repartition(*keys, "year", "month").sortWithinPartitions(*keys, "date", "y", "x").write.mode("append").partitionBy(*keys, "year", "month").parquet(path)
+
+def write_mosaic(mosaic: DataFrame, path: str, keys: Sequence[str] = ("tile_id",), tags: dict[str, Column] | None = None) -> None:
+    """Day mosaics by keys (tile, and for radar orbit and polarisation), year and month, with tag columns (band, orbit, number of
+    sources and the like). Ranges of the Morton key within a month go to different writers, so no month is one task's."""
+    rows = mosaic.withColumns({"year": F.year("date"), "month": F.month("date"), "__z": morton(F.col("y"), F.col("x"))} | (tags or {}))
+    dealt = rows.repartitionByRange(*keys, "year", "month", "__z").sortWithinPartitions(*keys, "year", "month", "date", "y", "x").drop("__z")
+    dealt.write.mode("append").partitionBy(*keys, "year", "month").parquet(path)
+
+
+def write_patches(rows: DataFrame, path: str, size: int, height: int, width: int) -> None:
+    """Pixels by the patch that holds them, a folder for each patch, in order of time and place."""
+    named = rows.withColumns(patch(F.col("y"), F.col("x"), size, height, width)).drop("patch_x", "patch_y")
+    named.repartitionByRange("patch", "date").sortWithinPartitions("patch", "date", "y", "x").write.mode("overwrite").partitionBy("patch").parquet(path)
+
+
+def write_representation(rows: DataFrame, path: str, values: str = "z", block_rows: int = 256) -> None:
+    """Vectors of pixels as 32-bit floats, in blocks of rows of the grid, row-major inside."""
+    out = rows.select(F.floor(F.col("y") / block_rows).cast("int").alias("block"), "y", "x", F.col(values).cast("array<float>").alias(values))
+    out.repartitionByRange("block", "y", "x").sortWithinPartitions("block", "y", "x").write.mode("overwrite").partitionBy("block").parquet(path)
 
 
 def not_written(rows: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -36,7 +53,7 @@ def write_list(tiles: DataFrame, path: str) -> None:
 
 def write_series(series: DataFrame, path: str) -> None:
     """Training series by tile, year and sensor, sorted by chunk and pixel."""
-    rows = series.repartition("tile_id", "year", "sensor", "chunk").sortWithinPartitions("chunk", "row", "col")
+    rows = series.repartition("tile_id", "year", "sensor", "chunk").sortWithinPartitions("tile_id", "year", "sensor", "chunk", "row", "col")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile_id", "year", "sensor").parquet(path)
 
 

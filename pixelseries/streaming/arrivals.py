@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -105,8 +106,11 @@ def ledger_upsert(stream: DataFrame, path: str, checkpoint: str, key: str = "til
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one of a local session
+    (tests), and an error on a cluster, where other machines would not see it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     return (found or f"file://{tempfile.mkdtemp(prefix='spark-')}").rstrip("/")
 
 

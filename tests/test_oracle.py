@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pixelseries.plans import geometry, outputs  # noqa: F401
 from pixelseries.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

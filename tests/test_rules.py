@@ -85,6 +85,14 @@ def test_sampling(spark):
     assert out[out.px == 3].t.is_unique
 
 
+def test_draws_with_replacement(spark):
+    """Of few steps each draw is one of its own: some steps come often, some never."""
+    few = spark.range(400).select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("t"))
+    out = sampling.sample_steps(few, ["id"], "t", F.lit(True), F.col("t"), 40).groupBy("id", "t").count().toPandas()
+    per = out.groupby("id")["count"]
+    assert (per.sum() == 40).all() and per.max().mean() > 6 and abs(out["count"].var() - 3.6) < 1.0  # binomial: 40 draws of 10
+
+
 def test_orbit_order(spark):
     up, down = spark.createDataFrame([(0, 10), (1, 200)], "t int, doy int"), spark.createDataFrame([(0, 100)], "t int, doy int")
     assert [r["doy"] for r in sampling.orbit_union(up, down).orderBy("ordinal").collect()] == [10, 200, 100]
@@ -118,7 +126,7 @@ def test_patches_and_windows(spark):
 
 def test_block_mean(spark):
     rows = spark.createDataFrame([(y, x, {(0, 0): 1}.get((y, x), 2)) for y in range(5) for x in range(5)], "y int, x int, v int")
-    out = {(r["y"], r["x"]): r["v"] for r in grid.block_mean(rows, "v", 2, 5, 5, whole_numbers=True).collect()}
+    out = {(r["y"], r["x"]): r["v"] for r in grid.block_mean(rows, "v", 2, F.lit(5), F.lit(5), whole_numbers=True).collect()}
     assert len(out) == 4 and out[0, 0] == 1 and out[1, 1] == 2
 
 
@@ -148,7 +156,7 @@ def test_utm_known_point(spark):
 
 def test_bilinear(spark):
     src = spark.createDataFrame([(0, 0, 0.0), (1, 0, 2.0)], "y int, x int, v double")
-    out = {r["y"]: r["v"] for r in stitch.bilinear(src, "v", 2, 1, 4, 1).collect()}
+    out = {r["y"]: r["v"] for r in stitch.bilinear(src, "v", 2, 1, 2).where("x = 0").collect()}
     assert out == {0: 0.0, 1: 1.0, 2: 2.0, 3: 2.0}
 
 
@@ -225,7 +233,8 @@ def test_names(spark):
 
 def test_masks(spark):
     mask = spark.createDataFrame([(y, x, 1) for y in range(3) for x in range(5)], "y int, x int, value int")
-    assert max(r["x"] for r in treemask.square_mask(mask).collect()) == 2
+    assert max(r["x"] for r in treemask.square_mask(mask, 3, 5).collect()) == 2
+    assert {(r["y"], r["x"]) for r in treemask.square_mask(mask.where("y = 0 and x > 0"), 3, 5).collect()} == {(0, 1), (0, 2)}  # the grid's sides, not the set cells'
     assert tuple(profile.mask_fraction(spark.createDataFrame([(0,), (1,), (2,), (1,)], "value int")).first()) == (4, 2, 0.5)
     fine = spark.createDataFrame([(0, x, x < 1, 40) for x in range(10)] + [(0, 10 + x, x < 2, 40) for x in range(10)], "fy int, fx int, tree boolean, lc int")
     assert [r["x"] for r in treemask.tree_mask(fine).collect()] == [1]  # a mean of 0.1 is not above it
@@ -245,6 +254,45 @@ def test_locality_and_sinks(spark, tmp_path):
     assert got.count() == 24 and got.where("t = 1 and y = 2 and x = 3").first()["v"] == [115.0, 116.0, 117.0, 118.0, 119.0]
 
 
+def test_encoder_by_its_formulas():
+    """One sample, number by number, from the published formulas of the layers."""
+    shape = score.EncoderShape(2, 4, 2, 1, 6)
+    w = {k: v.astype(float) for k, v in score.random_weights(shape, 9).items()}
+    x = np.random.default_rng(4).normal(size=(1, 3, 3))
+    lin = lambda v, name, sep=".": [sum(a * b for a, b in zip(row, v)) + c for row, c in zip(w[f"{name}{sep}weight"], w[f"{name}{sep}bias"])]
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def norm(v, name):
+        m = sum(v) / len(v)
+        var = sum((a - m) ** 2 for a in v) / len(v)
+        return [(a - m) / math.sqrt(var + 1e-5) * g + b for a, g, b in zip(v, w[f"{name}.weight"], w[f"{name}.bias"])]
+
+    rows = []
+    for *bands, doy in x[0]:
+        e = lin([max(0, v) for v in lin(bands, "embedding.0")], "embedding.2")
+        day = [f(doy * 10000 ** (-2 * i / 4)) for i in range(2) for f in (math.sin, math.cos)]
+        rows.append([a + b for a, b in zip(e, day)])
+    at = "transformer_encoder.layers.0"
+    qkv = [lin(r, f"{at}.self_attn.in_proj", "_") for r in rows]
+    mixed = [[0.0] * 4 for _ in rows]
+    for h in range(2):
+        for i, a in enumerate(qkv):
+            score_ = [math.exp(sum(a[2 * h + j] * b[4 + 2 * h + j] for j in range(2)) / math.sqrt(2)) for b in qkv]
+            for j in range(2):
+                mixed[i][2 * h + j] = sum(s * b[8 + 2 * h + j] for s, b in zip(score_, qkv)) / sum(score_)
+    rows = [norm([a + b for a, b in zip(r, lin(m, f"{at}.self_attn.out_proj"))], f"{at}.norm1") for r, m in zip(rows, mixed)]
+    rows = [norm([a + b for a, b in zip(r, lin([max(0, v) for v in lin(r, f"{at}.linear1")], f"{at}.linear2"))], f"{at}.norm2") for r in rows]
+    name, state, scores = "attn_pool.temporal_context", [0.0] * 4, []
+    for r in rows:
+        a = [sum(p * q for p, q in zip(row, r)) + c for row, c in zip(w[f"{name}.weight_ih_l0"], w[f"{name}.bias_ih_l0"])]
+        b = [sum(p * q for p, q in zip(row, state)) + c for row, c in zip(w[f"{name}.weight_hh_l0"], w[f"{name}.bias_hh_l0"])]
+        new = [math.tanh(a[8 + k] + sig(a[k] + b[k]) * b[8 + k]) for k in range(4)]
+        state = [(1 - sig(a[4 + k] + b[4 + k])) * new[k] + sig(a[4 + k] + b[4 + k]) * state[k] for k in range(4)]
+        scores.append(math.exp(lin(state, "attn_pool.query")[0]))
+    want = [sum(s * r[k] for s, r in zip(scores, rows)) / sum(scores) for k in range(4)]
+    assert np.allclose(score.encode(x, w, shape)[0], want, atol=1e-12)
+
+
 def test_encoder_batches(spark):
     shape = score.EncoderShape(2, 8, 2, 1, 16)
     w = score.random_weights(shape, 5)
@@ -255,7 +303,7 @@ def test_encoder_batches(spark):
     out = score.score_batches(df, ["s"], "px", lambda: lambda a: score.encode(a, w, shape), 8).orderBy("px").collect()
     assert np.allclose([r["z"] for r in out], whole, atol=1e-5)
     with pytest.raises(ValueError):
-        score.two_sensor_scorer(shape, shape, w, w, np.eye(8), "mean")
+        score.two_sensor_scorer(shape, shape, w, w, np.eye(8), fusion="mean")
 
 
 def test_partition_labels(spark):
