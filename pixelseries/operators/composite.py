@@ -1,7 +1,6 @@
 """Optical and radar day composites over a region of interest.
 
-The optical composite looks at scene classes first: the choice of an item for each pixel and the days' coverage need no
-band, and only bands of days that pass the gate are joined in."""
+The optical composite looks at scene classes first, so only valid observations of the region are ever shuffled."""
 
 from __future__ import annotations
 
@@ -37,12 +36,12 @@ def passing(covered: DataFrame, min_coverage: float) -> DataFrame:
 
 
 def day_mosaic(obs: DataFrame, roi: DataFrame, bands: Sequence[str], min_coverage: float = 5.0, invalid: Sequence[int] = INVALID_CLASSES) -> DataFrame:
-    """(date, y, x, item_seq, bands): first valid items of the days that pass the gate, bands freed of the offset."""
-    chosen = first_valid(obs, roi, invalid)
+    """(date, y, x, item_seq, bands): first valid items of the days that pass the gate, bands freed of the offset. The bands come
+    along with the choice in one hash aggregate, whose exchange the coverage shares."""
+    seen = obs.where(valid_class(F.col("scl"), invalid)).join(roi.select(*PIXEL), list(PIXEL), "left_semi")
+    chosen = seen.groupBy("date", *PIXEL).agg(F.min("item_seq").alias("item_seq"), *(F.min_by(b, "item_seq").alias(b) for b in bands))
     days = passing(coverage(chosen, roi, "date"), min_coverage).select("date")
-    kept = chosen.join(days, "date", "left_semi")
-    rows = obs.select("date", *PIXEL, "item_seq", *bands).join(kept, ["date", *PIXEL, "item_seq"], "left_semi")
-    return rows.withColumns({b: harmonized(F.col(b), F.col("date")) for b in bands})
+    return chosen.join(days, "date", "left_semi").withColumns({b: harmonized(F.col(b), F.col("date")) for b in bands})
 
 
 def fallback(obs: DataFrame, roi: DataFrame, chosen: DataFrame, seed: int = 17) -> DataFrame:

@@ -37,7 +37,7 @@ def common_steps(cube: DataFrame, mask_steps: DataFrame, *keys: str) -> DataFram
     return cube.join(steps, list(keys)).where("t < __steps").drop("__steps")
 
 
-def pixel_series(cube: DataFrame, *keys: str) -> DataFrame:
-    """A pixel's observations in time order; the bands of an invalid one are null."""
+def pixel_series(cube: DataFrame, *keys: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A pixel's observations in time order, with the extra columns; the bands of an invalid one are null."""
     v = F.when(F.col("valid"), F.col("v"))
-    return cube.groupBy(*keys, "y", "x").agg(F.array_sort(F.collect_list(F.struct("t", "doy", v.alias("v")))).alias("series"))
+    return cube.groupBy(*keys, "y", "x").agg(F.array_sort(F.collect_list(F.struct("t", "doy", *extra, v.alias("v")))).alias("series"))

@@ -297,11 +297,9 @@ def tree_cover_mask(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT px, date, doy, row_number() OVER (PARTITION BY px ORDER BY date) - 1 AS t, CASE WHEN valid THEN b0 ELSE -1 END AS b0 FROM cube SEMI JOIN tree_mask USING (y, x)", "cube", "tree_mask", dates=("date",))
 def tree_pixel_series(s: SparkSession, d: str) -> DataFrame:
     rows = treemask.masked(V.cube(s, d), treemask.tree_mask(V.fine(s, d), 2))
-    series = treemask.pixel_series(profile.time_index(rows, "px"), "px")
+    series = treemask.pixel_series(profile.time_index(rows, "px"), "px", extra=("date",))
     each = series.select("px", F.explode("series").alias("o"))
-    dates = rows.select("px", "date", "doy")
-    flat = each.select("px", F.col("o.t").alias("t"), F.col("o.doy").alias("doy"), F.coalesce(F.get("o.v", F.lit(0)).cast("long"), F.lit(-1)).alias("b0"))
-    return profile.time_index(dates, "px").select("px", "date", "t").join(flat, ["px", "t"])
+    return each.select("px", "o.date", "o.doy", "o.t", F.coalesce(F.get("o.v", F.lit(0)).cast("long"), F.lit(-1)).alias("b0"))
 
 
 @query("SELECT y, x, arg_max(code, item_id) AS value FROM coded GROUP BY y, x", "coded")
