@@ -1,19 +1,25 @@
 """Personal data by weak supervision: regex, gazetteer and context labelers vote on candidate spans, expectation-maximisation
-estimates how reliable they are, and a classifier trained on the estimated labels decides which candidates become spans.
-
-Base spans (strict patterns with their checks) always stay. Candidates are the base spans and looser shapes: bracketed
-"at" addresses, eight-group IP addresses, card-length numbers that fail the check digit, phone numbers without a country
-code. Each labeler says yes, no or nothing. Votes are counted by pattern over all documents, so the estimation and the
-training see a table of patterns whose size the labelers bound, and the decision for a pattern holds for all its spans.
-
-Null and empty texts have no spans. Every row is searched for itself, so null or repeated ids and repeated rows stay. An
-empty table gives an empty result. Extra columns are ignored.
+estimates how reliable they are, and a span classifier trained on the estimated labels decides which candidates become spans.
+
+Base spans (strict patterns with their checks) always stay. Candidates are the base spans and looser shapes: spelt or
+bracketed "at" addresses, eight-group IP addresses, card-length numbers that fail the check digit or are parted by other
+signs, phone numbers without a country code or run together with what follows. Each labeler says yes, no or nothing. Votes
+are counted by pattern over all documents, so the estimation sees a table whose size the labelers bound; no labeler's
+reliability is given. The classifier does not see the votes: its features are the span's shape, first signs, length, check
+digit and parting signs, and the words to its left and right. It is fitted on at most `most` candidates, chosen by a hash,
+with the estimated chances as labels, and decides every candidate that is not a base span.
+
+Null and empty texts have no spans. Very long texts are searched whole; the context of a span is CONTEXT signs to each side,
+as the method has it. Equal votes (a chance of 0.5) count as half a label. Every row is searched for itself, so null or repeated
+ids and repeated rows stay. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,31 +30,45 @@ from pyspark.sql import functions as F
 from pixelseries.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-ACCEPT = 0.9
-LABELERS = ("strict", "gazetteer", "context_for", "context_against", "shape", "alone")
+ACCEPT = 0.6
+LABELERS = ("check", "gazetteer", "context_for", "context_against", "named", "shape", "alone", "company")
+#: Spans that a labeler's reliability is taken to rest on beforehand: yes, no and nothing for personal data, and for the rest.
+#: The kind's own test is needed, so its no says more than its yes; context speaks seldom; forms are alike in both.
+BEFOREHAND = {
+    "check": ((48.0, 1.0, 1.0), (20.0, 28.0, 2.0)), "gazetteer": ((8.0, 1.5, 0.5), (3.0, 6.5, 0.5)), "shape": ((8.0, 1.5, 0.5), (5.0, 4.5, 0.5)), "alone": ((8.0, 1.5, 0.5), (5.0, 4.5, 0.5)),
+    **dict.fromkeys(("context_for", "context_against", "named", "company"), ((1.5, 0.25, 8.25), (0.5, 1.25, 8.25))),
+}
+MAX_TRAIN = 10_000  # candidates that the classifier is fitted on
+DIMENSIONS = 512  # of hashed features
+CONTEXT = 64
+NEAR = 400  # signs within which another base span is company
 
 # fixed values: the contract's patterns, written so that every text is read in linear time
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")  # possessive: no digit is looked at twice
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-BRACKET_AT = re.compile(r" ?[\[({] ?at ?[\])}] ?", re.IGNORECASE)
-BRACKET_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[A-Za-z0-9-]+)+", re.IGNORECASE)
+AT = re.compile(r" ?[\[({<] ?at ?[\])}>] ?| at (?=[A-Za-z0-9-]+(?:\.| ?[\[({<] ?dot ?[\])}>] ?| dot )[A-Za-z])", re.IGNORECASE)
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?[\[({<] ?dot ?[\])}>] ?| dot )[A-Za-z0-9-]+)+", re.IGNORECASE)
+LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 GROUPS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])")
+PARTED = re.compile(r"(?<![0-9A-Za-z._/-])[0-9]{4}([./_\u2013\u00b7])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])")
+DIAL = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 
-TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk eu ch at it nl us".split())
-CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91")
-ISSUERS = ("4", "34", "35", "36", "37", "38", "51", "52", "53", "54", "55", "60", "62", "64", "65")
+# fixed values: common generic top domains (any two letters are taken for a country's), calling codes by their first digits
+# (ITU-T E.164), words that announce the kinds in the languages of the corpus
+TOP_DOMAINS = frozenset("com org net edu gov mil int info biz name pro dev app io ai co me tv xyz online site cloud blog shop store tech".split())
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+THREE_DIGIT_CODES = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
 FOR = {
-    "email": ("mail", "contact", "write", "correo", "courriel", "kontakt"),
-    "ip": ("ip", "host", "server", "address", "addr"),
-    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "payment"),
-    "phone": ("phone", "tel", "call", "fax", "mobil", "fono"),
+    "email": "mail email e-mail contact write reach address correo escriba courriel adresse kontakt schreiben".split(),
+    "ip": "ip ipv6 ipv4 host server address addr node client gateway dns router ping serveur servidor rechner".split(),
+    "card": "card cards visa mastercard amex credit debit payment pay karte kreditkarte carte tarjeta pago paiement".split(),
+    "phone": "phone telephone tel call fax mobile cell ring reach telefon anrufen appel appeler llame telefono movil".split(),
 }
-AGAINST = ("version", "section", "release", "chapter", "isbn", "token", "license", "number of", "article")
+AGAINST = frozenset("version section release chapter isbn token license article order invoice part serial sku model item build id number no ref reference artikel numero pedido facture".split())
 
 
 def luhn(digits: str) -> bool:
@@ -104,104 +124,156 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def loose_spans(text: str) -> list[tuple[int, int, int]]:
-    found = []
-    for m in BRACKET_AT.finditer(text):
-        local = EMAIL_LOCAL.search(text, max(0, m.start() - 64), m.start())
-        domain = BRACKET_DOMAIN.match(text, m.end())
-        if local and domain:
-            found.append((local.start(), 0, domain.end()))
+def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the looser shapes that meet no base span, leftmost first for each kind."""
+    found: list[tuple[int, int, int]] = []
+    for m in AT.finditer(text):
+        start = m.start()
+        while start and text[start - 1] in LOCAL:
+            start -= 1
+        domain = DOMAIN.match(text, m.end()) if start < m.start() else None
+        if domain:
+            found.append((start, 0, domain.end()))
     if text.count(":") > 6:
         found += [(m.start(), 1, m.end()) for m in GROUPS.finditer(text)]
     for m in CARD.finditer(text):
         if 12 <= len(m.group()) and 12 <= len(d := digits_of(m.group())) <= 19 and not luhn(d):
             found.append((m.start(), 2, m.end()))
-    found += [(m.start(), 3, m.end()) for m in LOCAL_PHONE.finditer(text)]
-    return found
+    found += [(m.start(), 2, m.end()) for m in PARTED.finditer(text)]
+    dialled = [(m.start(), 3, m.end()) for m in DIAL.finditer(text)] if "+" in text else []
+    found += dialled + clear([(m.start(), 3, m.end()) for m in LOCAL_PHONE.finditer(text)], dialled)
+    out: list[tuple[int, int, int]] = []
+    last = [0] * len(KINDS)
+    for a, k, e in clear(sorted(found), base):
+        if a >= last[k]:
+            out.append((a, k, e))
+            last[k] = e
+    return out
 
 
-def votes(text: str, start: int, kind: int, end: int, strict: bool) -> str:
-    """One character a labeler: 1 yes, 0 no, - nothing."""
-    span, name = text[start:end], KINDS[kind]
-    before = text[max(0, start - 32) : start].lower()
-    d = digits_of(span)
+def clear(spans: list[tuple[int, int, int]], of: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that meet none of the others, which are in order."""
+    if not of:
+        return spans
+    starts, ends, highest = [x[0] for x in of], [], 0
+    for x in of:
+        highest = max(highest, x[2])
+        ends.append(highest)
+    return [s for s in spans if not (k := bisect_left(starts, s[2])) or ends[k - 1] <= s[0]]
+
+
+def checked(span: str, kind: int, d: str) -> bool:
+    """The kind's own test: a letter domain, numbers in range, the check digit, a plausible count of digits."""
     if kind == 0:
-        known = re.split(r"[^A-Za-z0-9-]+", span.rstrip(")]} "))[-1].lower() in TOP_DOMAINS
-        shape = len(span) <= 80
-    elif kind == 1:
-        known = ":" in span or int(span.split(".")[0].lstrip("0") or 0) not in (0, 255)
-        shape = ":" in span or all(p == "0" or p[0] != "0" for p in span.split("."))
-    elif kind == 2:
-        known, shape = d.startswith(ISSUERS), len(d) in (15, 16)
-    else:
-        known, shape = span[0] != "+" or d.startswith(CALLING_CODES), 10 <= len(d) <= 12
+        return re.split(r"[^A-Za-z0-9-]+", span.rstrip(")]}> "))[-1].isalpha()
+    if kind == 1:
+        return len(set(re.split("[:.]", span))) > 2
+    if kind == 2:
+        return luhn(d)
+    return 9 <= len(d) <= 13 and len(set(d)) > 2
+
+
+def listed(span: str, kind: int, d: str) -> bool:
+    if kind == 0:
+        top = re.split(r"[^A-Za-z0-9-]+", span.rstrip(")]}> "))[-1].lower()
+        return top in TOP_DOMAINS or len(top) == 2 and top.isalpha()
+    if kind == 1:
+        return span[:1] in "23" or span[:2].lower() in ("fc", "fd", "fe") if ":" in span else 0 < int(span.split(".")[0].lstrip("0") or 0) < 240
+    if kind == 2:  # issuers' first digits
+        return d[0] == "4" or d[:2] in ("30", "34", "35", "36", "37", "38", "50", "56", "57", "58", "62", "64", "65") or "51" <= d[:2] <= "55" or "2221" <= d[:4] <= "2720" or d[:4] == "6011"
+    if span[0] == "+":
+        return d[0] in "17" or d[:2] in TWO_DIGIT_CODES or d[:2] in THREE_DIGIT_CODES
+    return d[0] not in "01" or d[:1] == "0" and len(d) >= 10
+
+
+def around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The lower-case words to the left, nearest first, and to the right."""
+    left, right = (re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)?", x.lower()) for x in (text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]))
+    return left[::-1], right
+
+
+def votes(text: str, start: int, kind: int, end: int, company: bool) -> str:
+    """The kind, and one character a labeler: 1 yes, 0 no, - nothing."""
+    span, d = text[start:end], digits_of(text[start:end])
+    left, right = around(text, start, end)
+    near = {*left[:4], *right[:1]}
+    parting = {c for c in span if not c.isalnum()}
+    shape = {0: len(span) <= 80 and ".." not in span, 1: len(span) >= 7, 2: len(d) in (15, 16) and len(parting) < 2, 3: 10 <= len(d) <= 12}[kind]
+    glued = start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum()
     said = [
-        "1" if strict else "0",
-        "1" if known else "0",
-        "1" if any(w in before for w in FOR[name]) else "-",
-        "0" if any(w in before for w in AGAINST) else "-",
+        "1" if checked(span, kind, d) else "0",
+        "1" if listed(span, kind, d) else "0",
+        "1" if near & set(FOR[KINDS[kind]]) else "-",
+        "0" if near & AGAINST else "-",
+        "1" if left and left[0] in FOR[KINDS[kind]] else "0" if left and left[0] in AGAINST else "-",
         "1" if shape else "0",
-        "0" if start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum() else "1",
+        "0" if glued else "1",
+        "1" if company else "-",
     ]
     return f"{kind}{''.join(said)}"
 
 
-def estimate(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
+def features(text: str, start: int, kind: int, end: int) -> list[int]:
+    """Hashed features of a span: what it looks like and what stands beside it."""
+    span, d = text[start:end], digits_of(text[start:end])
+    shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "9", span))
+    left, right = around(text, start, end)
+    said = [
+        "", f"length {min(len(span) // 4, 12)}", f"digits {min(len(d), 20)}", f"first {d[:1]}", f"two {d[:2]}", f"check {checked(span, kind, d)}", f"listed {listed(span, kind, d)}",
+        f"parting {''.join(sorted({c for c in span if not c.isalnum()}))}", f"end {span[-3:].lower() if kind == 0 else ''}", f"left {text[start - 1 : start] if start else '^'}", f"right {text[end : end + 1]}",
+        *(f"gram {shape[k : k + 3]}" for k in range(min(len(shape) - 2, 12))), *(f"before {w}" for w in left[:3]), *(f"after {w}" for w in right[:1]),
+    ]
+    return sorted({zlib.crc32(f"{KINDS[kind]} {x}".encode()) % DIMENSIONS for x in said})
+
+
+def estimate(patterns: dict[str, int], rounds: int = 200) -> dict[str, float]:
     """Dawid and Skene's model by expectation-maximisation, for each kind: the chance that a pattern's spans are personal
-    data. The strict check's reliability is known; those of the other labelers start at 0.8 and are estimated."""
+    data. Every labeler has a chance of yes, no and nothing for either class, all of which are estimated; BEFOREHAND gives
+    where they start and counts as so many spans."""
     out = {}
     for kind in sorted({p[0] for p in patterns}):
         own = sorted(p for p in patterns if p[0] == kind)
         n = np.array([patterns[p] for p in own], float)
-        said = np.array([[{"1": 1, "0": 0, "-": -1}[c] for c in p[1:]] for p in own])
-        yes, no = said == 1, said == 0
-        hit, miss = np.full(said.shape[1], 0.8), np.full(said.shape[1], 0.2)  # P(yes | is), P(yes | is not)
+        said = np.array([[[c == v for v in "10-"] for c in p[1:]] for p in own], float)  # pattern, labeler, outcome
+        start = np.array([BEFOREHAND[name] for name in LABELERS]).swapaxes(0, 1)  # class, labeler, outcome
+        chance = start / start.sum(axis=2, keepdims=True)
         prior = 0.5
         for _ in range(rounds):
-            hit[0], miss[0] = 0.98, 0.02
-            odds = np.log(prior / (1 - prior)) + (yes * np.log(hit / miss) + no * np.log((1 - hit) / (1 - miss))).sum(axis=1)
+            odds = np.log(prior / (1 - prior)) + (said * np.log(chance[0] / chance[1])).sum(axis=(1, 2))
             q = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-            a, b = n * q, n * (1 - q)
-            prior = float(np.clip((a.sum() + 1) / (n.sum() + 2), 0.01, 0.99))
-            hit = (a @ yes + 8) / (a @ (yes | no) + 10)
-            miss = (b @ yes + 2) / (b @ (yes | no) + 10)
+            prior = float(np.clip((n @ q + 1) / (n.sum() + 2), 0.01, 0.99))
+            counts = np.stack([np.tensordot(n * w, said, 1) for w in (q, 1 - q)]) + start
+            chance = counts / counts.sum(axis=2, keepdims=True)
         out |= dict(zip(own, q.tolist()))
     return out
 
 
-def pattern_features(pattern: str) -> list[float]:
-    kind, said = int(pattern[0]), pattern[1:]
-    flags = [1.0, *(float(kind == k) for k in range(len(KINDS)))]
-    return flags + [float(c == v) for c in said for v in "10"]
-
-
-def train_classifier(patterns: dict[str, int], chance: dict[str, float], ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on the estimated labels, a pattern weighing as many spans as it has (Newton's method)."""
-    own = sorted(patterns)
-    x = np.array([pattern_features(p) for p in own])
-    n, y = np.array([patterns[p] for p in own], float), np.array([chance[p] for p in own])
-    n *= 1000 / max(n.sum(), 1000)  # so that the ridge weighs alike at every size
-    w = np.zeros(x.shape[1])
+def train_classifier(rows: list[list[int]], chance: np.ndarray, ridge: float = 0.1, rounds: int = 12) -> np.ndarray:
+    """Logistic regression on the estimated labels by Newton's method."""
+    x = np.zeros((len(rows), DIMENSIONS))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    w = np.zeros(DIMENSIONS)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * 0.01 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (n * (y - p)) - ridge * 0.01 * w)
+        h = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(DIMENSIONS)
+        w += np.linalg.solve(h, x.T @ (chance - p) - ridge * w)
     return w
 
 
-def classify(w: np.ndarray, pattern: str) -> float:
-    return float(1 / (1 + np.exp(-np.clip(np.array(pattern_features(pattern)) @ w, -30, 30))))
+def classify(w: np.ndarray, row: list[int]) -> float:
+    return float(1 / (1 + np.exp(-np.clip(w[row].sum(), -30, 30))))
 
 
 def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-FOUND = "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, loose array<string>, patterns array<string>"
+FOUND = "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, loose array<string>, patterns array<string>, features array<array<int>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Of each row: base spans and their counts, loose spans (kind:start:end), and the vote patterns of all of these."""
+    """Of each row: base spans and their counts, loose spans (kind:start:end), and votes and features of these, then of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,34 +281,45 @@ def candidates(docs: DataFrame) -> DataFrame:
             for t in b.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                loose = [s for s in loose_spans(text) if not any(s[0] < e and a < s[2] for a, _, e in base)]
-                said = [votes(text, *s, False) for s in loose] + [votes(text, *s, True) for s in base]
+                loose = loose_spans(text, base)
+                places = [a for a, _, _ in base]
+                every = [*loose, *base]
+                near = [bisect_left(places, a + NEAR) - bisect_left(places, a - NEAR) - (k >= len(loose)) > 0 for k, (a, _, _) in enumerate(every)]
+                said = [votes(text, *s, c) for s, c in zip(every, near)]
                 kinds = [k for _, k, _ in base]
-                rows.append((spell(base), *(kinds.count(k) for k in range(4)), [spell([s]) for s in loose], said))
-            kinds = (pa.string(), *[pa.int64()] * 4, pa.list_(pa.string()), pa.list_(pa.string()))
+                rows.append((spell(base), *(kinds.count(k) for k in range(4)), [spell([s]) for s in loose], said, [features(text, *s) for s in every]))
+            kinds = (pa.string(), *[pa.int64()] * 4, pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], [f.split()[0] for f in FOUND.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
 
 
-def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
+def train(found: DataFrame, most: int = MAX_TRAIN) -> np.ndarray | None:
+    """The classifier's weights. Reads the table of patterns (at most 4 kinds times 3 ** 8) and `most` candidates to the driver."""
+    each = found.where(F.size("patterns") > 0).select(F.explode(F.arrays_zip("patterns", "features")).alias("c")).select("c.patterns", "c.features")
+    patterns = {r[0]: r[1] for r in each.groupBy("patterns").count().collect()}
+    if not patterns:
+        return None
+    chance = estimate(patterns)
+    sample = each.orderBy(F.xxhash64("patterns", "features"), "patterns", "features").limit(most).collect()
+    return train_classifier([r[1] for r in sample], np.array([chance[r[0]] for r in sample]))
+
+
+def personal_data(docs: DataFrame, accept: float = ACCEPT, most: int = MAX_TRAIN) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans (base and added), n_added."""
     found = stored(candidates(docs), "candidates")
-    counted = found.select(F.explode("patterns").alias("pattern")).groupBy("pattern").count()
-    patterns = {r["pattern"]: r["count"] for r in counted.collect()}  # at most 4 kinds times 2 ** 6 patterns
-    weights = train_classifier(patterns, estimate(patterns)) if patterns else None
-    taken = {p for p in patterns if classify(weights, p) >= accept}
+    weights = train(found, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digest, spans, added = [], [], []
-            for base, loose, said in zip(*(b.column(k).to_pylist() for k in (5, 6, 7))):
+            for base, loose, rows in zip(*(b.column(k).to_pylist() for k in (5, 6, 7))):
                 digest.append(hashlib.sha256(base.encode()).hexdigest())
-                new = [s for s, p in zip(loose, said) if p in taken]
+                new = [s for s, row in zip(loose, rows) if classify(weights, row) >= accept]
                 every = [s.split(":") for s in [*filter(None, base.split(",")), *new]]
                 spans.append(spell(sorted((int(a), KINDS.index(k), int(e)) for k, a, e in every)))
                 added.append(len(new))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(digest), pa.array(spans), pa.array(added, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    rows = found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "loose", "patterns")
+    rows = found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "loose", "features")
     return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
