@@ -18,6 +18,7 @@ DATA = os.environ.get("TESTDATA", "/root/testdata")
 def spark() -> SparkSession:
     conf = {
         "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.log.level": "ERROR",
+        "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",  # many short jobs: compiling them well takes longer than they do
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     return SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
