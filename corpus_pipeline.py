@@ -1,5 +1,11 @@
 """From raw documents to shards: quality rules, near-dedup, decontamination, mixing and sharding, each stage's rows written
-as Parquet in the shared folder and read again by the next."""
+as Parquet in the shared folder and read again by the next.
+
+All stages work row by row and keep the documents' columns, extra ones too, whatever their names; the last one adds shard,
+slot, grown_shard, size, text_crc32 and law. Null, empty and blank texts fail the quality rules and go. Rows with a null doc_id
+are documents like others: of a group of near copies the least doc_id stays, one without an id only if no copy has one.
+Rows that share a doc_id are judged each by its own text. Ties and repeated rows: copies in all columns are near copies of
+each other, and one stays. Very long texts are judged whole. An empty table gives an empty result from every stage."""
 
 from __future__ import annotations
 
@@ -28,7 +34,7 @@ def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sharding_by_key(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.place(docs)
+    return sharding.sharded_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelseries.llm.common import keyed, running, stored, words
+from pixelseries.llm.common import keyed, running, scratch, small, stored, words
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -155,6 +155,8 @@ def _flipped(rated: DataFrame, flips: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The documents as the mix takes them: each row as often as it has copies."""
     held = keyed(docs)
-    shares = mix(held.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=("row",), **options).where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
-    joined = held.join(shares.hint("merge"), "row")  # files of numbers shrink so well that their size misleads
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    with scratch(docs.sparkSession) as tables:
+        shares = mix(held.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=("row",), **options).where("copies > 0")
+        shares = stored(shares.select("row", F.col("copies").cast("int").alias("copies")), "shares")
+        tables.keep(shares)
+    return held.join(small(shares), "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -1,46 +1,64 @@
-"""Near copies by exact Jaccard similarity of word shingles; one row of each group stays.
+"""SimHash near-dedup as a stage: one row of each group of texts whose word shingles have a similarity of 0.8 or more.
 
-Fingerprints of 64 bits cannot find these pairs without loss: texts of similarity 0.8 lie up to 17 bits apart, and shards
-by bit blocks that lose no such pair would hold everything. So candidates come from a prefix filter, which loses none: with
-all shingles in one order, two sets of n and m shingles that reach the similarity share one of the first n - ceil(s n) + 1
-of either. The order puts shingles that are common in a sample last; it decides the work only, as any order is complete.
-Candidates are confirmed by the similarity of the whole sets, and groups are the connected components.
+The fingerprints and BK-trees of the SimHash operator, over shingles of five words, find the first links, each confirmed by
+the similarity of the whole shingle sets. They cannot find all: texts of similarity 0.8 lie up to 17 of 64 bits apart, and
+bit blocks that lose no such pair would put everything into one shard. So a prefix filter, which loses none, finds the
+rest: with all shingles in one order, two sets of n and m shingles that reach the similarity share one of the first
+n - ceil(s n) + 1 of either. The order puts shingles that are common in a sample last; it decides the work only, as any
+order is complete. Groups are the connected components of the confirmed links.
 
 Sets are of 64-bit hashes. Equal sets are one node, so copies never meet in pairs. Of the rows that share a shingle, each is
-first compared with a few pivots in turn; all pairs that are not connected by then are compared with each other. Nodes are found
-again by a row key, so null and repeated doc_ids make no difference. Null, empty and blank texts are copies of each other;
-a text of fewer words than a shingle has is one shingle. An empty table gives an empty result.
+first compared with a few pivots in turn; all pairs that are not connected by then are compared with each other. Candidates
+are sifted by sketches (the smallest SKETCH hashes of each set; a pair of similarity 0.8 fails there less than once in 10 ** 14),
+so that whole sets are only made of the texts that remain. Keys that many rows share are counted and joined, never
+gathered.
+
+Nodes are found again by a row key, so null and repeated doc_ids make no difference. Of a group the row with the least doc_id
+stays, rows without one last, ties by the text's hash. Null, empty and blank texts are copies of each other; a text of fewer
+words than a shingle has is one shingle; very long texts count whole. An empty table gives an empty result. Extra columns
+are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelseries.llm.common import keyed, stored
-from pixelseries.llm.simhash import components
+from pixelseries.llm.common import keyed, scratch, small, stored
+from pixelseries.llm.simhash import components, links, majority
 
 SIZE = 5
 SIMILARITY = (4, 5)  # as a fraction, so that comparisons are exact
+RADIUS = 2
 SAMPLE_DOCS = 20_000  # texts whose shingles are counted for the order
 COMMON = 200_000  # shingles with a place of their own in the order, at most
-PAIRS_A_ROW = 4  # pivots are taken in turn until so few pairs are left to compare, MOST_TURNS times at most
-MOST_TURNS = 3
+FOLD = np.uint64(0x9E3779B97F4A7C15)  # odd, so that folding loses nothing
+SKETCH = 64
+SIFT = 0.4  # least share of a sketch, of the 0.8 expected
+PAIRS_A_ROW = 4  # pivots are taken in turn until so few pairs are left to compare,
+GAIN = 0.8  # or a turn leaves more than this share of them,
+MOST_TURNS = 6  # or there were so many turns; all that are left are then compared
 
 
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
-    """Ascending distinct hashes of the word shingles."""
+    """Ascending distinct hashes of the word shingles: their words' hashes, folded in order."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not w:
         return np.zeros(0, np.uint64)
-    n = max(1, len(w) - size + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(w[k : k + size])) for k in range(n)), np.uint64, n))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    size = min(size, len(w))
+    n = len(w) - size + 1
+    s = np.full(n, size, np.uint64)
+    for k in range(size):
+        s = (s ^ h[k : k + n]) * FOLD
+        s ^= s >> np.uint64(29)
+    return np.unique(s)
 
 
 def prefix(s: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
@@ -79,46 +97,31 @@ def common_shingles(rows: DataFrame, size: int, most: int = COMMON) -> tuple[np.
 
 
 def _marks(rows: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """(row, doc_id, tie, digest of the set, its n, its prefix)."""
+    """(row, doc_id, tie, digest of the set, its fingerprint, its n, its prefix, its sketch)."""
     common, places = common_shingles(rows, size)
-    names = ["row", "doc_id", "tie", "digest", "n", "prefix"]
+    names = ["row", "doc_id", "tie", "digest", "fp", "n", "prefix", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), size) for t in b.column(3)]
             made = [
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64), pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([prefix(s, common, places, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array([(s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], names)
 
     given = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return given.mapInArrow(run, "row long, doc_id long, tie long, digest binary, n long, prefix array<long>")
+    return given.mapInArrow(run, "row long, doc_id long, tie long, digest binary, fp long, n long, prefix array<long>, sketch binary")
 
 
-def _shared(posts: DataFrame) -> DataFrame:
-    """The rows (h, node, n) whose h occurs more than once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None  # the row before, if it is not out yet
-        seen: int | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h = b.column(0).to_numpy()
-            same = h[1:] == h[:-1]
-            keep = np.r_[False, same] | np.r_[same, False]
-            if seen == h[0]:
-                keep[0] = True
-                if last is not None:
-                    yield last
-            out = b.filter(pa.array(keep))
-            if out.num_rows:
-                yield out
-            seen, last = h[-1], None if keep[-1] else b.slice(b.num_rows - 1)
-
-    return posts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, node long, n long")
+def sketches_agree(a: bytes, b: bytes) -> bool:
+    """Whether the smallest hashes of both sets together are in both as often as SIFT asks."""
+    x, y = set(np.frombuffer(a, "<u4").tolist()), set(np.frombuffer(b, "<u4").tolist())
+    least = sorted(x | y)[:SKETCH]
+    return sum(h in x and h in y for h in least) >= SIFT * len(least)
 
 
 def _alike(n: Column, m: Column, similarity: tuple[int, int]) -> Column:
@@ -127,49 +130,85 @@ def _alike(n: Column, m: Column, similarity: tuple[int, int]) -> Column:
     return (n * den >= m * num) & (m * den >= n * num)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    num, den = similarity
-    left, right = sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), sets.select(F.col("row").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    rows = pairs.join(left, "a").join(right, "b")
-    return rows.where(both * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b")
+def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of distinct nodes whose sets reach the similarity."""
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [sketches_agree(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3))]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-def without_near_copies(docs: DataFrame, size: int = SIZE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The documents, with all their columns, one row of each group: the least doc_id's, rows without an id last."""
+    num, den = similarity
+    with scratch(rows.sparkSession) as tables:
+        left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+        right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+        alike = pairs.join(left, "a").join(right, "b").where(_alike(F.col("na"), F.col("nb"), similarity))
+        near = stored(alike.select("a", "b", "x", "y").mapInArrow(sift, "a long, b long"), "near")
+        named = stored(near.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "named")
+        sets = stored(_sets(rows.join(small(named), "row", "left_semi"), size), "sets")
+        both = near.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        found = stored(both.where(shared * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b"), "links")
+        tables.keep(found)
+    return found
+
+
+def _fingerprint_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): nodes that equal fingerprints or links of the BK-trees bring together, one partner a node and link."""
+    least = stored(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    equal = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    left, right = least.select(F.col("fp").alias("a"), F.col("least").alias("na")), least.select(F.col("fp").alias("b"), F.col("least").alias("nb"))
+    linked = links(least.select("fp"), radius).where("a <> b").join(left, "a").join(right, "b")
+    return equal.unionByName(linked.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).distinct()
+
+
+def without_near_copies(docs: DataFrame, size: int = SIZE, similarity: tuple[int, int] = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The documents, with all their columns, one row of each group."""
     held = keyed(docs)
-    rows = held.select("row", "doc.doc_id", "doc.text")
+    with scratch(docs.sparkSession) as tables:
+        gone = _gone(held.select("row", "doc.doc_id", "doc.text"), size, similarity, radius)
+        tables.keep(gone)
+    return held.join(small(gone), "row", "left_anti").select("doc.*")
+
+
+def _gone(rows: DataFrame, size: int, similarity: tuple[int, int], radius: int) -> DataFrame:
+    """(row) of those of (row, doc_id, text) that a copy stands for."""
     marks = stored(_marks(rows, size, similarity), "marks")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie", "row"))
-    own = stored(marks.groupBy("digest").agg(best.alias("best")).select("best", F.col("best.row").alias("node")), "distinct")
-
-    posts = marks.join(own.select(F.col("node").alias("row")), "row").select(F.explode("prefix").alias("h"), F.col("row").alias("node"), "n")
-    runs = stored(_shared(posts), "runs")
-    sets = stored(_sets(rows.join(runs.select(F.col("node").alias("row")).distinct(), "row"), size), "sets")
-    total, links, roots = runs.count(), None, None
-    placed = runs.withColumn("root", F.col("node"))
-    for turn in range(MOST_TURNS):
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "n", "root")).over(Window.partitionBy("h"))
-        stars = placed.withColumn("p", pivot).where((F.col("root") != F.col("p.root")) & _alike(F.col("n"), F.col("p.n"), similarity))
-        stars = stars.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-        found = stored(_confirmed(stars, sets, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+    own = stored(marks.groupBy("digest").agg(best.alias("best")).select("digest", "best", F.col("best.row").alias("node")), "distinct")
+    copies = stored(marks.select("row", "digest").join(own.select("digest", "node"), "digest").where("row <> node").select("row"), "copies")
+    nodes = marks.join(small(copies), "row", "left_anti").select(F.col("row").alias("node"), "fp", "n", "prefix", "sketch")
+
+    found = _confirmed(_fingerprint_pairs(nodes, radius), nodes, rows, size, similarity)
+    roots = components(found)
+    posts = nodes.select(F.explode("prefix").alias("h"), "node", "n")
+    shared = posts.groupBy("h").count().where("count > 1").select("h")
+    runs = stored(posts.join(shared, "h", "left_semi"), "runs")
+    before = math.inf
+    for turn in range(MOST_TURNS + 1):
         placed = stored(runs.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
-        of_root = placed.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        left = of_root.agg(F.sum(F.col("m") * F.col("m") - F.col("q"))).first()[0] or 0
-        if left <= PAIRS_A_ROW * total:
+        # runs whose nodes are all connected need no more pairs
+        open_runs = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+        runs = stored(placed.join(open_runs, "h", "left_semi"), "runs")
+        of_root = runs.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
+        total, left = of_root.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("q"))).first()
+        if turn == MOST_TURNS or (left or 0) <= PAIRS_A_ROW * (total or 0) or left > GAIN * before:
             break
+        before = left
+        pivots = runs.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "n", "root")).alias("p"))
+        stars = runs.join(pivots, "h").where((F.col("root") != F.col("p.root")) & _alike(F.col("n"), F.col("p.n"), similarity))
+        stars = stars.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        found = found.unionByName(_confirmed(stars, nodes, rows, size, similarity))
+        roots = components(found)
+        runs = runs.drop("root")
 
-    open_runs = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    x = placed.join(open_runs, "h", "left_semi")
-    y = x.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    y = runs.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("m"), similarity)
-    rest = x.join(y, "h").where(apart).select(F.col("node").alias("a"), "b").distinct()
-    more = stored(_confirmed(rest, sets, similarity), "links")
+    rest = runs.join(y, "h").where(apart).select(F.col("node").alias("a"), "b").distinct()
+    more = _confirmed(rest, nodes, rows, size, similarity)
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        roots = components(found.unionByName(more))
 
     groups = own.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    return held.join(groups.select("best.row").hint("merge"), "row", "left_semi").select("doc.*")
+    stay = groups.select("best.row")
+    return stored(marks.select("row").join(stay, "row", "left_anti"), "gone")

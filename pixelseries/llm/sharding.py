@@ -5,20 +5,24 @@ Slots number the rows of a shard without gaps. A shard is cut into cells by a ha
 inside each cell, and the cells' sizes give each cell's first slot, so no task ever holds a whole shard.
 
 A null text has no bytes and the CRC of the empty text. A null key goes where the key 0 goes. Repeated rows and equal
-texts are rows of their own with slots of their own. An empty table gives an empty result. Extra columns are ignored.
+texts are rows of their own with slots of their own, in any order among themselves. Very long texts count whole. An empty
+table gives an empty result. Extra columns are ignored by the query and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelseries.llm.common import numbered, stored
+from pixelseries.llm.common import keyed, numbered, scratch, small, stored
 
 SHARDS = 40
 CELL_ROWS = 100_000
+DEAL = 16
 #: Multiplier of the generator by which the published algorithm jumps; a fixed value.
 MULTIPLIER = 2862933555777941757
 
@@ -50,17 +54,32 @@ def shard_of(key: Column, shards: int) -> Column:
     return run(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
 
 
-def place(docs: DataFrame, shards: int = SHARDS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (the shard with one shard more)."""
+def place(docs: DataFrame, shards: int = SHARDS, cell_rows: int = CELL_ROWS, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the carried columns, size, text_crc32, law, shard, slot, grown_shard (the shard with one shard more)."""
     text = F.coalesce("text", F.lit(""))
     key = F.col("doc_id").cast("long")
     rows = docs.select(
         key.alias("doc_id"),
+        *carry,
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(key, text).alias("spread"),
     )
     rows = stored(rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)}), "placed")
     cells = max(1, -(-rows.count() // (shards * cell_rows)))
-    rows = numbered(rows, "shard", [F.pmod("spread", F.lit(cells))], [F.col(c) for c in ("doc_id", "spread", "text_crc32", "size")], "slot")
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    # a shard can be hot (null ids are one key); its cells are by content, and rows of equal content are spread over DEAL cells more
+    deal = F.pmod(F.monotonically_increasing_id(), F.lit(DEAL)) if cells > 1 else F.lit(0)
+    rows = numbered(rows.withColumn("deal", deal), "shard", [F.pmod("spread", F.lit(cells)), F.col("deal")], [F.col(c) for c in ("doc_id", "spread", "text_crc32", "size")], "slot")
+    return rows.select("doc_id", *carry, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def sharded_documents(docs: DataFrame, **options: int) -> DataFrame:
+    """The documents with all their columns, and where they go: shard, slot, grown_shard, size, text_crc32, law. A column of
+    the documents that has such a name is left out."""
+    held = keyed(docs)
+    with scratch(docs.sparkSession) as tables:
+        placed = stored(place(held.select("row", "doc.doc_id", "doc.text"), carry=("row",), **options).drop("doc_id"), "places")
+        tables.keep(placed)
+    added = [c for c in placed.columns if c != "row"]
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in added]
+    return held.join(small(placed), "row").select(*own, *added)

@@ -8,7 +8,11 @@ than `shard_limit` distinct fingerprints is cut again by the blocks of its remai
 shard's values differ in 19 bits only. Within a shard only a spanning set of links leaves the task, so groups of copies
 never make pairs of all members; connected components are the same.
 
-Null, empty and blank texts have fingerprint zero, linked like any other. Rows with a null doc_id get a fingerprint and
+All copies of a text, and all empty ones, share a fingerprint, and a large component one root. Such keys are on one side of
+joins only, the other side having one row a key, so Spark can split them.
+
+Null, empty and blank texts have fingerprint zero, linked like any other. Very long texts are hashed whole, in runs of
+bounded size. Ties: a bit that exactly half of the hashes have is 0; equal fingerprints are one node. Rows with a null doc_id get a fingerprint and
 a component but never name one; a component of null ids only has a null component_id. Repeated rows stay repeated. An
 empty table gives an empty result. Extra columns are ignored.
 """
@@ -23,12 +27,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelseries.llm.common import stored
+from pixelseries.llm.common import scratch, stored
 
 BITS = 64
 SEED = 42
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    if not len(h):
+        return 0
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 1 << 16):  # bounded memory for very long texts
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None, size: int = 3) -> int:
     """Unsigned 64-bit SimHash over word shingles, repeats included; 0 without words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
@@ -36,14 +50,12 @@ def fingerprint(text: str | None, size: int = 3) -> int:
         return 0
     if len(w) <= size:
         return xxhash.xxh64_intdigest(b" ".join(w), seed=SEED)
-    ones, step = np.zeros(BITS, np.int64), 1 << 16
-    n = len(w) - size + 1
-    digest = xxhash.xxh64_intdigest
+    n, step, digest = len(w) - size + 1, 1 << 16, xxhash.xxh64_intdigest
+    h = np.empty(n, np.uint64)
     for at in range(0, n, step):  # bounded memory for very long texts
         part = w[at : at + step + size - 1]
-        h = np.array([digest(x, SEED) for x in map(b" ".join, zip(*(part[k:] for k in range(size))))], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+        h[at : at + step] = [digest(x, SEED) for x in map(b" ".join, zip(*(part[k:] for k in range(size))))]
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -177,26 +189,27 @@ def links(distinct: DataFrame, radius: int = 2, shard_limit: int = 4096) -> Data
     return found
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of edges (a, b) reaches. Labels jump over the edges and over
     themselves, so the rounds grow with the logarithm of the longest chain; each round's labels are written and read."""
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stored(both, "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("seen"))
-        lower = labels.join(near, labels.node == near.a).select("node", F.least("root", "seen").alias("new"), "root")
-        # hook: the old root learns of the lower one too; then every label jumps to its root's label
-        hooks = lower.where("new < root").groupBy(F.col("root").alias("h")).agg(F.min("new").alias("hook"))
-        hooked = lower.join(hooks, lower.node == hooks.h, "left").select("node", F.least("new", F.coalesce("hook", "new")).alias("new"), "root")
-        hooked = stored(hooked, "labels")
-        jump = hooked.select(F.col("node").alias("j"), F.col("new").alias("next"))
-        after = hooked.join(jump, hooked.new == jump.j, "left").select("node", F.least("new", F.coalesce("next", "new")).alias("next"), "root")
-        after = stored(after, "labels")
-        labels = after.select("node", F.col("next").alias("root"))
-        if after.where("next < root").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    with scratch(edges.sparkSession) as tables:
+        both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        both = stored(both, "edges")
+        labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+        while True:
+            near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("seen"))
+            lower = labels.join(near, labels.node == near.a).select("node", F.least("root", "seen").alias("new"), "root")
+            # hook: the old root learns of the lower one too; then every label jumps to its root's label
+            hooks = lower.where("new < root").groupBy(F.col("root").alias("h")).agg(F.min("new").alias("hook"))
+            hooked = lower.join(hooks, lower.node == hooks.h, "left").select("node", F.least("new", F.coalesce("hook", "new")).alias("new"), "root")
+            hooked = stored(hooked, "labels")
+            jump = hooked.select(F.col("node").alias("j"), F.col("new").alias("next"))
+            after = hooked.join(jump, hooked.new == jump.j, "left").select("node", F.least("new", F.coalesce("next", "new")).alias("next"), "root")
+            after = stored(after, "labels")
+            labels = after.select("node", F.col("next").alias("root"))
+            if after.where("next < root").isEmpty():
+                tables.keep(after)
+                return labels
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, shard_limit: int = 4096) -> DataFrame:
@@ -210,11 +223,3 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, shard_limit
     named = linked.join(ids, "root").select("fp", "n_equal", "component_id").unionByName(grouped.where("not linked").select("fp", "n_equal", F.col("least_id").alias("component_id")))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id", "n_equal")
-
-
-def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents without near-duplicates: of each group the row with the least doc_id stays. Rows that share
-    a doc_id count as one document; rows without an id cannot be named by a group and stay."""
-    ids = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
