@@ -5,12 +5,15 @@ is toxic with probability 1 - (1 - leak) * prod(1 - p) over its sentences, the l
 are fitted to document labels only, by Newton-like steps whose gradients every task sums over its own labelled documents;
 the sentence with the highest score then locates the offence.
 
-Training takes at most `most` labelled documents whose crc32(doc_id as text) mod 3 is not 1 (those are held out) and the
-`vocabulary` features most typical of label 1; scoring covers every document, whole.
+Training takes at most `most` labelled documents whose crc32(doc_id as text) mod 3 is not 1 (those are held out), one row for
+each id, and all features of theirs that are typical of label 1 beyond chance; scoring covers every document, whole. Sums are
+of whole numbers (parts of 2 ** -FINE), so that the weights do not depend on how rows are dealt to tasks.
 
 Null and empty texts have no sentence and the score of the leak. A null doc_id is not held out and matches no label.
-Repeated rows are scored one by one; repeated labels of a document count once, the toxic one first. Without labels of both
-kinds all weights are 0. An empty table gives an empty result. Extra columns are ignored.
+Very long texts are scored whole, sentence by sentence. Of equally toxic sentences the first is named; equal scores are
+equal verdicts. Repeated rows are scored one by one, but train once (the text with the least hash); repeated labels of a
+document count once, the toxic one first. Without labels of both kinds all weights are 0. An empty table gives an empty
+result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pixelseries.llm.common import stored
 
 MAX_TRAIN = 20_000
-VOCABULARY = 4096
+FINE = 30
 PREFIXES = range(3, 7)
 #: Least half likelihood-ratio statistic of a feature: of a million features without any bearing about one passes.
 LEAST_GAIN = 12.0
@@ -63,12 +66,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     ids = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `most` ids
-    return stored(rows.select("toxic", F.coalesce("text", F.lit("")).alias("text")), "toxicity-training")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # at most `most` ids
+    one = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    return stored(one.select("toxic", "text"), "toxicity-training")
 
 
-def feature_weights(train: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]:
-    """The features most typical of label 1 by the signed likelihood ratio of their document counts, with log odds."""
+def feature_weights(train: DataFrame) -> dict[str, float]:
+    """The features that are typical of label 1 by the likelihood ratio of their document counts, with log odds. As many as
+    the training documents, of bounded number, have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -94,7 +99,7 @@ def feature_weights(train: DataFrame, vocabulary: int = VOCABULARY) -> dict[str,
     p1, p0 = (F.col("a1") + 0.5) / (n1 + 1), (F.col("a0") + 0.5) / (n0 + 1)
     pooled = (F.col("a0") + F.col("a1") + 1.0) / (n0 + n1 + 2)
     gain = F.col("a1") * F.ln(p1 / pooled) + F.col("a0") * F.ln(p0 / pooled)
-    chosen = counts.where(p1 > 3 * p0).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(vocabulary)
+    chosen = counts.where(p1 > 3 * p0).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
     return {r["feature"]: r["odds"] for r in chosen.select("feature", F.ln(p1 / p0).alias("odds")).collect()}
 
 
@@ -114,12 +119,13 @@ def bags(train: DataFrame, index: dict[str, int]) -> DataFrame:
 
 
 def fit(bag_rows: DataFrame, start: np.ndarray, rounds: int = ROUNDS, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Weights and leak. Each round, every task sends its sums for a vocabulary of bounded size to the driver."""
+    """Weights and leak. Each round, every task sends its sums for the model's features to the driver."""
     weights, leak, size = start.copy(), 0.01, len(start)
+    unit = float(1 << FINE)
     for _ in range(rounds):
 
         def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = weights, leak: float = leak) -> Iterator[pa.RecordBatch]:
-            g, h, own = np.zeros(size), np.zeros(size), np.zeros(2)
+            g, h, own = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(2, np.int64)
             quiet = math.log1p(-1 / (1 + math.exp(CLEAN_LOGIT)))
             for b in batches:
                 for y, blank, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -130,23 +136,23 @@ def fit(bag_rows: DataFrame, start: np.ndarray, rounds: int = ROUNDS, ridge: flo
                     for x, q in zip(found, p):
                         # for label 1, q / whole is the chance that this sentence is to blame
                         blame = min(1.0, q / whole) if y else 0.0
-                        g[x] += share * q
-                        h[x] += q * (1 - q) + (blame * (1 - blame) * q if y else 0.0)
-                    own += leak / whole if y else 0.0, 1
+                        g[x] += round(unit * min(1e6, share * q))
+                        h[x] += round(unit * (q * (1 - q) + (blame * (1 - blame) * q if y else 0.0)))
+                    own += round(unit * (leak / whole)) if y else 0, 1
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([own, g, h]).tobytes()], pa.binary())], ["sums"])
 
-        parts = bag_rows.mapInArrow(sums, "sums binary").withColumn("part", F.spark_partition_id()).orderBy("part").collect()
-        total = np.sum([np.frombuffer(r["sums"]) for r in parts], axis=0) if parts else np.zeros(2 + 2 * size)
-        g, h = total[2 : 2 + size] - ridge * (weights - start), total[2 + size :] + ridge
+        parts = bag_rows.mapInArrow(sums, "sums binary").collect()
+        total = np.sum([np.frombuffer(r["sums"], np.int64) for r in parts], axis=0) if parts else np.zeros(2 + 2 * size, np.int64)
+        g, h = total[2 : 2 + size] / unit - ridge * (weights - start), total[2 + size :] / unit + ridge
         weights = np.maximum(0.0, weights + np.clip(g / h, -1.0, 1.0))
-        leak = float(np.clip(total[0] / total[1], 1e-4, 0.3)) if total[1] else leak
+        leak = float(np.clip(total[0] / unit / total[1], 1e-4, 0.3)) if total[1] else leak
     return weights, leak
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, vocabulary: int = VOCABULARY) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[dict[str, float], float]:
     """(weight of each feature, leak): the model, of bounded size."""
     rows = training_rows(docs, labels, most)
-    odds = feature_weights(rows, vocabulary)
+    odds = feature_weights(rows)
     names = sorted(odds)
     if not names:
         return {}, 0.01
@@ -154,10 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, vocabulary:
     return {f: float(w) for f, w in zip(names, weights) if w > 0}, leak
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, vocabulary: int = VOCABULARY, cut: float = CUT) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted, and of the most toxic sentence worst_start, worst_end (code points; null without
     a sentence that has features) and worst_score."""
-    model, leak = train(docs, labels, most, vocabulary)
+    model, leak = train(docs, labels, most)
     quiet = math.log1p(-1 / (1 + math.exp(CLEAN_LOGIT)))
 
     def score(text: str, known: dict[str, tuple[str, ...]]) -> tuple[float, int | None, int | None, float]:
