@@ -4,8 +4,8 @@ Every document is a bag of hashed word unigrams and bigrams. Two multinomials ov
 trusted documents (labels.quality = 1) and one from all documents. A document's score is the mean log ratio of its
 n-grams; documents below a fixed threshold, or failing the base rules, are rejected. DataFrame functions only.
 
-Null and empty texts have no words: all counts 0, score null, base_failed true, kept false. Repeated rows, null ids and
-equal texts are judged row by row; an empty table gives an empty result. Extra columns are ignored.
+Null and empty texts have no words: all counts 0, score null, base_failed true, kept false. Very long texts are judged whole. A score that equals the threshold is kept. Repeated rows, null ids and
+equal texts are judged row by row; an empty table gives an empty result. Extra columns are ignored by the query and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,10 +13,11 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from brute import brute_groups
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pixelseries.llm import decontam, mixing, pii, quality, queries, sharding, simhash, token_counts, token_output
+from pixelseries.llm import decontam, mixing, pii, quality, queries, sharding, simhash, token_counts, token_output, toxicity
 from pixelseries.llm.common import table
 
 
@@ -45,6 +46,46 @@ def test_toxicity_ranks_held_out_documents(spark, medium):
     assert (found.worst_start < found.worst_end).all()
 
 
+def dense_fit(rows, start, rounds, ridge):
+    """The weights of a bag model by its formulas, over dense arrays: rows are (label, 0/1 matrix of sentences by features)."""
+    w, leak = start.copy(), 0.01
+    for _ in range(rounds):
+        g, h, blamed = -ridge * (w - start), np.full(len(w), ridge), 0.0
+        for y, x in rows:
+            p = 1 / (1 + np.exp(toxicity.CLEAN_LOGIT - x @ w))
+            toxic = 1 - (1 - leak) * np.prod(1 - p)
+            has = x.any(axis=1)
+            for q, s in zip(p[has], x[has]):
+                g += s * q * ((1 - toxic) / toxic if y else -1)
+                blame = min(1, q / toxic)
+                h += s * (q * (1 - q) + y * blame * (1 - blame) * q)
+            blamed += y * leak / toxic
+        w, leak = np.maximum(0, w + np.clip(g / h, -1, 1)), float(np.clip(blamed / len(rows), 1e-4, 0.3))
+    return w, leak
+
+
+def test_bags_by_dense_arrays(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(200):
+        bad = k % 3 == 0
+        sents = [" ".join(rng.choice(["calm", "river", "stone", "bread", "light"]) for _ in range(rng.randrange(2, 6))) for _ in range(rng.randrange(1, 7))]
+        if bad or rng.random() < 0.1:
+            sents.insert(rng.randrange(len(sents) + 1), f"you {rng.choice(['vile', 'rotten'])} stone")
+        rows.append((int(bad), ". ".join(sents)))
+    train = spark.createDataFrame(rows, "toxic int, text string")
+    odds = toxicity.feature_weights(train)
+    names = sorted(odds)
+    assert "vile" in names and "calm" not in names
+    start = np.array([odds[f] for f in names])
+    index = {f: j for j, f in enumerate(names)}
+    got = [toxicity.fit(toxicity.bags(train.repartition(n), index), start) for n in (1, 13)]
+    assert (got[0][0] == got[1][0]).all() and got[0][1] == got[1][1]  # however rows are dealt
+    dense = [(y, np.array([[f in {g for w in ws for g in toxicity.word_features(w)} for f in names] for _, _, ws in toxicity.sentences(t)], float)) for y, t in rows]
+    w, leak = dense_fit(dense, start, toxicity.ROUNDS, toxicity.RIDGE)
+    assert np.abs(w - got[0][0]).max() < 1e-6 and abs(leak - got[0][1]) < 1e-6
+
+
 # --- mixing
 
 
@@ -71,12 +112,42 @@ def test_mix_meets_targets_and_repeats(spark, small):
         assert abs(g.taken.sum() - want) <= max(0.01 * want, smallest)
 
 
+def dense_rates(prior, size, target, cap=2.0):
+    """Rates of one source by bisection over all its documents."""
+    scale, low, high = size.mean(), -1e6, 1e6
+    rates = lambda lam: np.minimum(cap, prior * np.exp(np.minimum(lam * size / scale, 700)))
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (rates(mid) * size).sum() < target else (low, mid)
+    return rates(high)
+
+
+def test_rates_by_dense_solution(spark, small):
+    docs = table(spark, small, "documents")
+    out = mixing.mix(docs).toPandas()
+    for _, g in out[out["size"] > 0].groupby("source"):
+        want = dense_rates(np.ones(len(g)), g["size"].to_numpy(float), g.target.iloc[0])
+        assert np.abs(g.rate - want).max() < 1e-9
+        free = g[g.rate < 2]
+        assert free.rate.nunique() == free["size"].nunique()  # a tilt over documents
+        assert (np.abs(g.copies - g.rate) >= 1).sum() <= mixing.MEND_ROUNDS  # but for the mended ones, the rate rounded down or up
+
+
 def test_newton_with_priors(spark):
-    cells = spark.createDataFrame([("a", 0.5, 100), ("a", 1.9, 100), ("b", 1.0, 50)], "grp string, prior double, mass long")
-    targets = spark.createDataFrame([("a", 250.0), ("b", 100.0)], "grp string, target double")
-    lam = {r["grp"]: r["lam"] for r in mixing.balance(cells, targets).collect()}
-    assert abs(sum(100 * min(2, q * math.exp(lam["a"])) for q in (0.5, 1.9)) - 250) < 1e-6
-    assert 50 * min(2, math.exp(lam["b"])) == 100
+    rng = np.random.default_rng(2)
+    rows, targets = [], []
+    for k in range(6):
+        prior, size, n = rng.uniform(0.2, 1.9, 40), rng.integers(1, 2000, 40), rng.integers(1, 5, 40)
+        rows += [(f"g{k}", float(q), int(s), int(m)) for q, s, m in zip(prior, size, n)]
+        targets.append((f"g{k}", float((0.1, 0.5, 0.9, 1.2, 1.7, 2.0)[k] * (size * n).sum())))
+    cells, goal = spark.createDataFrame(rows, "grp string, prior double, size long, n long"), spark.createDataFrame(targets, "grp string, target double")
+    found = {r["grp"]: r for r in mixing.balance(cells, goal).collect()}
+    for g, target in targets:
+        own = [np.repeat([r[c] for r in rows if r[0] == g], [r[3] for r in rows if r[0] == g]) for c in (1, 2)]
+        lam, scale = found[g]["lam"], found[g]["scale"]
+        assert abs(scale - own[1].mean()) < 1e-9
+        rates = np.full(len(own[0]), 2.0) if lam is None else np.minimum(2, own[0] * np.exp(lam * own[1] / scale))
+        assert np.abs(rates - dense_rates(*own, target)).max() < 1e-9 and abs((rates * own[1]).sum() - target) < 1e-6 * target
 
 
 # --- tokens
@@ -109,6 +180,47 @@ def test_tokens_equal_the_library(spark, small, texts):
     assert {r["doc_id"]: r["n_tokens"] + 1 for r in queries.op8_token_counts(spark, small).collect()} == {i: w[1] for i, w in want.items()}
 
 
+def scanned(c, text, size, reach=token_counts.REACH):
+    """(tokens, cuts inside words, seams at which the lead told another state) by maps of chunks, folded in order."""
+    cuts = [*c.cuts(text, size, reach), (len(text), False)]
+    n, state, inside, off = 0, None, 0, 0
+    for (a, open_word), (b, on) in zip(cuts, cuts[1:]):
+        if open_word:
+            inside += 1
+            off += c.entry(token_counts.LETTERS.search(text[max(0, a - token_counts.LEAD) : a]).group()) != state
+        more, state = c.map(text[a:b], state, on)
+        n += more
+    return n, inside, off
+
+
+def test_texts_without_spaces():
+    from tokenizers import Tokenizer
+
+    rng, c, library = random.Random(6), token_counts.Counter(token_counts.DEFAULT), Tokenizer.from_file(token_counts.DEFAULT)
+    texts = ["a" * 3000, "ab" * 2000, "Na" * 999, "".join(rng.choice("etaoinshr") for _ in range(4000)), "\u4e2d\u6587" * 1000, "<|endoftext|>" * 300, "'s" * 900, "x1" * 900, "|" * 3000, "caf\u00e9" * 700]
+    texts += ["".join(rng.choice("\u7684\u4e00\u662f\u4e0d\u4e86") for _ in range(1500)), "wo" + "a" * 400 + "\u0301" * 3 + "b" * 400]
+    inside = 0
+    for t in texts:
+        found = scanned(c, t, rng.randrange(90, 200), 60)
+        assert found[0] == len(library.encode(t, add_special_tokens=False).ids)
+        inside += found[1]
+    assert inside > 50
+
+
+def test_scan_of_a_long_word(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(150_000))
+    texts = [long, "a" * 99_999, "short", None, " ".join(["many words"] * 5000), "a" * 40_000 + "b" + "a" * 40_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(token_counts.DEFAULT)
+    for r in token_counts.token_counts(docs, chunk=3001).collect():
+        t = texts[r["doc_id"]] or ""
+        assert (r["n_tokens"], r["n_bytes"]) == (len(library.encode(t, add_special_tokens=False).ids), len(t.encode()))
+        assert (r["n_chunks"] > 5) == (len(t) > 20_000)
+
+
 def test_transducer_on_random_texts():
     from tokenizers import Tokenizer
 
@@ -118,8 +230,7 @@ def test_transducer_on_random_texts():
         text = "".join(kinds[k % 2]() for _ in range(120))
         want = len(library.encode(text, add_special_tokens=False).ids)
         assert c.count(text.encode()) == want
-        step = rng.randrange(1, 40)
-        assert c.compose([c.chunk(text[a : a + step]) for a in range(0, len(text), step)]) == want
+        assert scanned(c, text, rng.randrange(1, 40), 8)[0] == want
 
 
 # --- personal data
@@ -156,8 +267,77 @@ def test_personal_data_keeps_base_spans(spark, small, texts):
 
 def test_long_runs_stay_linear():
     for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "a@" * 100_000, "1 " * 100_000):
-        pii.base_spans(text)
-        pii.loose_spans(text)
+        pii.loose_spans(text, pii.base_spans(text))
+
+
+def luhn_number(rng, first):
+    d = first + "".join(rng.choice("0123456789") for _ in range(15 - len(first)))
+    return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+
+def planted(rng, k):
+    """(text, hidden spans): spans that the strict patterns miss, numbers and words that are none, plain prose."""
+    word = lambda: "".join(rng.choice(["an", "er", "tion", "re", "in", "the", "ou"]) for _ in range(rng.randrange(1, 4)))
+    name, digits = lambda: rng.choice(["jane.doe", "r.smith", "info", "bob_k", "sales"]) + str(rng.randrange(99)), lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card, sign = luhn_number(rng, "4"), rng.choice("./_")
+    hidden = [
+        ("email", rng.choice(["write to", "contact", "mail", ""]), f"{name()} {rng.choice(['[at]', '(at)', 'at'])} host{k % 9} {rng.choice(['[dot]', 'dot', '(dot)'])} {rng.choice(['com', 'org', 'de'])}"),
+        ("phone", rng.choice(["call", "phone", "tel", ""]), rng.choice([f"({rng.randrange(200, 999)}) {digits(3)}-{digits(4)}", f"{rng.randrange(200, 999)}-{digits(3)}-{digits(4)}"])),
+        ("card", rng.choice(["card", "visa", ""]), sign.join(card[j : j + 4] for j in range(0, 16, 4))),
+        ("ip", rng.choice(["server", "host", ""]), ":".join(["2001", "db8", *(f"{rng.randrange(1, 65535):x}" for _ in range(6))])),
+    ]
+    strict = ["jane@host.example.com", f"+1 ({rng.randrange(200, 999)}) 555-{digits(4)}", luhn_number(rng, "4"), f"{rng.randrange(1, 223)}.{digits(2)}.7.{digits(2)}"]
+    wrong = next(n for n in iter(lambda: digits(16), "") if not pii.luhn(n))
+    decoys = [f"order {wrong}", f"look at this dot{k}", f"serial number {wrong[:3]}-{wrong[3:6]}-{wrong[6:10]}", f"part no {wrong[:4]}.{wrong[4:8]}.{wrong[8:12]}.{wrong[12:]}", wrong]
+    text, spans = "", []
+    for _ in range(rng.randrange(2, 7)):
+        text += " ".join(word() for _ in range(rng.randrange(4, 12))) + " "
+        which = rng.random()
+        if which < 0.4:
+            kind, before, span = rng.choice(hidden)
+            text += f"{before} " if before else ""
+            spans.append(f"{kind}:{len(text)}:{len(text) + len(span)}")
+            text += span + " "
+        else:
+            text += rng.choice(strict if which < 0.7 else decoys) + " "
+        text += "and "
+    return text, spans
+
+
+def test_spans_that_the_strict_rules_miss(spark):
+    rng = random.Random(12)
+    made = [planted(rng, k) for k in range(600)]
+    out = pii.personal_data(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(made)], "doc_id long, text string").repartition(4)).collect()
+    right, wanted, added = Counter(), Counter(), Counter()
+    for r in out:
+        text, hidden = made[r["doc_id"]]
+        base = set(filter(None, pii.spell(pii.base_spans(text)).split(",")))
+        new = set(filter(None, r["spans"].split(","))) - base
+        assert base <= set(r["spans"].split(",")) | {""} and len(new) == r["n_added"]
+        for s in new:
+            added[s.split(":")[0]] += 1
+        for s in set(hidden) - base:
+            wanted[s.split(":")[0]] += 1
+            right[s.split(":")[0]] += s in new
+    print({k: (right[k], wanted[k], added[k]) for k in wanted})
+    assert all(right[k] >= 0.9 * wanted[k] and wanted[k] > 50 for k in pii.KINDS)
+    assert sum(right.values()) >= 0.95 * sum(added.values())
+
+
+def test_estimates_by_brute_force():
+    """Votes drawn from known chances: the estimates come near those of Bayes' rule with the chances known."""
+    rng = np.random.default_rng(5)
+    n, k = 30_000, len(pii.LABELERS)
+    yes, no = rng.dirichlet((6, 1, 3), k), rng.dirichlet((1, 5, 3), k)
+    is_ = rng.random(n) < 0.4
+    said = np.array([[rng.choice(3, p=(yes if t else no)[j]) for j in range(k)] for t in is_])
+    patterns = Counter("2" + "".join("10-"[v] for v in row) for row in said)
+    off = 0
+    for p, q in pii.estimate(patterns).items():
+        v = ["10-".index(c) for c in p[1:]]
+        a, b = 0.4 * np.prod(yes[range(k), v]), 0.6 * np.prod(no[range(k), v])
+        off += patterns[p] * abs(q - a / (a + b))
+    assert off / n < 0.02
 
 
 # --- urls
@@ -173,43 +353,63 @@ def test_url_filter_equals_sql(spark, small):
 # --- decontamination
 
 
-def overlap(a, b):
-    return len(a & b) / len(a) if a else 1.0
+def whole_index(items):
+    items = sorted(items, key=lambda x: (len(decontam.text_words(x[1])), x))
+    df = Counter(w for _, t in items for w in set(decontam.text_words(t)))
+    return decontam.build_index(items, df, len(items), np.mean([len(decontam.text_words(t)) for _, t in items])), df
+
+
+def own_scores(items, df):
+    """Of each item, a word's share of the score that the item's own text has (BM25, k1 1.2, b 0.75)."""
+    lengths = [len(decontam.text_words(t)) for _, t in items]
+    mean, out = np.mean(lengths), []
+    for (_, t), n in zip(items, lengths):
+        tf = Counter(decontam.text_words(t))
+        w = {x: math.log(1 + (len(items) - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) for x, f in tf.items()}
+        out.append({x: v / math.fsum(w.values()) for x, v in w.items()})
+    return out
 
 
 def test_leaks_by_brute_force(spark, small, texts):
-    found = {(r["doc_id"], r["item_id"]) for r in queries.op6_benchmark_decontamination(spark, small).collect()}
-    items = {r["item_id"]: r["text"] for r in table(spark, small, "benchmark").collect()}
-    parts = {i: [decontam.shingles(decontam.text_words(p)) for p in decontam.question_and_answer(t)] for i, t in items.items()}
-    whole = set()
+    """Every passage against every item: the same leaks, none more, none less."""
+    items = [(r["item_id"], r["text"]) for r in table(spark, small, "benchmark").collect() if decontam.text_words(r["text"] or "")]
+    index, df = whole_index(items)
+    scores = own_scores(items, df)
+    parts = [[decontam.shingles(decontam.text_words(p)) for p in decontam.question_and_answer(t)] for _, t in items]
+    size, want = index.passage, set()
     for d, t in texts.items():
         w = decontam.text_words(t)
-        grams = defaultdict(set)
-        for i, ps in parts.items():
-            for p in ps:
-                n = len(next(iter(p))) if p else 0
-                if n and n not in grams:
-                    grams[n] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
-            if all(overlap(p, grams[len(next(iter(p)))] if p else set()) == 1 for p in ps):
-                whole.add((d, i))
-    assert whole and whole <= found and len(found) <= len(whole) + 2
+        for start in range(0, max(1, len(w) - size // 2), size // 2):
+            passage = w[start : start + size]
+            known, grams = set(passage), {}
+            for (item_id, _), own, ps in zip(items, scores, parts):
+                if math.fsum(v for x, v in own.items() if x in known) < decontam.THRESHOLD:
+                    continue
+                shares = []
+                for p in ps:
+                    n = len(next(iter(p))) if p else 0
+                    grams.setdefault(n, {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)} if n else set())
+                    shares.append(len(p & grams[n]) / len(p) if p else 1.0)
+                if min(shares) >= decontam.OVERLAP:
+                    want.add((d, item_id))
+    found = [(r["doc_id"], r["item_id"]) for r in queries.op6_benchmark_decontamination(spark, small).collect()]
+    assert want and sorted(found) == sorted(want)
 
 
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(3)
     items = [(k, " ".join(rng.choice([f"w{j}" for j in range(60)]) for _ in range(rng.randrange(4, 40)))) for k in range(90)]
-    df = Counter(w for _, t in items for w in set(decontam.text_words(t)))
-    mean = np.mean([len(decontam.text_words(t)) for _, t in items])
-    index = decontam.build_index(items, df, len(items), mean)
+    index, df = whole_index(items)
+    scores = own_scores(index.items, df)
     for _ in range(200):
-        terms = rng.sample(list(index.terms.values()), rng.randrange(1, 40))
+        names = rng.sample(list(index.terms), rng.randrange(1, 40))
+        terms = {index.terms[w] for w in names}
+        ids, counts = np.array(sorted(terms)), np.array([len(terms)])
         for threshold in (0.1, 0.4, 0.7):
-            scores = Counter()
-            for t in terms:
-                for at, impacts in index.postings[t].values():
-                    for i, w in zip(at, impacts):
-                        scores[i] += w
-            assert {i for i, _ in decontam.block_max_wand(index, terms, threshold)} == {i for i, s in scores.items() if s >= threshold}
+            want = {i for i, own in enumerate(scores) if math.fsum(own.get(w, 0.0) for w in names) >= threshold}
+            every = {i for b in range(-(-len(items) // decontam.ALIGN)) for i, _ in decontam.block_max_wand(index, terms, b, threshold)}
+            sifted = {i for _, _, b in zip(*decontam.candidates(ids, counts, index, threshold)) for i, _ in decontam.block_max_wand(index, terms, int(b), threshold)}
+            assert every == want and (sifted == want or len(ids) > index.passage)
 
 
 def test_leak_in_a_long_text_and_blocks_of_items(spark):
@@ -218,8 +418,8 @@ def test_leak_in_a_long_text_and_blocks_of_items(spark):
     items = [(k, " ".join(word() for _ in range(20 + k)) + ".\n" + " ".join(word() for _ in range(6))) for k in range(25)]
     rows = [(k, " ".join(word() for _ in range(300)) + " " + t.replace("\n", " ") + " " + " ".join(word() for _ in range(300))) for k, t in items]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for block in (1000, 7):
-        assert sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench, block_items=block).collect()) == [(k, k) for k in range(25)]
+    for words in (10_000, 250):
+        assert sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench, part_words=words).collect()) == [(k, k) for k in range(25)]
 
 
 # --- sharding
@@ -378,7 +578,7 @@ def test_pipeline_stages_by_brute_force(spark, small, texts):
     kept = {r["doc_id"] for r in queries.op9_quality_rules(spark, small).where("kept").collect()}
     assert set(seen[0]) == kept
     ids = sorted(kept)
-    roots = brute_components([simhash.fingerprint(texts[i]) for i in ids])
+    roots = brute_groups([texts[i] for i in ids])
     assert set(seen[1]) == {ids[r] for r in roots}
     leaks = {r["doc_id"] for r in queries.op6_benchmark_decontamination(spark, small).collect()}
     assert set(seen[2]) == set(seen[1]) - leaks

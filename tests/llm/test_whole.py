@@ -5,32 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from brute import brute_groups
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelseries.llm import decontam, mixing, neardup
 from pixelseries.llm.common import table
 
 
-def jaccard(a: str | None, b: str | None) -> float:
-    def cut(t):
-        w = (t or "").lower().split()
-        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-    x, y = cut(a), cut(b)
-    return len(x & y) / len(x | y) if x | y else 1.0
-
-
-def brute_groups(texts: list[str | None]) -> list[int]:
-    """The first text that each reaches over pairs of similarity 0.8."""
-    roots = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if roots[i] != roots[j] and jaccard(texts[i], texts[j]) >= 0.8:
-                low, high = sorted((roots[i], roots[j]))
-                roots = [low if r == high else r for r in roots]
-    return roots
-
-
 def frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
 
@@ -83,3 +64,17 @@ def test_mix_meets_targets_without_ids(spark):
         taken[r["source"]] += 5
     for r in mixing.mix(docs).select("source", "target").distinct().collect():
         assert abs(taken[r["source"]] - r["target"]) <= 5
+
+
+def test_row_keys_are_of_their_own(spark, small):
+    from pyspark.sql import functions as F
+
+    from pixelseries.llm.common import keyed
+
+    docs = table(spark, small, "documents")
+    twice = docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    for df in (docs, docs.where("doc_id % 3 = 0").select("doc_id", "text"), twice, docs.unionByName(docs), docs.repartition(3)):
+        held = keyed(df)
+        assert held.select("row").distinct().count() == held.count() == df.count()
+        first = {r["row"]: r["doc_id"] for r in held.select("row", "doc.doc_id").collect()}
+        assert first == {r["row"]: r["doc_id"] for r in held.where("doc.doc_id >= 0").select("row", "doc.doc_id", "doc.text").collect()}
