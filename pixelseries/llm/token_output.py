@@ -20,7 +20,6 @@ from __future__ import annotations
 import os
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
