@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelseries.llm import decontam, hard_negatives, mixing, pii, quality, sharding, simhash, token_counts, token_output, toxicity, url_filter, whitening
+from pixelseries.llm import decontam, hard_negatives, mixing, pii, quality, sharding, simhash, suffixes, token_counts, token_output, toxicity, url_filter, whitening
 from pixelseries.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_whitening": op13_whitening,
 }
 
@@ -99,5 +104,18 @@ p AS (SELECT anchor, anchor_id, row AS positive, id AS positive_id, score AS pos
 n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, id, row) AS rank
     FROM p JOIN s ON p.anchor = s.anchor AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""",
+    "op12_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT row, doc_id, h, len(h) // 2 AS n_bytes FROM d),
+s AS (SELECT row, pos, hash(substr(h, 2 * pos + 1, 800)) AS k FROM (SELECT row, h, unnest(range(n_bytes - 399)) AS pos FROM n WHERE n_bytes >= 400)),
+k AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+c AS (SELECT row, pos, coalesce(pos > lag(pos) OVER (PARTITION BY row ORDER BY pos) + 400, true) AS fresh FROM s SEMI JOIN k USING (k)),
+i AS (SELECT row, pos, sum(fresh::INT) OVER (PARTITION BY row ORDER BY pos) AS nth FROM c),
+r AS (SELECT row, nth, min(pos) AS a, max(pos) + 400 AS z FROM i GROUP BY ALL),
+g AS (SELECT row, a, z, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS before FROM r),
+x AS (SELECT row, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM g JOIN n USING (row) GROUP BY row)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM n LEFT JOIN x USING (row)
 """,
 }
