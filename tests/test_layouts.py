@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
+from pathlib import Path
 
 import pytest
 
@@ -16,7 +16,10 @@ STREAMS = ("stream_daily_radar", "stream_daily_first", "stream_daily_pixels", "s
 def folders(spark, small, tmp_path_factory):
     """The small tables, events as a folder of three part files."""
     at = tmp_path_factory.mktemp("tables") / "sf"
-    shutil.copytree(small, at, ignore=shutil.ignore_patterns("events.parquet"))
+    at.mkdir()  # a folder of our own: the given one may be read-only, and copytree would copy its mode
+    for table in Path(small).iterdir():
+        if table.name != "events.parquet":
+            (at / table.name).symlink_to(table)
     spark.read.parquet(f"{small}/events.parquet").repartition(3).write.parquet(f"{at}/events.parquet")
     return str(at)
 
