@@ -64,6 +64,12 @@ def patch(y: Column, x: Column, size: int, height: int, width: int) -> dict[str,
     return {"patch_x": px, "patch_y": py, "patch": name}
 
 
+def patch_cells(rows: DataFrame, size: int) -> DataFrame:
+    """rows with the name x0_y0 of their patch, and y and x counted from its corner: all patches have the same size, whatever the grid's edges."""
+    y0, x0 = (F.floor(F.col(k) / size) * size for k in ("y", "x"))
+    return rows.withColumns({"name": F.concat_ws("_", x0, y0), "y": F.col("y") % size, "x": F.col("x") % size})
+
+
 def patches_with_data(rows: DataFrame, roi: DataFrame, size: int, height: int, width: int) -> DataFrame:
     """Rows of patches that hold any ROI pixel."""
     named = rows.withColumns(patch(F.col("y"), F.col("x"), size, height, width))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelseries.functions import names
@@ -10,7 +10,7 @@ from pixelseries.functions.mix import mixed_sql
 from pixelseries.operators import composite, grid, layout, ledger, profile, treemask
 from pixelseries.plans import views as V
 from pixelseries.plans.registry import place, query
-from pixelseries.sources import cube, lists, sinks
+from pixelseries.sources import arrays, cube, lists, sinks
 from pixelseries.streaming import arrivals
 
 PATCH = "((x // 5) * 5) || '_' || ((y // 5) * 5) || '_' || least((x // 5) * 5 + 5, 16) || '_' || least((y // 5) * 5 + 5, 16)"
@@ -30,6 +30,46 @@ def patches_written(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path).select("patch", "px", "date", "b0")
 
 
+STEPS = "SELECT *, dense_rank() OVER (ORDER BY date) - 1 AS t FROM cube"
+
+
+def with_steps(rows: DataFrame) -> DataFrame:
+    """t: the number of a row's date among all dates, which are few."""
+    dates = rows.select("date").distinct()
+    return rows.join(F.broadcast(dates.withColumn("t", (F.row_number().over(Window.orderBy("date")) - 1).cast("int"))), "date")
+
+
+def steps_of(rows: DataFrame) -> int:
+    return (rows.agg(F.max("t")).first()[0] or 0) + 1
+
+
+@query(f"SELECT t, y, x, b0, b1, b2 FROM ({STEPS}) WHERE y >= 4 AND y < 9 AND x >= 2 AND x < 11 AND t < 30 AND (b0 > 0 OR b1 > 0 OR b2 > 0)", "cube")
+def array_block(s: SparkSession, d: str) -> DataFrame:
+    """A block of a dense array that was written from the cube: only its byte ranges are read."""
+    path = place(s, "array")
+    rows = with_steps(V.cube(s, d)).select(F.lit("all").alias("name"), F.lit("bands").alias("sensor"), "t", "y", "x", "v")
+    arrays.write_patches(rows, path, {"bands": {"steps": steps_of(rows), "height": 16, "width": 16, "channels": 3, "dtype": "uint16"}})
+    found = arrays.read_arrays(s, path).where("y >= 4 AND y < 9 AND x >= 2 AND x < 11 AND t < 30")
+    return found.select("t", "y", "x", *(F.get("v", F.lit(k)).alias(f"b{k}") for k in range(3))).where("b0 > 0 OR b1 > 0 OR b2 > 0")
+
+
+PATCHES = f"SELECT (x // 5 * 5) || '_' || (y // 5 * 5) AS patch, y % 5 AS y, x % 5 AS x, * EXCLUDE (y, x) FROM ({STEPS}) SEMI JOIN roi USING (px)"
+
+
+@query(f"SELECT patch, 'optical' AS sensor, t, y, x, b0 AS first_value FROM ({PATCHES}) WHERE b0 > 0 UNION ALL SELECT DISTINCT patch, 'roi', 0, y, x, 1 FROM ({PATCHES})", "cube", "roi")
+def dense_patches(s: SparkSession, d: str) -> DataFrame:
+    """Patches of 5 x 5 pixels as arrays of that very size, filled with zeros: a region's optical values and its mask, each in a file of its own."""
+    path = place(s, "dense-patches")
+    rows = with_steps(V.cube(s, d)).join(V.roi(s, d).select("px"), "px", "left_semi")
+    optical = grid.patch_cells(rows, 5).select("name", F.lit("optical").alias("sensor"), "t", "y", "x", "v")
+    mask = optical.select("name", F.lit("roi").alias("sensor"), F.lit(0).alias("t"), "y", "x", F.array(F.lit(1.0)).alias("v")).distinct()
+    size = {"height": 5, "width": 5}
+    arrays.write_patches(optical.unionByName(mask), path, {"optical": {"steps": steps_of(rows), "channels": 3, "dtype": "uint16"} | size, "roi": {"steps": 1, "channels": 1, "dtype": "uint8"} | size})
+    part = F.split("path", "/")
+    found = arrays.read_arrays(s, path).select(F.element_at(part, -2).alias("patch"), F.regexp_replace(F.element_at(part, -1), ".npy", "").alias("sensor"), "t", "y", "x", F.get("v", F.lit(0)).alias("first_value"))
+    return found.where("first_value > 0")
+
+
 @query("SELECT y // 8 AS block, y, x, embedding[1]::DOUBLE AS first_value, embedding[64]::DOUBLE AS last_value FROM (SELECT vec_id // 25 AS y, vec_id % 25 AS x, embedding FROM embeddings)")
 def representation_written(s: SparkSession, d: str) -> DataFrame:
     path = place(s, "representation")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pixelseries.functions import crs, names, optical, vectors
 from pixelseries.functions.mix import PRIME, mixed, mixed_sql
-from pixelseries.operators import composite, grid, layout, ledger, profile, sampling, score, stitch, treemask, vector
+from pixelseries.operators import composite, grid, layout, ledger, profile, resample, sampling, score, stitch, treemask, vector
 from pixelseries.plans import views as V
 from pixelseries.plans.registry import ORACLES, QUERIES, query, r6
 from pixelseries.sources import catalog, lists, sinks
@@ -830,3 +830,51 @@ def stream_sliding_activity(s: SparkSession, d: str) -> DataFrame:
 def stream_once(s: SparkSession, d: str) -> DataFrame:
     out = arrivals.once(_stream(s, d)).select("item_id", "px")
     return arrivals.drained(out, arrivals.work_folder(s))
+
+
+# rasters of 4 x 4 cells of 20 m, every other one in the neighbouring zone, and a target grid of 10 m across the zones' border
+TARGET = resample.Grid(10.0, 722000.0, -10.0, 5324600.0, 400, 420, 32)
+RASTERS = f"""SELECT item_id, 20.0::DOUBLE AS a, floor(e / 20) * 20 AS c, -20.0::DOUBLE AS e, floor(n / 20) * 20 AS f, 4 AS width, 4 AS height, zone, false AS south, e0, n0 FROM (
+    SELECT item_id, zone, e, n, e0, n0 FROM ({to_utm_sql(f"""SELECT item_id, lon, lat, zone1 AS zone, e AS e0, n AS n0 FROM ({to_utm_sql(
+    "SELECT s_suppkey AS item_id, 12 + ((s_suppkey * 7) % 40 - 20) * 0.0005::DOUBLE AS lon, 48 + ((s_suppkey * 11) % 40) * 0.0005::DOUBLE AS lat, 32 AS zone, 32 + s_suppkey % 2 AS zone1 FROM supplier")})""")}))"""
+
+
+def rasters(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    at = V.table(s, d, "supplier").select(k.alias("item_id"), (F.lit(12) + (k * 7 % 40 - 20) * F.lit(0.0005)).alias("lon"), (F.lit(48) + (k * 11 % 40) * F.lit(0.0005)).alias("lat"), (F.lit(32) + k % 2).cast("int").alias("zone"))
+    e, n = crs.to_utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    corner = lambda v: (F.floor(v / 20) * 20).cast("double")
+    return at.select("item_id", F.lit(20.0).alias("a"), corner(e).alias("c"), F.lit(-20.0).alias("e"), corner(n).alias("f"), F.lit(4).alias("width"), F.lit(4).alias("height"), "zone", F.lit(False).alias("south"))
+
+
+CENTRES = f"""SELECT r.*, x, y, {TARGET.c!r}::DOUBLE + (x + 0.5) * 10 AS te, {TARGET.f!r}::DOUBLE - (y + 0.5) * 10 AS tn FROM
+    (SELECT *, unnest(range(CAST(floor((e0 - {TARGET.c!r}) / 10) AS BIGINT) - 20, CAST(floor((e0 - {TARGET.c!r}) / 10) AS BIGINT) + 20)) AS x FROM
+        (SELECT *, unnest(range(CAST(floor(({TARGET.f!r} - n0) / 10) AS BIGINT) - 20, CAST(floor(({TARGET.f!r} - n0) / 10) AS BIGINT) + 20)) AS y FROM ({RASTERS}))) r"""
+IN_ITEMS = to_utm_sql(f"SELECT * EXCLUDE (zone, s, lam, t, xi, eta, e, n, gx, gy, chi), zone1 AS zone FROM ({from_utm_sql(f'SELECT item_id, a, c, f, zone AS zone1, 32 AS zone, false AS south, x, y, te AS e, tn AS n FROM ({CENTRES})')})".replace("EXCLUDE (zone, s, lam, t, xi, eta, e, n, gx, gy, chi)", "EXCLUDE (zone, xi, eta, e, n, gx, gy, chi)"))
+
+
+@query(
+    f"""SELECT item_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, (item_id * 31 + sy * 7 + sx) % 1000 AS v FROM (
+        SELECT item_id, x, y, CAST(floor((e - c) / a) AS BIGINT) AS sx, CAST(floor((f - n) / a) AS BIGINT) AS sy FROM ({IN_ITEMS}))
+    WHERE sx >= 0 AND sx < 4 AND sy >= 0 AND sy < 4 AND x >= 0 AND x < {TARGET.width} AND y >= 0 AND y < {TARGET.height}"""
+)
+def resampled(s: SparkSession, d: str) -> DataFrame:
+    """Rasters of 20 m, of the target's zone and of its neighbour, on a grid of 10 m."""
+    items = rasters(s, d)
+    cells = items.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("j")).select("item_id", F.floor(F.col("j") / 4).cast("int").alias("y"), (F.col("j") % 4).alias("x"))
+    cells = cells.withColumn("v", (F.col("item_id") * 31 + F.col("y") * 7 + F.col("x")) % 1000)
+    return resample.resample(cells, items, TARGET)
+
+
+RASTER_EDGES = f"""SELECT item_id, zone, south, CASE side WHEN 0 THEN c WHEN 1 THEN c + 80 ELSE c + 80 * k / 20 END AS e, CASE side WHEN 2 THEN f WHEN 3 THEN f - 80 ELSE f - 80 * k / 20 END AS n
+    FROM ({RASTERS}), range(21) a(k), range(4) b(side)"""
+
+
+@query(
+    f"""SELECT item_id, 32600 + zone AS epsg, 4 AS width, 4 AS height, c AS minx, f - 80 AS miny, c + 80 AS maxx, f AS maxy, west, south, east, north
+    FROM (SELECT item_id, c, f, zone FROM ({RASTERS})) JOIN (SELECT item_id, round(min(lon), 6) AS west, round(min(lat), 6) AS south, round(max(lon), 6) AS east, round(max(lat), 6) AS north FROM ({from_utm_sql(RASTER_EDGES)}) GROUP BY item_id) USING (item_id)"""
+)
+def roi_templates(s: SparkSession, d: str) -> DataFrame:
+    """Code, size and bounds of rasters, in metres and in degrees."""
+    out = resample.templates(rasters(s, d)).drop(*"acef")
+    return out.withColumns({c: r6(F.col(c)) for c in ("west", "south", "east", "north")})

@@ -1,14 +1,8 @@
-"""Cubes as long tables cube_obs(tile_id, year, sensor, t, doy, y, x, valid, v), and dense arrays on disk as rows."""
+"""Cubes as long tables cube_obs(tile_id, year, sensor, t, doy, y, x, valid, v). Dense arrays on disk: see arrays."""
 
 from __future__ import annotations
 
-import ast
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,33 +30,3 @@ def cube_info(cubes: DataFrame, *keys: str) -> DataFrame:
 
 def select_band(rows: DataFrame, values: str, band: int, name: str = "value") -> DataFrame:
     return rows.withColumn(name, F.get(values, F.lit(band)))
-
-
-def _npy(content: bytes) -> np.ndarray:
-    """A .npy file of versions 1 to 3."""
-    if content[:6] != b"\x93NUMPY":
-        raise ValueError("not a .npy file")
-    wide = content[6] > 1
-    size = struct.unpack_from("<I" if wide else "<H", content, 8)[0]
-    at = 12 if wide else 10
-    head = ast.literal_eval(content[at : at + size].decode("utf-8" if content[6] > 2 else "latin1"))
-    array = np.frombuffer(content, np.dtype(head["descr"]), offset=at + size)
-    return array.reshape(head["shape"], order="F" if head["fortran_order"] else "C")
-
-
-def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """Files of (T, H, W, C) arrays as rows (path, t, y, x, v). A file is read by one task and sent on step by step."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                cube = _npy(content.as_buffer().to_pybytes())
-                cube = cube.reshape(*cube.shape, *(1,) * (4 - cube.ndim))
-                for t, step in enumerate(cube):
-                    h, w, c = step.shape
-                    y, x = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(max(1, w)))
-                    values = pa.array(step.astype(np.float32).reshape(-1))
-                    v = pa.ListArray.from_arrays(pa.array(np.arange(0, h * w * c + 1, c, dtype=np.int32)), values)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * (h * w)), pa.array(np.full(h * w, t, np.int32)), pa.array(y), pa.array(x), v], ["path", "t", "y", "x", "v"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, t int, y int, x int, v array<float>")

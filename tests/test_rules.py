@@ -249,9 +249,6 @@ def test_locality_and_sinks(spark, tmp_path):
     sinks.write_list(rows, str(tmp_path / "l"))
     assert [r["tile_id"] for r in lists.text_list(spark, str(tmp_path / "l")).collect()] == ["a", "b"]
     assert lists.nth_line(lists.text_list(spark, str(tmp_path / "l")), 2).first()["tile_id"] == "b"
-    np.save(tmp_path / "bands.npy", np.arange(2 * 3 * 4 * 5, dtype=np.uint16).reshape(2, 3, 4, 5))
-    got = cube.read_arrays(spark, str(tmp_path / "bands.npy"))
-    assert got.count() == 24 and got.where("t = 1 and y = 2 and x = 3").first()["v"] == [115.0, 116.0, 117.0, 118.0, 119.0]
 
 
 def test_encoder_by_its_formulas():
