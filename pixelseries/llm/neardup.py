@@ -8,10 +8,12 @@ n - ceil(s n) + 1 of either. The order puts shingles that are common in a sample
 order is complete. Groups are the connected components of the confirmed links.
 
 Sets are of 64-bit hashes. Equal sets are one node, so copies never meet in pairs. Of the rows that share a shingle, each is
-first compared with a few pivots in turn; all pairs that are not connected by then are compared with each other. Candidates
-are sifted by sketches (the smallest SKETCH hashes of each set; a pair of similarity 0.8 fails there less than once in 10 ** 14),
-so that whole sets are only made of the texts that remain. Keys that many rows share are counted and joined, never
-gathered.
+first compared with a few pivots in turn; the pairs that are not connected by then are compared with each other. Candidates
+are sifted by parity maps: every shingle flips one bit of its set's map, so two maps differ in no more bits than the sets
+have unshared shingles, and sets of the similarity have at most a ninth of both sizes together. That loses no pair, whatever the sets. The closing
+join tests maps folded to 512 bits before it makes a row, the sift whole ones, and whole sets are only made of the texts that remain.
+Texts that share rare shingles, are not connected and lie just below the similarity still cost a test of a few longs for each pair.
+Keys that many rows share are counted and joined, never gathered.
 
 Nodes are found again by a row key, so null and repeated doc_ids make no difference. Of a group the row with the least doc_id
 stays, rows without one last, ties by the text's hash. Null, empty and blank texts are copies of each other; a text of fewer
@@ -21,7 +23,6 @@ are kept, whatever their names.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +40,9 @@ RADIUS = 2
 SAMPLE_DOCS = 20_000  # texts whose shingles are counted for the order
 COMMON = 200_000  # shingles with a place of their own in the order, at most
 FOLD = np.uint64(0x9E3779B97F4A7C15)  # odd, so that folding loses nothing
-SKETCH = 64
-SIFT = 0.4  # least share of a sketch, of the 0.8 expected
-PAIRS_A_ROW = 4  # pivots are taken in turn until so few pairs are left to compare,
-GAIN = 0.8  # or a turn leaves more than this share of them,
-MOST_TURNS = 6  # or there were so many turns; all that are left are then compared
+LONGS = 8  # of a folded parity map
+MOST_BITS = 1 << 15  # of a whole one
+TURNS = 3  # of pivots, unless all are connected before; the pairs that are left are then tested
 
 
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -97,31 +96,45 @@ def common_shingles(rows: DataFrame, size: int, most: int = COMMON) -> tuple[np.
 
 
 def _marks(rows: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """(row, doc_id, tie, digest of the set, its fingerprint, its n, its prefix, its sketch)."""
+    """(row, doc_id, tie, digest of the set, its fingerprint, its n, its prefix, its parity map, that map folded)."""
     common, places = common_shingles(rows, size)
-    names = ["row", "doc_id", "tie", "digest", "fp", "n", "prefix", "sketch"]
+    names = ["row", "doc_id", "tie", "digest", "fp", "n", "prefix", "map", "short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), size) for t in b.column(3)]
+            maps = [parity(s) for s in sets]
             made = [
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64), pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([prefix(s, common, places, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
-                pa.array([(s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
+                pa.array([m.tobytes() for m in maps], pa.binary()),
+                pa.array([folded(m, 8 * LONGS).view("<i8") for m in maps], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], names)
 
     given = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return given.mapInArrow(run, "row long, doc_id long, tie long, digest binary, fp long, n long, prefix array<long>, sketch binary")
+    return given.mapInArrow(run, "row long, doc_id long, tie long, digest binary, fp long, n long, prefix array<long>, map binary, short array<long>")
 
 
-def sketches_agree(a: bytes, b: bytes) -> bool:
-    """Whether the smallest hashes of both sets together are in both as often as SIFT asks."""
-    x, y = set(np.frombuffer(a, "<u4").tolist()), set(np.frombuffer(b, "<u4").tolist())
-    least = sorted(x | y)[:SKETCH]
-    return sum(h in x and h in y for h in least) >= SIFT * len(least)
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the shingles, set if an odd number of them has it: packed, the lowest first. Twice as many bits as shingles
+    at least, unless that is more than MOST_BITS; a power of two."""
+    bits = min(MOST_BITS, max(64 * LONGS, 1 << (2 * len(s)).bit_length()))
+    return np.packbits(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little")
+
+
+def folded(p: np.ndarray, size: int) -> np.ndarray:
+    """The parity map of the same set with fewer bits, size bytes."""
+    return np.bitwise_xor.reduce(p.reshape(-1, size), axis=0)
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """The unshared shingles that the sets of two parity maps have at least."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def _alike(n: Column, m: Column, similarity: tuple[int, int]) -> Column:
@@ -132,18 +145,19 @@ def _alike(n: Column, m: Column, similarity: tuple[int, int]) -> Column:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of distinct nodes whose sets reach the similarity."""
+    num, den = similarity
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [sketches_agree(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3))]
+            most = (b.column(4).to_numpy() * (den - num)) // (den + num)  # unshared shingles that both may have
+            keep = [least_apart(x.as_py(), y.as_py()) <= m for x, y, m in zip(b.column(2), b.column(3), most)]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    num, den = similarity
     with scratch(rows.sparkSession) as tables:
-        left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-        right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+        left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("map").alias("x"))
+        right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("map").alias("y"))
         alike = pairs.join(left, "a").join(right, "b").where(_alike(F.col("na"), F.col("nb"), similarity))
-        near = stored(alike.select("a", "b", "x", "y").mapInArrow(sift, "a long, b long"), "near")
+        near = stored(alike.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("both")).mapInArrow(sift, "a long, b long"), "near")
         named = stored(near.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "named")
         sets = stored(_sets(rows.join(small(named), "row", "left_semi"), size), "sets")
         both = near.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
@@ -177,24 +191,20 @@ def _gone(rows: DataFrame, size: int, similarity: tuple[int, int], radius: int)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie", "row"))
     own = stored(marks.groupBy("digest").agg(best.alias("best")).select("digest", "best", F.col("best.row").alias("node")), "distinct")
     copies = stored(marks.select("row", "digest").join(own.select("digest", "node"), "digest").where("row <> node").select("row"), "copies")
-    nodes = marks.join(small(copies), "row", "left_anti").select(F.col("row").alias("node"), "fp", "n", "prefix", "sketch")
+    nodes = marks.join(small(copies), "row", "left_anti").select(F.col("row").alias("node"), "fp", "n", "prefix", "map", "short")
 
     found = _confirmed(_fingerprint_pairs(nodes, radius), nodes, rows, size, similarity)
     roots = components(found)
     posts = nodes.select(F.explode("prefix").alias("h"), "node", "n")
     shared = posts.groupBy("h").count().where("count > 1").select("h")
     runs = stored(posts.join(shared, "h", "left_semi"), "runs")
-    before = math.inf
-    for turn in range(MOST_TURNS + 1):
+    for turn in range(TURNS + 1):
         placed = stored(runs.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
         # runs whose nodes are all connected need no more pairs
         open_runs = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
         runs = stored(placed.join(open_runs, "h", "left_semi"), "runs")
-        of_root = runs.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        total, left = of_root.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("q"))).first()
-        if turn == MOST_TURNS or (left or 0) <= PAIRS_A_ROW * (total or 0) or left > GAIN * before:
+        if turn == TURNS or runs.isEmpty():
             break
-        before = left
         pivots = runs.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "n", "root")).alias("p"))
         stars = runs.join(pivots, "h").where((F.col("root") != F.col("p.root")) & _alike(F.col("n"), F.col("p.n"), similarity))
         stars = stars.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
@@ -202,8 +212,13 @@ def _gone(rows: DataFrame, size: int, similarity: tuple[int, int], radius: int)
         roots = components(found)
         runs = runs.drop("root")
 
-    y = runs.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("m"), similarity)
+    num, den = similarity
+    short = [F.get("short", F.lit(k)).alias(f"w{k}") for k in range(LONGS)]
+    runs = stored(runs.join(nodes.select("node", *short), "node"), "open-runs")
+    y = runs.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(f"w{k}").alias(f"v{k}") for k in range(LONGS)))
+    flips = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(1, LONGS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("v0"))))
+    near = flips * (den + num) <= (F.col("n") + F.col("m")) * (den - num)
+    apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("m"), similarity) & near
     rest = runs.join(y, "h").where(apart).select(F.col("node").alias("a"), "b").distinct()
     more = _confirmed(rest, nodes, rows, size, similarity)
     if not more.isEmpty():

@@ -134,3 +134,17 @@ def test_deviations_are_exact_or_null() -> None:
     x = np.array([[1 << 40, 5], [3, 7]])
     assert whitening.deviations(x, 10**6, [4, 5]) == [None, (3 * 10**6 - 4) ** 2 + (7 * 10**6 - 5) ** 2]
     assert list(whitening.deviations(np.array([[3, 7]]), 2, [4, 5])) == [4 + 81]
+
+
+def test_parity_maps_never_overstate() -> None:
+    """What two maps tell apart is at most what the sets do not share, whole or folded, and close to it for small differences."""
+    from pixelseries.llm import neardup
+
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(0, 3000)), np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a) + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 500)), np.uint64)]))
+        apart, (x, y) = len(np.setxor1d(a, b)), (neardup.parity(a), neardup.parity(b))
+        found = neardup.least_apart(x.tobytes(), y.tobytes())
+        short = int(np.bitwise_count(neardup.folded(x, 64) ^ neardup.folded(y, 64)).sum())
+        assert short <= found <= apart and (found > 0.6 * apart or apart > 0.4 * (len(a) + len(b)))
