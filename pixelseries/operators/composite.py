@@ -75,6 +75,12 @@ def radar_mosaic(sar: DataFrame) -> DataFrame:
     return coded.groupBy("date", "orbit", "pol", *PIXEL).agg(F.min_by("code", "item_id").alias("code"))
 
 
+def with_source_count(mosaic: DataFrame, sar: DataFrame) -> DataFrame:
+    """mosaic with n_sources: the items that its day, orbit and polarisation has, whether or not they are seen in it."""
+    counts = sar.groupBy("date", "orbit", "pol").agg(F.countDistinct("item_id").alias("n_sources"))
+    return mosaic.join(counts, ["date", "orbit", "pol"])
+
+
 def radar_groups(sar: DataFrame, roi_pixels: int) -> DataFrame:
     """(date, orbit, pol, n, pct): all groups that have items, n their valid pixels over all items, pct the best item's."""
     keys = ["date", "orbit", "pol"]

@@ -10,17 +10,23 @@ from pixelseries.functions.mix import mixed_sql
 from pixelseries.operators import composite, grid, layout, ledger, profile, treemask
 from pixelseries.plans import views as V
 from pixelseries.plans.registry import place, query
-from pixelseries.sources import arrays, cube, lists, sinks
+from pixelseries.sources import arrays, commits, cube, lists, sinks
 from pixelseries.streaming import arrivals
 
 PATCH = "((x // 5) * 5) || '_' || ((y // 5) * 5) || '_' || least((x // 5) * 5 + 5, 16) || '_' || least((y // 5) * 5 + 5, 16)"
 
 
-@query("SELECT date, orbit, pol, y, x, arg_min(code, item_id) AS code, 2 AS n_bands FROM coded WHERE code <> 0 GROUP BY ALL", "coded", dates=("date",))
+@query(
+    """SELECT date, orbit, pol, y, x, arg_min(code, item_id) AS code, 2 AS n_bands, any_value(n_sources) AS n_sources
+    FROM (SELECT * FROM coded WHERE code <> 0) JOIN (SELECT date, orbit, pol, count(DISTINCT item_id) AS n_sources FROM sar GROUP BY ALL) USING (date, orbit, pol) GROUP BY date, orbit, pol, y, x""",
+    "coded", dates=("date",))
 def mosaic_written(s: SparkSession, d: str) -> DataFrame:
-    path = place(s, "mosaic")
-    sinks.write_mosaic(composite.radar_mosaic(V.sar(s, d)), path, ("orbit", "pol"), {"n_bands": F.lit(2).cast("long")})
-    return s.read.parquet(path).select("date", "orbit", "pol", "y", "x", "code", "n_bands")
+    """A mosaic that is written twice, as a rerun would: its rows are there once."""
+    path, sar = place(s, "mosaic"), V.sar(s, d)
+    mosaic = composite.with_source_count(composite.radar_mosaic(sar), sar)
+    for _ in range(2):
+        sinks.write_mosaic(mosaic, path, ("orbit", "pol"), {"n_bands": F.lit(2).cast("long")})
+    return sinks.read_mosaic(s, path, ("orbit", "pol")).select("date", "orbit", "pol", "y", "x", "code", "n_bands", "n_sources")
 
 
 @query(f"SELECT {PATCH} AS patch, px, date, b0 FROM cube", "cube", dates=("date",))
@@ -95,15 +101,12 @@ def splits_written(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT tile_id, CASE WHEN nr % 3 = 0 THEN 'before' ELSE 'now' END AS run FROM tiles WHERE nr % 3 = 0 OR nr % 2 = 0", "tiles")
 def ledger_resumed(s: SparkSession, d: str) -> DataFrame:
-    """A run that writes only what the ledger of the run before does not hold."""
-    path, done = place(s, "results"), place(s, "ledger")
-    t = V.tiles(s, d).select("tile_id", "nr")
-    first = t.where("nr % 3 = 0")
-    first.withColumn("run", F.lit("before")).write.partitionBy("run").parquet(path)
-    sinks.append_ledger(first, done)
-    sinks.write_once(t.where("nr % 2 = 0").withColumn("run", F.lit("now")), s.read.parquet(done), ["tile_id"], f"{path}-2")
-    rest = s.read.parquet(f"{path}-2").select("tile_id", "run")
-    return s.read.parquet(path).select("tile_id", "run").unionByName(rest)
+    """A second run into the same table writes only the tiles that are not there, whole and with rows that pass the audit."""
+    path, t = place(s, "results"), V.tiles(s, d).select("tile_id", "nr")
+    runs = {"before": t.where("nr % 3 = 0"), "now": t.where("nr % 3 = 0 OR nr % 2 = 0")}
+    for run, todo in runs.items():
+        commits.write_missing(todo.withColumn("run", F.lit(run)), path, ["tile_id"], lambda rows: rows.where("nr IS NOT NULL"))
+    return commits.read(s, path, ["tile_id"]).select("tile_id", "run")
 
 
 @query("SELECT tile_id FROM tiles ORDER BY tile_id LIMIT 1 OFFSET 4", "tiles")

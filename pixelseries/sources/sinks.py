@@ -1,22 +1,28 @@
-"""Sinks: partitioned tables that a rerun extends instead of repeating, ledgers, lists, band exports."""
+"""Sinks: partitioned tables, committed mosaics, ledgers, lists, band exports."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelseries.operators.grid import patch
 from pixelseries.operators.layout import morton
+from pixelseries.sources import commits
 
 
-def write_mosaic(mosaic: DataFrame, path: str, keys: Sequence[str] = ("tile_id",), tags: dict[str, Column] | None = None) -> None:
+def write_mosaic(mosaic: DataFrame, path: str, keys: Sequence[str] = ("tile_id",), tags: dict[str, Column] | None = None) -> DataFrame:
     """Day mosaics by keys (tile, and for radar orbit and polarisation), year and month, with tag columns (band, orbit, number of
-    sources and the like). Ranges of the Morton key within a month go to different writers, so no month is one task's."""
+    sources and the like), committed: a rerun replaces the months that it has, and nothing is seen of a write that fails. Ranges of the Morton key
+    within a month go to different writers, so no month is one task's. Returns what was published; read_mosaic reads it."""
     rows = mosaic.withColumns({"year": F.year("date"), "month": F.month("date"), "__z": morton(F.col("y"), F.col("x"))} | (tags or {}))
     dealt = rows.repartitionByRange(*keys, "year", "month", "__z").sortWithinPartitions(*keys, "year", "month", "date", "y", "x").drop("__z")
-    dealt.write.mode("append").partitionBy(*keys, "year", "month").parquet(path)
+    return commits.write(dealt, path, [*keys, "year", "month"])
+
+
+def read_mosaic(spark: SparkSession, path: str, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
+    return commits.read(spark, path, [*keys, "year", "month"])
 
 
 def write_patches(rows: DataFrame, path: str, size: int, height: int, width: int) -> None:

@@ -244,7 +244,7 @@ def test_locality_and_sinks(spark, tmp_path):
     assert values(spark, layout.morton(F.col("y"), F.col("x")), (0, 1), (1, 0), (3, 3), (2, 1), schema="y int, x int") == [1, 2, 15, 9]
     rows = spark.createDataFrame([("a", date(2023, 1, 5), 0, 0, 7), ("b", date(2023, 2, 5), 0, 0, 8)], "tile_id string, date date, y int, x int, v int")
     sinks.write_mosaic(rows, str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m")).where("tile_id = 'a' and month = 1").count() == 1
+    assert sinks.read_mosaic(spark, str(tmp_path / "m")).where("tile_id = 'a' and month = 1").count() == 1
     assert sinks.not_written(rows, rows.where("tile_id = 'a'"), ["tile_id"]).count() == 1
     sinks.write_list(rows, str(tmp_path / "l"))
     assert [r["tile_id"] for r in lists.text_list(spark, str(tmp_path / "l")).collect()] == ["a", "b"]
