@@ -31,9 +31,9 @@ def sample_steps(rows: DataFrame, pixel: Sequence[str], ordinal: str, valid: Col
 
 
 def orbit_union(ascending: DataFrame, descending: DataFrame) -> DataFrame:
-    """Both orbits' steps; ordinal puts all ascending ones first, not the days in order."""
+    """Both orbits' steps; ordinal, a struct, puts all ascending ones first, not the days in order."""
     both = ascending.withColumn("orbit_rank", F.lit(0)).unionByName(descending.withColumn("orbit_rank", F.lit(1)))
-    return both.withColumn("ordinal", F.col("orbit_rank") * F.lit(1_000_000).cast("long") + F.col("t"))
+    return both.withColumn("ordinal", F.struct("orbit_rank", "t"))
 
 
 def sample_matrix(sampled: DataFrame, pixel: Sequence[str], mean: Sequence[float], std: Sequence[float], name: str) -> DataFrame:

@@ -140,9 +140,9 @@ def dense_layer(s: SparkSession, d: str) -> DataFrame:
     return V.cube(s, d).select("px", "date", F.round(F.get(h, F.lit(0)), 6).alias("h"), same.alias("same"))
 
 
-@query("SELECT DISTINCT y, x FROM (SELECT feature_id, y, x, sum(CASE WHEN (y1 > y + 0.5) <> (y2 > y + 0.5) AND x1 + (y + 0.5 - y1) * (x2 - x1) / (y2 - y1) > x + 0.5 THEN 1 ELSE 0 END) AS n FROM edges, range(48) a(y), range(48) b(x) GROUP BY ALL) WHERE n % 2 = 1", "edges")
+@query("SELECT DISTINCT y, x FROM (SELECT feature_id, y, x, sum(CASE WHEN (y1 > y + 0.5) <> (y2 > y + 0.5) AND x1 + (y + 0.5 - y1) * (x2 - x1) / (y2 - y1) > x + 0.5 THEN 1 ELSE 0 END) AS n FROM edges, range(52) a(y), range(52) b(x) GROUP BY ALL) WHERE n % 2 = 1", "edges")
 def union_mask(s: SparkSession, d: str) -> DataFrame:
-    pixels = s.range(48).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(47))).alias("x"))
+    pixels = s.range(52).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(51))).alias("x"))
     return vector.union_mask(vector.pixels_inside(V.rings(s, d), pixels))
 
 

@@ -10,7 +10,7 @@ from pixelseries.functions.mix import mixed_sql
 from pixelseries.operators import composite, grid, layout, ledger, profile, treemask
 from pixelseries.plans import views as V
 from pixelseries.plans.registry import place, query
-from pixelseries.sources import arrays, commits, cube, lists, sinks
+from pixelseries.sources import arrays, commits, lists, sinks
 from pixelseries.streaming import arrivals
 
 PATCH = "((x // 5) * 5) || '_' || ((y // 5) * 5) || '_' || least((x // 5) * 5 + 5, 16) || '_' || least((y // 5) * 5 + 5, 16)"
@@ -132,10 +132,10 @@ def json_splits(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT px, date, b0 FROM cube WHERE y >= 4 AND y < 9 AND x >= 2 AND x < 11", "cube", dates=("date",))
 def locality_block(s: SparkSession, d: str) -> DataFrame:
-    """A block of a table in Morton order: the row groups that hold none of it are left out by their bounds."""
+    """A block of a table in Morton order, by ranges of keys: the row groups that hold none of it are left out by their bounds."""
     path = place(s, "locality")
     layout.by_locality(V.cube(s, d), 8).write.option("parquet.block.size", str(1 << 16)).parquet(path)
-    return cube.block(s.read.parquet(path), 4, 9, 2, 11).select("px", "date", "b0")
+    return layout.block_by_ranges(s.read.parquet(path), 4, 9, 2, 11).select("px", "date", "b0")
 
 
 @query(f"SELECT shard, count(*) AS n, count(DISTINCT px) AS pixels FROM (SELECT px, {mixed_sql('px')} % 8 AS shard FROM cube) GROUP BY shard", "cube")
@@ -145,6 +145,20 @@ def shards_written(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("px").alias("pixels"))
 
 
+@query(
+    """SELECT shard, CAST(least(30, n - shard * 30) AS BIGINT) AS pixels, least(30, n - shard * 30) AS slots FROM (SELECT n, unnest(range((n + 29) // 30)) AS shard
+    FROM (SELECT count(*) AS n FROM (SELECT px FROM cube UNION SELECT px FROM radar_cube)))""",
+    "cube", "radar_cube")
+def training_shards(s: SparkSession, d: str) -> DataFrame:
+    """Pixels with all sensors in one row, shuffled into shards of exactly 30."""
+    path = place(s, "training")
+    rows = layout.training_rows(V.cube(s, d).select("px", "date", "doy", "v"), V.radar_cube(s, d).select("px", "date", "doy", "v", "orbit"), "px")
+    rows = layout.numbered(rows, [], [F.pmod("px", F.lit(16))], [F.col("px")], "number")
+    shards = layout.shuffled_shards(rows, "number", rows.count(), 30).drop("number")
+    shards.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return s.read.parquet(path).groupBy("shard").agg(F.count_distinct("px").alias("pixels"), (F.max("slot") + 1).alias("slots"))
+
+
 @query("SELECT y, x, z[1] AS band_1, z[2] AS band_2, z[3] AS band_3 FROM rep", "rep")
 def bands_wide(s: SparkSession, d: str) -> DataFrame:
     return sinks.bands_wide(V.rep(s, d), 3)

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from pixelseries.functions import crs, names, optical, vectors
 from pixelseries.functions.mix import PRIME, mixed, mixed_sql
+from pixelseries.functions.radar import db_code
 from pixelseries.operators import composite, grid, layout, ledger, profile, resample, sampling, score, stitch, treemask, vector
 from pixelseries.plans import views as V
 from pixelseries.plans.registry import ORACLES, QUERIES, query, r6
 from pixelseries.sources import catalog, lists, sinks
-from pixelseries.streaming import arrivals
+from pixelseries.streaming import arrivals, timers
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -82,8 +83,6 @@ def legacy_products(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_id, code FROM coded", "coded")
 def radar_db_code(s: SparkSession, d: str) -> DataFrame:
-    from pixelseries.functions.radar import db_code
-
     return V.sar(s, d).select("item_id", db_code(F.col("amp")).alias("code"))
 
 
@@ -304,8 +303,6 @@ def tree_pixel_series(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT y, x, arg_max(code, item_id) AS value FROM coded GROUP BY y, x", "coded")
 def layer_mosaic(s: SparkSession, d: str) -> DataFrame:
-    from pixelseries.functions.radar import db_code
-
     return treemask.layer_mosaic(V.sar(s, d).select(F.col("item_id").alias("layer_seq"), "y", "x", db_code(F.col("amp")).alias("value")))
 
 
@@ -441,7 +438,7 @@ def sampled_sql(rows: str, k: int, h: str, ordinal: str) -> str:
 
 @query("SELECT px, date, item_seq, rank FROM (" + sampled_sql("SELECT *, scl NOT IN (0, 1, 2, 3, 8, 9) AS ok FROM obs", 40, mixed_sql("px", DAY, "item_seq"), "date, item_seq") + ")", "obs", dates=("date",))
 def sample_k(s: SparkSession, d: str) -> DataFrame:
-    rows = V.obs(s, d).withColumn("ordinal", F.unix_date("date").cast("long") * 100 + F.col("item_seq"))
+    rows = V.obs(s, d).withColumn("ordinal", F.struct("date", "item_seq"))
     h = mixed(F.col("px"), F.unix_date("date"), F.col("item_seq"))
     return sampling.sample_steps(rows, ["px"], "ordinal", optical.valid_class(F.col("scl")), h).select("px", "date", "item_seq", "rank")
 
@@ -832,6 +829,40 @@ def stream_once(s: SparkSession, d: str) -> DataFrame:
     return arrivals.drained(out, arrivals.work_folder(s))
 
 
+def _radar_values(s: SparkSession, d: str) -> DataFrame:
+    return V.sar_rows(arrivals.table_stream(s, d, "events")).select("ts", "y", "x", "orbit", "pol", "item_id", db_code(F.col("amp")).alias("value")).where("value <> 0")
+
+
+@query("SELECT date AS day, orbit, pol, y, x, min(item_id) AS item_id, arg_min(code, item_id) AS code FROM coded WHERE code <> 0 GROUP BY ALL", "coded", dates=("day",))
+def stream_day_composites(s: SparkSession, d: str) -> DataFrame:
+    """Composites that come out once, when their day's timer fires; late rows would be of another kind."""
+    groups = ("orbit", "pol")
+    out, _ = timers.run_to_the_end(s, _radar_values(s, d), lambda rows: timers.day_composites(rows, groups), arrivals.work_folder(s))
+    return out.where("kind = 'day'").select(F.date_from_unix_date(F.col("day").cast("int")).alias("day"), *groups, "y", "x", "item_id", F.col("value").alias("code"))
+
+
+@query("SELECT date AS day, orbit, count(DISTINCT px) AS n, 100.0::DOUBLE * count(DISTINCT px) / 64 AS pct FROM coded WHERE code <> 0 GROUP BY ALL", "coded", dates=("day",))
+def stream_day_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Pixels seen so far by day and orbit, in update mode, and their percentage."""
+    out, _ = timers.run_to_the_end(s, _radar_values(s, d), lambda rows: timers.day_coverage(rows, ("orbit",)), arrivals.work_folder(s), "update")
+    return timers.coverage_percent(out, 64, "orbit").withColumn("day", F.date_from_unix_date(F.col("day").cast("int")))
+
+
+@query("SELECT px AS pixel, date AS day, date - before AS gap FROM (SELECT px, date, lag(date) OVER (PARTITION BY px ORDER BY date) AS before FROM (SELECT DISTINCT px, date FROM sar)) WHERE before IS NOT NULL", "sar", dates=("day",))
+def stream_gaps(s: SparkSession, d: str) -> DataFrame:
+    """Days between a pixel's observations, of a stream that brings them in any order."""
+    days = V.sar_rows(arrivals.table_stream(s, d, "events")).select(F.col("px").alias("pixel"), F.unix_date(F.to_date("ts")).alias("day"))
+    out = arrivals.drained(timers.pixel_gaps(days), arrivals.work_folder(timers.ready(s)))
+    return timers.net_gaps(out).withColumn("day", F.date_from_unix_date(F.col("day").cast("int")))
+
+
+@query("SELECT px, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT px, ts, sum(fresh) OVER (PARTITION BY px ORDER BY ts) AS nth FROM (SELECT px, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY px ORDER BY ts) + INTERVAL 3 DAY THEN 0 ELSE 1 END AS fresh FROM sar)) GROUP BY px, nth", "sar")
+def stream_spells(s: SparkSession, d: str) -> DataFrame:
+    """Runs of a pixel's observations without a gap of three days."""
+    spells = arrivals.spells(arrivals.timed(V.sar_rows(arrivals.table_stream(s, d, "events"))), "3 days", "px")
+    return _settled(spells).select("px", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
 # rasters of 4 x 4 cells of 20 m, every other one in the neighbouring zone, and a target grid of 10 m across the zones' border
 TARGET = resample.Grid(10.0, 722000.0, -10.0, 5324600.0, 400, 420, 32)
 RASTERS = f"""SELECT item_id, 20.0::DOUBLE AS a, floor(e / 20) * 20 AS c, -20.0::DOUBLE AS e, floor(n / 20) * 20 AS f, 4 AS width, 4 AS height, zone, false AS south, e0, n0 FROM (

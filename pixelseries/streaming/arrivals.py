@@ -5,12 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pixelseries.functions.radar import db_code
@@ -60,35 +58,6 @@ def spells(stream: DataFrame, gap: str, *keys: str) -> DataFrame:
     return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-class GapTracker(StatefulProcessor):
-    """Emits each pixel's days between observations; the state is a pixel's last day."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "day long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: object) -> Iterator[pd.DataFrame]:
-        days = sorted({int(d) for part in rows for d in part["day"]})
-        before = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for d in days:
-            if before is not None and d > before:
-                out.append((key[0], d, d - before))
-            before = d if before is None else max(before, d)
-        if before is not None:
-            self.last.update((before,))
-        yield pd.DataFrame(out, columns=["pixel", "day", "gap"]).astype("int64")
-
-    def close(self) -> None:
-        pass
-
-
-def pixel_gaps(stream: DataFrame) -> DataFrame:
-    """(pixel, day, gap) of a stream with pixel and day (days since the epoch). Needs the RocksDB state store."""
-    return stream.select(F.col("pixel").cast("long").alias("pixel"), F.col("day").cast("long").alias("day")).groupBy("pixel").transformWithStateInPandas(
-        GapTracker(), outputStructType="pixel long, day long, gap long", outputMode="append", timeMode="none"
-    )
-
-
 def ledger_upsert(stream: DataFrame, path: str, checkpoint: str, key: str = "tile_id") -> StreamingQuery:
     """Appends the keys of each batch that the ledger does not hold yet."""
 
