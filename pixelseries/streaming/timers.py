@@ -164,7 +164,8 @@ class GapTracker(StatefulProcessor):
 def pixel_gaps(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(pixel, day, gap, change) of a stream with pixel and day (days since the epoch), in any order of arrival: the days since a pixel's
     observation before, which come (1) and are taken back (-1) when a late day splits them. With ttl_ms the state of pixels without
-    news for so long goes. For append mode; net_gaps adds the changes up."""
+    news for so long goes; such a query looks at its state in every batch, so it needs a processing-time trigger and does not end by
+    itself. For append mode; net_gaps adds the changes up."""
     rows = stream.select(F.col("pixel").cast("long").alias("pixel"), F.col("day").cast("long").alias("day"))
     mode = "none" if ttl_ms is None else "processingtime"
     return rows.groupBy("pixel").transformWithStateInPandas(GapTracker(ttl_ms), outputStructType="pixel long, day long, gap long, change int", outputMode="append", timeMode=mode)

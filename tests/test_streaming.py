@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 from datetime import date, datetime, timedelta, timezone
 from pathlib import Path
 
@@ -125,5 +126,11 @@ def test_gaps_in_any_order_of_arrival(spark, tmp_path, seed):
 def test_gaps_with_a_time_to_live(spark, tmp_path):
     files(spark, str(tmp_path / "src"), [[(1, 10), (1, 15), (2, 3)], [(1, 12), (2, 4)]], "pixel long, day long")
     stream = A.scene_stream(T.ready(spark), str(tmp_path / "src"), spark.read.parquet(str(tmp_path / "src")).schema)
-    out = A.drained(T.pixel_gaps(stream, ttl_ms=3_600_000), str(tmp_path))
-    assert sorted(map(tuple, out.collect())) == [(1, 12, 2, 1), (1, 15, 3, 1), (1, 15, 5, -1), (1, 15, 5, 1), (2, 4, 1, 1)]
+    writer = T.pixel_gaps(stream, ttl_ms=3_600_000).writeStream.format("memory").queryName("gaps_with_ttl").outputMode("append")
+    query = writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="1 second").start()
+    got, until = [], time.time() + 90
+    while len(got) < 5 and time.time() < until and query.isActive:
+        time.sleep(1)
+        got = sorted(map(tuple, spark.table("gaps_with_ttl").collect()))
+    query.stop()
+    assert got == [(1, 12, 2, 1), (1, 15, 3, 1), (1, 15, 5, -1), (1, 15, 5, 1), (2, 4, 1, 1)]
