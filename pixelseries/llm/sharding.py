@@ -68,18 +68,25 @@ def place(docs: DataFrame, shards: int = SHARDS, cell_rows: int = CELL_ROWS, car
     rows = stored(rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)}), "placed")
     cells = max(1, -(-rows.count() // (shards * cell_rows)))
     # a shard can be hot (null ids are one key); its cells are by content, and rows of equal content are spread over DEAL cells more
-    deal = F.pmod(F.monotonically_increasing_id(), F.lit(DEAL)) if cells > 1 else F.lit(0)
+    each = F.col("row") if "row" in carry else F.monotonically_increasing_id()
+    deal = F.pmod(each, F.lit(DEAL)) if cells > 1 else F.lit(0)
     rows = numbered(rows.withColumn("deal", deal), "shard", [F.pmod("spread", F.lit(cells)), F.col("deal")], [F.col(c) for c in ("doc_id", "spread", "text_crc32", "size")], "slot")
     return rows.select("doc_id", *carry, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def sharded_documents(docs: DataFrame, **options: int) -> DataFrame:
     """The documents with all their columns, and where they go: shard, slot, grown_shard, size, text_crc32, law. A column of
-    the documents that has such a name is left out."""
+    the documents that has such a name stays as given_<name>, with more underscores where that is taken too."""
     held = keyed(docs)
     with scratch(docs.sparkSession) as tables:
         placed = stored(place(held.select("row", "doc.doc_id", "doc.text"), carry=("row",), **options).drop("doc_id"), "places")
         tables.keep(placed)
     added = [c for c in placed.columns if c != "row"]
-    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in added]
+    own, taken = [], {*added, *docs.columns}
+    for c in docs.columns:
+        name = c if c not in added else f"given_{c}"
+        while c in added and name in taken:
+            name += "_"
+        taken.add(name)
+        own.append(F.col("doc").getField(c).alias(name))
     return held.join(small(placed), "row").select(*own, *added)

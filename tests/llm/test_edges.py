@@ -151,5 +151,7 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty, odd_labels, bench, tm
     assert set(odd.columns) <= set(out.columns) and len(out.columns) == len(set(out.columns))
     if k < 4:
         assert out.columns == odd.columns
+    else:  # what the documents had under the names of results is still there
+        assert {(r["given_size"], r["given_shard"]) for r in out.collect()} == {(9, 3)}
     rows = {tuple(r[c] for c in ("doc_id", "text", "source", "__row", "h")) for r in odd.collect()}
     assert {tuple(r[c] for c in ("doc_id", "text", "source", "__row", "h")) for r in out.collect()} <= rows
