@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +38,42 @@ def union_mask(inside: DataFrame) -> DataFrame:
     return inside.select("y", "x").distinct()
 
 
+LEVELS = (-20, 40)
+BOX = ("minx", "miny", "maxx", "maxy")
+
+
+def box_level(bin_size: float) -> Column:
+    """The level of a box whose cells, bin_size * 2 ** level wide, are no smaller than the box: it lies in four of them at most."""
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    level = F.when(extent > 0, F.ceil(F.log2(extent / bin_size))).otherwise(LEVELS[0])
+    return F.least(F.greatest(level, F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int")
+
+
+def box_cells(rows: DataFrame, bin_size: float, others: Sequence[int]) -> DataFrame:
+    """rows with own (their level) and at, bx, by: the cells of each box at its own level and at those higher ones that others have."""
+    at = F.array_distinct(F.concat(F.array("own"), F.filter(F.lit(list(others)).cast("array<int>"), lambda k: k > F.col("own"))))
+    rows = rows.withColumn("own", box_level(bin_size)).withColumn("at", F.explode(at))
+    size = F.lit(bin_size) * F.pow(F.lit(2.0), F.col("at"))
+    for name, low, high in (("bx", "minx", "maxx"), ("by", "miny", "maxy")):
+        rows = rows.withColumn(name, F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))))
+    return rows
+
+
 def boxes_meeting(left: DataFrame, right: DataFrame, bin_size: float, left_id: str, right_id: str) -> DataFrame:
-    """Pairs of boxes (minx, miny, maxx, maxy) that overlap or touch: both list the bins that they cover, pairs meet in
-    bins, and a pair counts in the bin of its overlap's lower left corner only."""
-
-    def binned(rows: DataFrame, name: str, tag: str) -> DataFrame:
-        cells = [F.sequence(F.floor(F.col(a) / bin_size), F.floor(F.col(b) / bin_size)) for a, b in (("minx", "maxx"), ("miny", "maxy"))]
-        out = rows.select(F.col(name), *(F.col(c).alias(f"{tag}_{c}") for c in ("minx", "miny", "maxx", "maxy")), F.explode(cells[0]).alias("bx"), cells[1].alias("ys"))
-        return out.withColumn("by", F.explode("ys")).drop("ys")
-
-    a, b = binned(left, left_id, "l"), binned(right, right_id, "r")
-    met = a.join(b, ["bx", "by"]).where("l_minx <= r_maxx and r_minx <= l_maxx and l_miny <= r_maxy and r_miny <= l_maxy")
-    own = (F.floor(F.greatest("l_minx", "r_minx") / bin_size) == F.col("bx")) & (F.floor(F.greatest("l_miny", "r_miny") / bin_size) == F.col("by"))
-    return met.where(own).select(left_id, right_id)
+    """Pairs of boxes (minx, miny, maxx, maxy) that overlap or touch, however different their sizes: a pair meets at the level of its larger
+    box, where either lies in four cells at most, and counts in the cell of its overlap's lower left corner only. The levels are few
+    (one for each power of two), so each box lists few cells."""
+    levels = [sorted(r[0] for r in rows.select(box_level(bin_size)).distinct().collect() if r[0] is not None) for rows in (left, right)]
+
+    def listed(rows: DataFrame, name: str, tag: str, others: Sequence[int]) -> DataFrame:
+        out = box_cells(rows.select(name, *BOX).dropna(subset=list(BOX)), bin_size, others)
+        return out.select(name, "at", "bx", "by", *(F.col(c).alias(f"{tag}_{c}") for c in (*BOX, "own")))
+
+    a, b = listed(left, left_id, "l", levels[1]), listed(right, right_id, "r", levels[0])
+    met = a.join(b, ["at", "bx", "by"]).where("at = greatest(l_own, r_own) and l_minx <= r_maxx and r_minx <= l_maxx and l_miny <= r_maxy and r_miny <= l_maxy")
+    size = F.lit(bin_size) * F.pow(F.lit(2.0), F.col("at"))
+    corner = (F.floor(F.greatest("l_minx", "r_minx") / size) == F.col("bx")) & (F.floor(F.greatest("l_miny", "r_miny") / size) == F.col("by"))
+    return met.where(corner).select(left_id, right_id)
 
 
 def bounds(rings: DataFrame, pixel: float, *keys: str) -> DataFrame:
