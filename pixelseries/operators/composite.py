@@ -48,7 +48,7 @@ def fallback(obs: DataFrame, roi: DataFrame, chosen: DataFrame, seed: int = 17)
     """(date, y, x, item_seq): for days and ROI pixels without a valid item, one of their items, that of the least hash."""
     rest = obs.join(roi.select(*PIXEL), list(PIXEL), "left_semi").join(chosen.select("date", *PIXEL), ["date", *PIXEL], "left_anti")
     h = mixed(F.col("y"), F.col("x"), F.unix_date("date"), F.col("item_seq"), seed=seed)
-    return rest.groupBy("date", *PIXEL).agg(F.min(F.struct(h.alias("h"), "item_seq")).alias("b")).select("date", *PIXEL, F.col("b.item_seq").alias("item_seq"))
+    return rest.groupBy("date", *PIXEL).agg(F.min_by("item_seq", h).alias("item_seq"))
 
 
 def class_histogram(obs: DataFrame, roi: DataFrame) -> DataFrame:

@@ -635,6 +635,29 @@ def geometry_bounds(s: SparkSession, d: str) -> DataFrame:
     return vector.bounds(V.rings(s, d), 0.5, "feature_id").select("feature_id", "minx", "maxy", "width", "height")
 
 
+@query(
+    """SELECT g AS "group", round(sum(area), 4) AS area, round(sum(mx) / sum(area), 4) AS cx, round(sum(my) / sum(area), 4) AS cy FROM (
+        SELECT g, sign * (b - a) / 6 * (o + m * a + 4 * (o + m * c) + o + m * b) AS area, sign * (b - a) / 6 * ((o + m * a) ** 2 + 4 * (o + m * c) ** 2 + (o + m * b) ** 2) / 2 AS mx,
+            sign * (b - a) / 6 * ((o + m * a) * a + 4 * (o + m * c) * c + (o + m * b) * b) AS my
+        FROM (SELECT *, CASE WHEN inside = turn THEN -1 ELSE 1 END AS sign FROM (SELECT *, sum(turn) OVER (PARTITION BY g, a ORDER BY x, turn DESC, feature_id, m) AS inside FROM (
+            SELECT *, CASE WHEN row_number() OVER (PARTITION BY g, a, feature_id ORDER BY x, m) % 2 = 1 THEN 1 ELSE -1 END AS turn FROM (
+                SELECT l.g, l.feature_id, l.m, l.o, a, b, (a + b) / 2 AS c, l.o + l.m * (a + b) / 2 AS x FROM lines l JOIN slabs s ON l.g = s.g AND l.ya < (a + b) / 2 AND l.yb > (a + b) / 2))) WHERE inside = turn OR inside = 0)) GROUP BY g""".replace(
+        "FROM lines l JOIN slabs s",
+        """FROM (SELECT feature_id % 3 AS g, feature_id, least(y1, y2) AS ya, greatest(y1, y2) AS yb, (x2 - x1) / (y2 - y1) AS m, x1 - (x2 - x1) / (y2 - y1) * y1 AS o FROM edges WHERE y1 <> y2) l
+        JOIN (SELECT g, y AS a, lead(y) OVER (PARTITION BY g ORDER BY y) AS b FROM (SELECT DISTINCT feature_id % 3 AS g, y1 AS y FROM edges UNION SELECT p.g, (q.o - p.o) / (p.m - q.m)
+            FROM (SELECT feature_id % 3 AS g, least(y1, y2) AS ya, greatest(y1, y2) AS yb, (x2 - x1) / (y2 - y1) AS m, x1 - (x2 - x1) / (y2 - y1) * y1 AS o FROM edges WHERE y1 <> y2) p
+            JOIN (SELECT feature_id % 3 AS g, least(y1, y2) AS ya, greatest(y1, y2) AS yb, (x2 - x1) / (y2 - y1) AS m, x1 - (x2 - x1) / (y2 - y1) * y1 AS o FROM edges WHERE y1 <> y2) q
+            ON p.g = q.g AND p.m < q.m AND (q.o - p.o) / (p.m - q.m) > greatest(p.ya, q.ya) AND (q.o - p.o) / (p.m - q.m) < least(p.yb, q.yb))) s""",
+    ),
+    "edges")
+def union_centroid(s: SparkSession, d: str) -> DataFrame:
+    """Area and centroid of the union of many overlapping polygons, by group."""
+    rings = V.rings(s, d)
+    groups = rings.withColumn("group", F.col("feature_id") % 3)
+    out = vector.union_moments(groups, 2.0, "group")
+    return out.select("group", *(F.round(c, 4).alias(c) for c in ("area", "cx", "cy")))
+
+
 @query("SELECT feature_id, round(sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 6) AS cx, round(sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 6) AS cy FROM edges GROUP BY feature_id", "edges")
 def centroid(s: SparkSession, d: str) -> DataFrame:
     return vector.centroids(V.rings(s, d), "feature_id").select("feature_id", r6(F.col("cx")).alias("cx"), r6(F.col("cy")).alias("cy"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,27 @@ def test_boxes_of_any_size_meet(spark, seed) -> None:
     levels = a.select(vector.box_level(1.0)).distinct().count()
     cells = vector.box_cells(b, 1.0, list(range(-20, 10))).groupBy("r", "at").count().agg(F.max("count")).first()[0]
     assert cells <= 4 and levels <= 61
+
+
+def test_centroid_of_a_union_that_overlaps(spark) -> None:
+    """Against a fine raster: squares that overlap, one inside another, one with a hole, one apart, and a triangle across them."""
+    square = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    shapes = [(1, 0, square(0, 0, 4, 4)), (2, 0, square(2, 1, 5, 2)), (3, 0, square(1, 1, 1, 1)), (4, 0, square(10, 10, 4, 4)), (4, 1, square(11, 11, 2, 2)), (5, 0, [(3.0, -1.0), (12.0, 12.5), (2.0, 6.0)]), (6, 0, square(0, 0, 4, 4))]
+    rows = [(1, f, r, k, float(x), float(y)) for f, r, corners in shapes for k, (x, y) in enumerate(corners)]
+    got = vector.union_moments(spark.createDataFrame(rows, "g int, feature_id int, ring_id int, seq int, vx double, vy double"), 1.5, "g").first()
+    step = 0.01
+    n = int(16 / step)
+
+    def inside(corners, x, y):
+        out = False
+        for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1]):
+            out = out ^ ((y1 > y) != (y2 > y)) & (x1 + (y - y1) * (x2 - x1) / ((y2 - y1) or 1) > x)
+        return out
+
+    x, y = np.meshgrid((np.arange(n) + 0.5) * step - 1.5, (np.arange(n) + 0.5) * step - 1.5)
+    features = {}
+    for f, _, corners in shapes:
+        features[f] = features.get(f, False) ^ inside(corners, x, y)
+    mask = np.logical_or.reduce(list(features.values()))
+    assert got.area == pytest.approx(mask.sum() * step * step, rel=2e-3)
+    assert (got.cx, got.cy) == (pytest.approx(x[mask].mean(), abs=5e-3), pytest.approx(y[mask].mean(), abs=5e-3))
