@@ -6,15 +6,15 @@ tokens came after it; that is all that later symbols can depend on, because a se
 its string if every adjacent pair is. A transition carries the number of tokens it emits (which may be negative: a
 later merge takes tokens back). States and transitions are determinised when first reached and kept.
 
-Every text is cut into chunks of about `chunk` characters, and each chunk becomes a state map: entry state, exit state and
-tokens emitted in between. A cut is made where a piece surely ends (white space, an ASCII digit) if there is such a place
-within REACH characters, so that the state handed over is the one between words; else in a run of plain letters, and the
-state is that of the open word. The entry state of such a chunk is worked out from the LEAD letters before it, which decide
-it but for texts made against it; where the chunk before turns out to exit in another state, the chunk is mapped again from
-that one, until all seams agree. Maps of neighbours then compose pairwise, in as many rounds as the largest number of
-chunks has binary digits. A map is of bounded size, whatever the text. First chunks are mapped by the task that reads the
-text, all others are dealt to all tasks, so a very long text is the work of many. Where there is no place to cut (long runs
-of one kind of sign without a space or digit), a chunk runs on to the next such place.
+Every text is cut into chunks of about `chunk` characters, and each chunk becomes a state map: for every state that it may be
+entered in, the exit state and the tokens emitted in between. A cut is made where a piece surely ends (white space, an ASCII
+digit) if there is such a place within REACH characters; there the state between words is the only one. Else it is made in a
+run of plain letters, where the letters before the cut leave a few states possible (see `Transducer.entries`): one for most
+words, several for words that repeat themselves. All of them are mapped. Where more than MOST_ENTRIES are possible, or the run
+is too short to tell, the chunk runs on to the next place. Maps of neighbours then compose pairwise, the right one being looked
+up by the exit states of the left one, in as many rounds as the largest number of chunks has binary digits. A map is of bounded
+size, whatever the text. First chunks are mapped by the task that reads the text, all others are dealt to all tasks, so a very
+long text is the work of many.
 
 Null and empty texts count 0 tokens and 0 bytes. Rows are counted one by one, so null or repeated ids, ties and repeated
 rows stay; an empty table gives an empty result; extra columns are ignored, whatever their names.
@@ -28,7 +28,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelseries.llm.common import stored
@@ -36,7 +36,8 @@ from pixelseries.llm.common import stored
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
 CHUNK = 1 << 14
 REACH = 1 << 10
-LEAD = 1 << 8
+MOST_ENTRIES = 16
+MOST_WAYS = 1 << 9
 CACHED_WORDS = 1 << 20
 MOST_STATES = 1 << 18
 
@@ -62,6 +63,8 @@ class Transducer:
         self.end = end
         self.vocab = vocab
         self.begins = {self.plain(t)[:k] for t in vocab for k in range(1, len(self.plain(t)))}
+        self.longest = max(len(self.plain(t)) for t in vocab)
+        self.lead = 4 * self.longest  # symbols that `entries` asks for
         self.pairs: dict[tuple[str | None, str], bool] = {}
         self.forget()
 
@@ -166,6 +169,62 @@ class Transducer:
             done = self.ends[state][c] = self.last(state, c + self.end)[2]
         return n + done
 
+    def last_tokens(self, symbols: str) -> list[set[str]]:
+        """For each number of symbols read, the tokens that the encoding up to there may end with, whatever came before
+        the symbols. Some token begins among the first symbols, as none is longer than `longest`, and from its
+        beginning on the encoding is that of the symbols from there alone."""
+        found: list[set[str]] = [set() for _ in range(len(symbols) + 1)]
+        for begin in range(self.longest):
+            state = 0
+            for k in range(begin, len(symbols)):
+                state, _ = self.steps[state].get(symbols[k]) or self.compile_step(state, symbols[k])
+                found[k + 1].add(self.windows[state][1][0][0])
+        return found
+
+    def entries(self, symbols: str) -> list[str] | None:
+        """Names of all states that an open word may be in behind `lead` symbols of it or more, whatever came before them; null
+        if they are too many or differ in counts that the symbols do not tell.
+
+        The last tokens are chosen from left to right, in every way that agrees with the pairs of tokens that may follow
+        each other. As an encoding is unique, a token that may follow the one before it is the only choice."""
+        n, since = len(symbols), 2 * self.longest
+        if n < self.lead:
+            return None
+        may = self.last_tokens(symbols)
+        ways: list[tuple[str, ...]] = [()]  # of tokens that end at since + 1, since + 2, ...
+        for end in range(since + 1, n + 1):
+            longer = []
+            for way in ways:
+                sure, open_ = [], []
+                for token in sorted(may[end]):
+                    begin = end - len(token)
+                    if begin <= since:
+                        open_.append(token)
+                    elif self.follows(way[begin - since - 1], token):
+                        sure.append(token)
+                longer += [(*way, token) for token in sure or open_]
+            ways = longer
+            if len(ways) > MOST_WAYS:
+                return None
+        full = next(symbols[n - k :] for k in range(min(n, self.longest), -1, -1) if not k or symbols[n - k :] in self.begins)
+        names: set[str] = set()
+        for way in ways:
+            roots: list[tuple[int, int]] = []  # of each end: where its tokens' chain leaves the known part, tokens since
+            for k, token in enumerate(way):
+                begin = k - len(token)
+                root, count = (begin, 0) if begin < 0 else roots[begin]
+                roots.append((root, count + 1))
+            window: list[tuple[str | None, int]] = []
+            for k in range(len(full) + 1):
+                if k and full[len(full) - k :] not in self.begins:
+                    window.append(GONE)
+                    continue
+                if roots[-1 - k][0] != roots[-1][0]:
+                    return None
+                window.append((way[-1 - k], roots[-1][1] - roots[-1 - k][1]))
+            names.add(self.name(self.state(json.dumps((full, window)))))
+        return sorted(names) if len(names) <= MOST_ENTRIES else None
+
     def count(self, word: str) -> int:
         if len(self.windows) > MOST_STATES:  # only memory is at stake: states come back when next reached
             self.forget()
@@ -258,23 +317,31 @@ class Counter:
             n += k
         return n
 
-    def cuts(self, text: str, size: int, reach: int = REACH) -> list[tuple[int, bool]]:
-        """Where chunks begin, near every multiple of size, and whether a word goes on over that place."""
-        out = [(0, False)]
+    def cuts(self, text: str, size: int, reach: int = REACH) -> list[tuple[int, list[str] | None]]:
+        """Where chunks begin, near every multiple of size, and the states that they may be entered in: null for the one
+        between words."""
+        lead = self.machine.lead
+        out: list[tuple[int, list[str] | None]] = [(0, None)]
         for at in range(size, len(text), size):
             low = max(out[-1][0] + 1, at - reach)
+            if low > at:
+                continue
             base = max(0, low - PLAIN)
             near = text[base : at + 1]
-            for pattern, inside in ((BORDER, False), (INSIDE, True)):
-                if low <= at and (m := pattern.search(near, low - base)):
-                    out.append((base + m.start(), inside))
-                    break
+            if m := BORDER.search(near, low - base):
+                out.append((base + m.start(), None))
+            elif m := INSIDE.search(near, low - base):
+                place = base + m.start()
+                entries = self.entries(LETTERS.search(text[max(0, place - lead) : place]).group())
+                if entries is not None:
+                    out.append((place, entries))
         return out
 
-    def entry(self, lead: str) -> str:
-        """The state behind letters of a word of which these are the last, or nearly always so."""
-        machine = self.machine
-        return machine.name(machine.run(0, "".join(self.pieces(lead)))[0])
+    def entries(self, letters: str) -> list[str] | None:
+        """The states that a word may be in behind these letters of it."""
+        if len(self.machine.windows) > MOST_STATES:
+            self.machine.forget()
+        return self.machine.entries("".join(self.pieces(letters))[-2 * self.machine.lead :])
 
     def walk(self, parts: list[str | None], entry: str | None, goes_on: bool) -> tuple[int, str | None]:
         machine, n = self.machine, 0
@@ -309,15 +376,29 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-CHUNKS = "row long, doc_id long, k int, chunks int, n_bytes long, entry string, exit string, n long, goes_on boolean, lead string, text string"
-NAMES = [c.split()[0] for c in CHUNKS.split(", ")]
-KINDS = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in CHUNKS.split(", ")]
+MAPS = "array<struct<entry: string, exit: string, n: long>>"
+CHUNKS = f"row long, doc_id long, k int, chunks int, n_bytes long, maps {MAPS}, goes_on boolean, entries array<string>, text string"
+NAMES = ["row", "doc_id", "k", "chunks", "n_bytes", "maps", "goes_on", "entries", "text"]
+KINDS = [
+    pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.struct([("entry", pa.string()), ("exit", pa.string()), ("n", pa.int64())])),
+    pa.bool_(), pa.list_(pa.string()), pa.string(),
+]
+BETWEEN = ""  # name of the state between words, in columns
 
 
 def _table(columns: Sequence[pa.Array | list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, KINDS)], NAMES)
 
 
+def state_map(c: Counter, text: str, entries: list[str], goes_on: bool) -> list[tuple[str, str, int]]:
+    """(entry, exit, tokens emitted) of a chunk for each state that it may be entered in."""
+    out = []
+    for entry in entries:
+        n, state = c.map(text, entry or None, goes_on)
+        out.append((entry, state or BETWEEN, n))
+    return out
+
+
 def chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     """A row for each chunk of each text: the state map of first chunks, and the others with their text, still to be mapped."""
 
@@ -325,26 +406,23 @@ def chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
         c = counter(path)
         for b in batches:
             size = [len(t.as_buffer()) for t in b.column(2)]
-            texts, n, exits, counts, goes_on, rest = b.column(2).cast(pa.large_binary()), [], [], [], [], []
+            texts, maps, counts, goes_on, rest = b.column(2).cast(pa.large_binary()), [], [], [], []
             for t, bytes_, row, doc_id in zip(texts, size, b.column(0), b.column(1)):
-                cuts = c.cuts(t.as_py().decode(), chunk) if bytes_ > chunk else [(0, False)]
+                cuts = c.cuts(t.as_py().decode(), chunk) if bytes_ > chunk else [(0, None)]
                 counts.append(len(cuts))
                 if len(cuts) == 1:
-                    n.append(c.count(t.as_py()))
-                    exits.append(None)
+                    maps.append([(BETWEEN, BETWEEN, c.count(t.as_py()))])
                     goes_on.append(False)
                     continue
-                text, ends = t.as_py().decode(), [*cuts[1:], (None, False)]
-                first = c.map(text[: ends[0][0]], None, ends[0][1])
-                n.append(first[0])
-                exits.append(first[1])
-                goes_on.append(ends[0][1])
-                size[len(n) - 1] = len(text[: ends[0][0]].encode())
-                for k, ((at, inside), (end, on)) in enumerate(zip(cuts[1:], ends[1:]), 1):
-                    lead = LETTERS.search(text[max(0, at - LEAD) : at]).group() if inside else None
-                    rest.append((row.as_py(), doc_id.as_py(), k, len(cuts), len(text[at:end].encode()), None, None, None, on, lead, text[at:end]))
-            none = [None] * len(n)
-            yield _table([b.column(0), b.column(1), [0] * len(n), counts, size, none, exits, n, goes_on, none, none])
+                text, ends = t.as_py().decode(), [*cuts[1:], (None, None)]
+                own = text[: ends[0][0]]
+                goes_on.append(ends[0][1] is not None)
+                maps.append(state_map(c, own, [BETWEEN], goes_on[-1]))
+                size[len(maps) - 1] = len(own.encode())
+                for k, ((at, entries), (end, next_)) in enumerate(zip(cuts[1:], ends[1:]), 1):
+                    rest.append((row.as_py(), doc_id.as_py(), k, len(cuts), len(text[at:end].encode()), None, next_ is not None, entries or [BETWEEN], text[at:end]))
+            none = [None] * len(maps)
+            yield _table([b.column(0), b.column(1), [0] * len(maps), counts, size, maps, goes_on, none, none])
             for at in range(0, len(rest), 256):  # batches of bounded size
                 yield _table(list(zip(*rest[at : at + 256])))
 
@@ -353,43 +431,49 @@ def chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
 
 
 def mapped(rows: DataFrame, path: str) -> DataFrame:
-    """State maps of chunks, from the entry state if it is known, else from the one that the lead tells."""
+    """State maps of chunks that came with their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            entry, exits, n = [], [], []
-            for e, on, lead, text in zip(*(b.column(k).to_pylist() for k in (5, 8, 9, 10))):
-                entry.append(c.entry(lead) if e is None and lead is not None else e)
-                found = c.map(text, entry[-1], on)
-                n.append(found[0])
-                exits.append(found[1])
-            yield _table([*b.columns[:5], entry, exits, n, b.column(8), b.column(9), [None] * len(n)])
+            maps = [state_map(c, text, entries, on) for on, entries, text in zip(*(b.column(k).to_pylist() for k in (6, 7, 8)))]
+            none = [None] * len(maps)
+            yield _table([*b.columns[:5], maps, b.column(6), none, none])
 
     return rows.select(NAMES).mapInArrow(run, CHUNKS)
 
 
+def composed(left: Column, right: Column) -> Column:
+    """The map of a chunk and the next one: the right map is looked up by the exit states of the left one."""
+
+    def through(m: Column) -> Column:
+        then = F.filter(right, lambda r: r["entry"] == m["exit"])
+        met = F.when(F.size(then) == 1, then[0]).otherwise(F.raise_error(F.lit("a chunk is entered in a state that it has no map for")).cast("struct<entry: string, exit: string, n: long>"))
+        return F.struct(m["entry"].alias("entry"), met["exit"].alias("exit"), (m["n"] + met["n"]).alias("n"))
+
+    return F.transform(left, through)
+
+
+def scanned(maps: DataFrame, longest: int) -> DataFrame:
+    """(row, doc_id, chunks, n_bytes, maps) of whole texts from those of their chunks, k = 0, 1, ..., `longest` at most."""
+    out = maps.select("row", "doc_id", "k", "chunks", "n_bytes", "maps")
+    for _ in range((longest - 1).bit_length()):
+        pair = out.groupBy("row", F.floor(F.col("k") / 2).cast("int").alias("half")).agg(
+            F.min("doc_id").alias("doc_id"), F.max("chunks").alias("chunks"), F.sum("n_bytes").alias("n_bytes"),
+            F.count("*").alias("n"), F.min_by("maps", "k").alias("left"), F.max_by("maps", "k").alias("right"),
+        )
+        both = F.when(F.col("n") == 1, F.col("left")).otherwise(composed(F.col("left"), F.col("right")))
+        out = pair.select("row", "doc_id", F.col("half").alias("k"), "chunks", "n_bytes", both.alias("maps"))
+    return out
+
+
 def token_counts(docs: DataFrame, path: str = DEFAULT, limit: int = 2048, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens), n_chunks."""
     cut = chunks(docs, path, chunk)
-    later = cut.where("text is not null")
-    maps = stored(mapped(later.repartition("row", "k"), path), "maps")
-    while True:  # a second time only for texts made against it
-        own = cut.where("text is null and chunks > 1").unionByName(maps)
-        before = own.select("row", (F.col("k") + 1).alias("k"), F.col("exit").alias("had"))
-        wrong = maps.join(before, ["row", "k"]).where(~F.col("entry").eqNullSafe(F.col("had"))).select("row", "k", "had")
-        wrong = stored(wrong, "seams")
-        if wrong.isEmpty():
-            break
-        again = mapped(later.join(wrong, ["row", "k"]).withColumn("entry", F.col("had")), path)
-        maps = stored(maps.join(wrong.select("row", "k"), ["row", "k"], "left_anti").unionByName(again), "maps")
+    later = mapped(cut.where("text is not null").repartition("row", "k"), path)
     longest = cut.agg(F.max("chunks")).first()[0] or 1
-    scan = own.select("row", "doc_id", "k", "chunks", "n_bytes", "entry", "exit", "n")
-    for _ in range((longest - 1).bit_length()):
-        pair = scan.groupBy("row", F.floor(F.col("k") / 2).cast("int").alias("half"))
-        scan = pair.agg(
-            F.min("doc_id").alias("doc_id"), F.max("chunks").alias("chunks"), F.sum("n_bytes").alias("n_bytes"),
-            F.min_by("entry", "k").alias("entry"), F.max_by("exit", "k").alias("exit"), F.sum("n").alias("n"),
-        ).withColumnRenamed("half", "k")
-    whole = cut.where("chunks = 1").select("doc_id", "n_bytes", "n", "chunks").unionByName(scan.select("doc_id", "n_bytes", "n", "chunks"))
-    return whole.select("doc_id", "n_bytes", F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"), F.col("chunks").alias("n_chunks"))
+    whole = cut.where("chunks = 1")
+    if longest > 1:
+        whole = whole.unionByName(scanned(cut.where("text is null and chunks > 1").unionByName(later), longest), allowMissingColumns=True)
+    n = F.col("maps")[0]["n"]
+    return whole.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), F.col("chunks").alias("n_chunks"))
