@@ -86,6 +86,14 @@ def tile_report(rows: DataFrame, value: str, nodata: float, *keys: str) -> DataF
     return out.withColumn("dtype", F.lit(dict(rows.dtypes)[value]))
 
 
+def asked_tiles(asked: DataFrame, report: DataFrame, grids: DataFrame, *keys: str) -> DataFrame:
+    """The report of each tile asked for, with the reference system and affine terms of its grid; found is false, and the rest null,
+    where there is no raster. One row a tile asked for, however often."""
+    crs = grids.select(*keys, "epsg", F.array(*(F.col(c).cast("double") for c in "abcdef")).alias("transform"))
+    out = asked.select(*keys).distinct().join(report.withColumn("found", F.lit(True)), list(keys), "left").join(crs, list(keys), "left")
+    return out.withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def grid_audit(rasters: DataFrame, grids: DataFrame) -> DataFrame:
     """Each raster's grid against the expected one: size, EPSG code and affine terms (within tolerance); missing is null."""
     terms = lambda t: F.array(*(F.col(f"{t}.{c}") for c in "abcdef"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import io
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelseries.sources.arrays import opened
+
 
 def softmax_pool(rows: DataFrame, score: Column, values: str, n: int, *keys: str) -> DataFrame:
     """(keys, dim, pooled): weighted sum of vectors of n values over time, the weights being the softmax of the scores of a
@@ -147,3 +150,45 @@ def two_sensor_scorer(s2: EncoderShape, s1: EncoderShape, w2: dict[str, np.ndarr
         return out if bias is None else out + bias
 
     return run
+
+
+# Names that a saved model of this kind has (fixed values).
+PARTS = ("s2_backbone.", "s1_backbone.")
+REDUCER = "dim_reducer.0."
+TRAINING_ONLY = "projector."
+WRAPPED = "_orig_mod."
+
+
+def model_arrays(w2: Mapping[str, np.ndarray], w1: Mapping[str, np.ndarray], reduce: np.ndarray, bias: np.ndarray) -> dict[str, np.ndarray]:
+    """All weights of a model under the names that it is saved with."""
+    return {**{PARTS[0] + k: v for k, v in w2.items()}, **{PARTS[1] + k: v for k, v in w1.items()}, REDUCER + "weight": reduce, REDUCER + "bias": bias}
+
+
+def save_arrays(path: str, arrays: Mapping[str, np.ndarray]) -> None:
+    """Named arrays as an .npz file in a local or shared folder."""
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    store, at = opened(path)
+    with store.open_output_stream(at) as f:
+        f.write(held.getvalue())
+
+
+def load_arrays(path: str) -> dict[str, np.ndarray]:
+    """The arrays of an .npz file. Names lose the prefix that a compiled model is saved with."""
+    store, at = opened(path)
+    with store.open_input_file(at) as f, np.load(io.BytesIO(f.read()), allow_pickle=False) as z:
+        return {k.removeprefix(WRAPPED): z[k] for k in z.files}
+
+
+def checked_model(arrays: Mapping[str, np.ndarray], s2: EncoderShape, s1: EncoderShape, out: int, fusion: str = "concat") -> Callable[..., np.ndarray]:
+    """A scorer of loaded weights. Every weight of the given shapes must be there, in its shape, and no other; those of the
+    head that only training uses are passed over."""
+    wide = s2.width + s1.width if fusion == "concat" else s2.width
+    need = {k: v.shape for k, v in model_arrays(random_weights(s2, 0), random_weights(s1, 0), np.empty((out, wide)), np.empty(out)).items()}
+    have = {k: v.shape for k, v in arrays.items() if not k.startswith(TRAINING_ONLY)}
+    faults = [f"missing {k}" for k in need if k not in have] + [f"unexpected {k}" for k in have if k not in need]
+    faults += [f"{k} is {have[k]}, not {need[k]}" for k in need if k in have and have[k] != need[k]]
+    if faults:
+        raise ValueError("; ".join(faults))
+    w2, w1 = ({k.removeprefix(part): v for k, v in arrays.items() if k.startswith(part)} for part in PARTS)
+    return two_sensor_scorer(s2, s1, w2, w1, arrays[REDUCER + "weight"], arrays[REDUCER + "bias"], fusion)

@@ -21,6 +21,15 @@ def layer_mosaic(layers: DataFrame) -> DataFrame:
     return layers.groupBy("y", "x").agg(F.max_by("value", "layer_seq").alias("value"))
 
 
+def collections_mosaic(*collections: DataFrame) -> DataFrame:
+    """(y, x, value): of several collections of layers the last collection's last layer on top. Rows are (layer_seq, y, x, value)."""
+    each = [c.select(F.struct(F.lit(k).alias("collection"), "layer_seq").alias("layer_seq"), "y", "x", "value") for k, c in enumerate(collections)]
+    both = each[0]
+    for c in each[1:]:
+        both = both.unionByName(c)
+    return layer_mosaic(both)
+
+
 def square_mask(mask: DataFrame, height: int, width: int) -> DataFrame:
     """Set cells within the smaller side of a mask that is not square; the sides are the grid's, whatever cells are set."""
     side = min(height, width)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelseries.functions import vectors
+from pixelseries.functions.radar import db_code
 from pixelseries.operators import grid, profile, stitch, treemask, vector
 from pixelseries.plans import views as V
 from pixelseries.plans.registry import query, r6
@@ -38,6 +39,27 @@ def tile_report(s: SparkSession, d: str) -> DataFrame:
     return profile.tile_report(rows, "b1", 0, "year").withColumn("nodata_share", r6(F.col("nodata_share")))
 
 
+@query(
+    """SELECT a.year AS year, width IS NOT NULL AS found, width, height, n, round(share, 6) AS nodata_share, CASE WHEN width IS NOT NULL THEN 'bigint' END AS dtype, epsg, east
+    FROM (SELECT DISTINCT year(o_orderdate) + 22 AS year FROM orders) a
+    LEFT JOIN (SELECT year, max(x) + 1 AS width, max(y) + 1 AS height, count(*) AS n, avg((b1 = 0)::INT::DOUBLE) AS share FROM cube GROUP BY year) USING (year)
+    LEFT JOIN (SELECT DISTINCT year, 32600 + year % 60 AS epsg, year * 10.0::DOUBLE AS east FROM cube WHERE year % 2 = 0) USING (year)""", "cube")
+def asked_tiles(s: SparkSession, d: str) -> DataFrame:
+    """Years asked for by other tables: some have no raster, and every other one has no known grid."""
+    rows = V.cube(s, d).withColumn("b1", F.col("b1").cast("long"))
+    asked = V.table(s, d, "orders").select((F.year("o_orderdate") + 22).alias("year"))
+    terms = {c: F.lit(v) for c, v in zip("abdef", (10, 0, 0, -10, 0))} | {"c": F.col("year") * 10}
+    grids = rows.where("year % 2 = 0").select("year").distinct().withColumns({"epsg": 32600 + F.col("year") % 60, **terms})
+    out = profile.asked_tiles(asked, profile.tile_report(rows, "b1", 0, "year"), grids, "year")
+    return out.select("year", "found", "width", "height", "n", r6(F.col("nodata_share")).alias("nodata_share"), "dtype", "epsg", F.get("transform", F.lit(2)).alias("east"))
+
+
+@query("SELECT y, x, arg_max(value, k * 1000000000 + item_id) AS value FROM (SELECT CASE WHEN pol = 'vv' THEN 0 ELSE 1 END AS k, item_id, y, x, code AS value FROM coded) GROUP BY y, x", "coded")
+def collections_mosaic(s: SparkSession, d: str) -> DataFrame:
+    layers = V.sar(s, d).select("pol", F.col("item_id").alias("layer_seq"), "y", "x", db_code(F.col("amp")).alias("value"))
+    return treemask.collections_mosaic(layers.where("pol = 'vv'"), layers.where("pol = 'vh'"))
+
+
 @query("SELECT c_custkey AS grid_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 3 <> 1 AND c_custkey % 4 <> 2 END AS matches FROM customer")
 def grid_audit(s: SparkSession, d: str) -> DataFrame:
     """Rasters against expected grids: every third is a pixel wider, every fourth shifted, of every fifth no grid is known."""

@@ -206,3 +206,13 @@ def stream_ledger(s: SparkSession, d: str) -> DataFrame:
     done = V.tiles_of(arrivals.table_stream(s, d, "supplier")).where("nr % 2 = 1")
     arrivals.ledger_upsert(done, path, place(s, "checkpoint")).awaitTermination()
     return s.read.parquet(path)
+
+
+@query("SELECT tile_id FROM tiles", "tiles")
+def tiles_listed(s: SparkSession, d: str) -> DataFrame:
+    """Ids of tile files, listed by their names; other files of the folder do not count."""
+    path = place(s, "tiles")
+    named = V.tiles(s, d).select(F.concat(F.lit("tile_"), "tile_id", F.lit(".tif")).alias("file"), F.col("tile_id").cast("binary").alias("content"))
+    arrays.put_files(named, path)
+    arrays.put_files(named.withColumn("file", F.concat(F.lit("other_"), "file")), path)
+    return lists.tiles_in(s, path)

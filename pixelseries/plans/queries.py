@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,8 +15,8 @@ from pixelseries.functions.mix import PRIME, mixed, mixed_sql
 from pixelseries.functions.radar import db_code
 from pixelseries.operators import composite, grid, layout, ledger, profile, resample, sampling, score, stitch, treemask, vector
 from pixelseries.plans import views as V
-from pixelseries.plans.registry import ORACLES, QUERIES, query, r6
-from pixelseries.sources import catalog, lists, sinks
+from pixelseries.plans.registry import ORACLES, QUERIES, place, query, r6
+from pixelseries.sources import aligned, catalog, lists, sinks
 from pixelseries.streaming import arrivals, timers
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -758,25 +759,49 @@ def partition_label(s: SparkSession, d: str) -> DataFrame:
 LINEAR = [(o * 31 + k * 7) % 11 - 5 for o in range(4) for k in range(7)]
 
 
-@query(
-    f"""SELECT px, o AS out, round(CASE WHEN n2 = 40 AND n1 = 40 THEN total END, 6) AS value FROM (SELECT px, o, sum(n2) AS n2, sum(n1) AS n1, sum(t) AS total FROM (
+LINEAR_SQL = f"""SELECT px, o AS out, round(CASE WHEN n2 = 40 AND n1 = 40 THEN total END, 6) AS value FROM (SELECT px, o, sum(n2) AS n2, sum(n1) AS n1, sum(t) AS total FROM (
     SELECT px, o, 1 AS n2, 0 AS n1, (rank + 1) / 10.0::DOUBLE * (list_extract({LINEAR}, o * 7 + 1) * {Z[0]} + list_extract({LINEAR}, o * 7 + 2) * {Z[1]} + list_extract({LINEAR}, o * 7 + 3) * {Z[2]} + list_extract({LINEAR}, o * 7 + 4) * doy / 100.0::DOUBLE) AS t FROM ({S2}), range(4) u(o)
     UNION ALL SELECT px, o, 0, 1, (rank + 1) / 10.0::DOUBLE * (list_extract({LINEAR}, o * 7 + 5) * {RADAR_Z[0]} + list_extract({LINEAR}, o * 7 + 6) * {RADAR_Z[1]} + list_extract({LINEAR}, o * 7 + 7) * doy / 100.0::DOUBLE) FROM ({S1}), range(4) u(o)) GROUP BY px, o)
-    WHERE n2 = 40 AND n1 = 40""",
-    "cube", "radar_cube")
-def batch_score_linear(s: SparkSession, d: str) -> DataFrame:
-    """The scorer hook with a linear scorer: each pixel's two matrices in one batch, four outputs."""
+    WHERE n2 = 40 AND n1 = 40"""
+
+
+def _linear_scorer() -> Callable:
+    w = np.array(LINEAR, float).reshape(4, 7)
+    w[:, [3, 6]] /= 100
+    by_rank = (np.arange(40) + 1)[:, None] / 10
+    return lambda a, b: (a * by_rank).sum(axis=1) @ w[:, :4].T + (b * by_rank).sum(axis=1) @ w[:, 4:].T
 
-    def make() -> Callable:
-        w = np.array(LINEAR, float).reshape(4, 7)
-        w[:, [3, 6]] /= 100
-        by_rank = (np.arange(40) + 1)[:, None] / 10
-        return lambda a, b: (a * by_rank).sum(axis=1) @ w[:, :4].T + (b * by_rank).sum(axis=1) @ w[:, 4:].T
 
-    z = score.score_batches(_matrices(s, d), ["s2", "s1"], "px", make, 4, "double")
+def _linear_scores(matrices: DataFrame) -> DataFrame:
+    z = score.score_batches(matrices, ["s2", "s1"], "px", _linear_scorer, 4, "double")
     return z.select("px", F.posexplode("z").alias("out", "value")).withColumn("value", r6(F.col("value")))
 
 
+@query(LINEAR_SQL, "cube", "radar_cube")
+def batch_score_linear(s: SparkSession, d: str) -> DataFrame:
+    """The scorer hook with a linear scorer: each pixel's two matrices in one batch, four outputs."""
+    return _linear_scores(_matrices(s, d))
+
+
+@query(LINEAR_SQL, "cube", "radar_cube")
+def aligned_score(s: SparkSession, d: str) -> DataFrame:
+    """The same scores from cubes that are stored bucketed by pixel, with a time dimension: no shuffle behind the scans."""
+    both = ((V.cube(s, d), "optical"), (V.radar_cube(s, d), "radar"))
+    rows = {k: r.withColumn("sensor", F.lit(k)) for r, k in both}
+    folder = place(s, "aligned")
+    aligned.time_dimension(rows["optical"].select("sensor", "date").unionByName(rows["radar"].select("sensor", "date")), "sensor").write.parquet(f"{folder}/times")
+    times, held = s.read.parquet(f"{folder}/times"), {}
+    for k, r in rows.items():
+        r = aligned.with_steps(r.drop("doy"), times, "sensor")
+        held[k] = aligned.with_days(aligned.write_aligned(r, f"aligned_{k}_{uuid.uuid4().hex}", f"{folder}/{k}", buckets=8), times, "sensor")
+    day = F.unix_date("date")
+    s2 = sampling.sample_steps(held["optical"].withColumn("ordinal", day), ["px"], "ordinal", F.col("valid") & (F.col("px") % 5 != 0), mixed(F.col("px"), day))
+    s1 = held["radar"].withColumn("orbit_rank", F.when(F.col("orbit") == "ascending", 0).otherwise(1)).withColumn("ordinal", F.struct("orbit_rank", "t"))
+    s1 = sampling.sample_steps(s1, ["px"], "ordinal", sampling.radar_valid(), mixed(F.col("px"), day, F.col("orbit_rank")))
+    s2 = sampling.sample_matrix(s2, ["px"], MEAN, STD, "s2")
+    return _linear_scores(s2.join(sampling.sample_matrix(s1, ["px"], optical.RADAR_MEAN, optical.RADAR_STD, "s1"), "px"))
+
+
 def _matrices(s: SparkSession, d: str) -> DataFrame:
     s2 = sampling.sample_matrix(_optical_steps(s, d), ["px"], MEAN, STD, "s2")
     return s2.join(sampling.sample_matrix(_radar_steps(s, d), ["px"], optical.RADAR_MEAN, optical.RADAR_STD, "s1"), "px")
@@ -784,14 +809,12 @@ def _matrices(s: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def batch_score(s: SparkSession, d: str) -> DataFrame:
-    """Encodes the sampled optical and radar steps of each pixel; the weights here are an example's."""
-
-    def make() -> Callable:
-        a, b = score.EncoderShape(3), score.EncoderShape(2)
-        wa, wb = score.random_weights(a, 1), score.random_weights(b, 2)
-        return score.two_sensor_scorer(a, b, wa, wb, np.random.default_rng(3).normal(0, 0.2, (16, 32)).astype(np.float32))
-
-    return score.score_batches(_matrices(s, d), ["s2", "s1"], "px", make, 16)
+    """Encodes the sampled optical and radar steps of each pixel, with an example's weights, which each task loads from a file and checks."""
+    a, b = score.EncoderShape(3), score.EncoderShape(2)
+    reduce = np.random.default_rng(3).normal(0, 0.2, (16, 32)).astype(np.float32)
+    path = f"{place(s, 'weights')}.npz"
+    score.save_arrays(path, score.model_arrays(score.random_weights(a, 1), score.random_weights(b, 2), reduce, np.zeros(16, np.float32)))
+    return score.score_batches(_matrices(s, d), ["s2", "s1"], "px", lambda: score.checked_model(score.load_arrays(path), a, b, 16), 16)
 
 
 @query(f"SELECT vec_id, round(0.7 * z[1] + 0.3 * coalesce(lead(z[1]) OVER w, first(z[1]) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 6) AS m0 FROM rep WINDOW w AS (PARTITION BY {mixed_sql('vec_id', seed=sampling.MIXUP_SEED)} % ((SELECT count(*) FROM rep) + 499) // 500 ORDER BY {mixed_sql('vec_id')}, vec_id)".replace("% ((SELECT count(*) FROM rep) + 499) // 500", "% (((SELECT count(*) FROM rep) + 499) // 500)"), "rep")

@@ -27,7 +27,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -435,3 +435,20 @@ def damaged(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fault(*x) for x in zip(*(c.to_pylist() for c in b.columns))], pa.string())], ["name", "fault"])
 
     return rows.mapInArrow(run, "name string, fault string").where("fault IS NOT NULL")
+
+
+def put_files(files: DataFrame, path: str) -> None:
+    """Writes each row (file, content) as a file of the folder, by the task that holds it. A file appears under its name only when it is
+    whole, so a task that is run again does no harm."""
+    store, at = opened(path)
+    store.create_dir(at, recursive=True)
+
+    def put(rows: Iterator[Row]) -> None:
+        store, at = opened(path)
+        for r in rows:
+            part = f"{at}/_{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                f.write(bytes(r["content"]))
+            store.move(part, f"{at}/{r['file']}")
+
+    files.select("file", "content").foreachPartition(put)
