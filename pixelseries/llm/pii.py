@@ -2,13 +2,17 @@
 estimates how reliable they are, and a span classifier trained on the estimated labels decides which candidates become spans.
 
 Base spans (strict patterns with their checks) always stay. Candidates are the base spans and looser shapes: spelt or
-bracketed "at" addresses, eight-group IP addresses, card-length numbers that fail the check digit or are parted by other
-signs, phone numbers without a country code or run together with what follows. Each labeler says yes, no or nothing. Votes
+bracketed "at" addresses, any run of hexadecimal groups and colons, card-length numbers that fail the check digit or are parted
+by other signs, any run of digit groups of a phone number's length, phone numbers run together with what follows. A run that
+goes on with further groups is taken as a whole. Each labeler says yes, no or nothing. Votes
 are counted by pattern over all documents, so the estimation sees a table whose size the labelers bound; no labeler's
 reliability is given. The classifier does not see the votes: its features are the span's shape, first signs, length, check
 digit and parting signs, and the words to its left and right. It is fitted on at most `most` candidates, chosen by a hash,
 with the estimated chances as labels, and decides every candidate that is not a base span.
 
+A looser shape that meets a base span gives way to it, so a French phone number with dots whose first four groups read as an
+IP address stays that.
+
 Null and empty texts have no spans. Very long texts are searched whole; the context of a span is CONTEXT signs to each side,
 as the method has it. Equal votes (a chance of 0.5) count as half a label. Every row is searched for itself, so null or repeated
 ids and repeated rows stay. An empty table gives an empty result. Extra columns are ignored, whatever their names.
@@ -21,6 +25,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from ipaddress import AddressValueError, IPv6Address
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +57,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 AT = re.compile(r" ?[\[({<] ?at ?[\])}>] ?| at (?=[A-Za-z0-9-]+(?:\.| ?[\[({<] ?dot ?[\])}>] ?| dot )[A-Za-z])", re.IGNORECASE)
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?[\[({<] ?dot ?[\])}>] ?| dot )[A-Za-z0-9-]+)+", re.IGNORECASE)
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-GROUPS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])")
+GROUPS = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{5,39}+(?![0-9A-Za-z:])")
 PARTED = re.compile(r"(?<![0-9A-Za-z._/-])[0-9]{4}([./_\u2013\u00b7])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])")
 DIAL = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
-LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+DIGIT_GROUPS = re.compile(r"(?<![0-9A-Za-z+.,:/_(-])(?<![0-9][ ./-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?: ?[ ./-] ?[0-9]{2,8}){1,5}+(?![0-9A-Za-z]|[ .,:/-] ?[0-9])")
 
 # fixed values: common generic top domains (any two letters are taken for a country's), calling codes by their first digits
 # (ITU-T E.164), words that announce the kinds in the languages of the corpus
@@ -134,14 +139,14 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         domain = DOMAIN.match(text, m.end()) if start < m.start() else None
         if domain:
             found.append((start, 0, domain.end()))
-    if text.count(":") > 6:
-        found += [(m.start(), 1, m.end()) for m in GROUPS.finditer(text)]
+    if ":" in text:
+        found += [(m.start(), 1, m.end()) for m in GROUPS.finditer(text) if m.group().count(":") > 1 and any(map(str.isalnum, m.group()))]
     for m in CARD.finditer(text):
         if 12 <= len(m.group()) and 12 <= len(d := digits_of(m.group())) <= 19 and not luhn(d):
             found.append((m.start(), 2, m.end()))
     found += [(m.start(), 2, m.end()) for m in PARTED.finditer(text)]
     dialled = [(m.start(), 3, m.end()) for m in DIAL.finditer(text)] if "+" in text else []
-    found += dialled + clear([(m.start(), 3, m.end()) for m in LOCAL_PHONE.finditer(text)], dialled)
+    found += dialled + clear([(m.start(), 3, m.end()) for m in DIGIT_GROUPS.finditer(text) if 8 <= len(digits_of(m.group())) <= 13], dialled)
     out: list[tuple[int, int, int]] = []
     last = [0] * len(KINDS)
     for a, k, e in clear(sorted(found), base):
@@ -163,14 +168,29 @@ def clear(spans: list[tuple[int, int, int]], of: list[tuple[int, int, int]]) ->
 
 
 def checked(span: str, kind: int, d: str) -> bool:
-    """The kind's own test: a letter domain, numbers in range, the check digit, a plausible count of digits."""
+    """The kind's own test: a letter domain, numbers in range, the check digit, a numbering plan."""
     if kind == 0:
         return re.split(r"[^A-Za-z0-9-]+", span.rstrip(")]}> "))[-1].isalpha()
     if kind == 1:
-        return len(set(re.split("[:.]", span))) > 2
+        return sixth_version(span) if ":" in span else len(set(span.split("."))) > 2
     if kind == 2:
         return luhn(d)
-    return 9 <= len(d) <= 13 and len(set(d)) > 2
+    return 9 <= len(d) <= 13 and len(set(d)) > 2 and (span[0] == "+" or national(span, d))
+
+
+def sixth_version(span: str) -> bool:
+    try:
+        return bool(IPv6Address(span).packed)
+    except AddressValueError:
+        return False
+
+
+def national(span: str, d: str) -> bool:
+    """Whether digits follow a common numbering plan: a trunk zero and an area, three and seven, or nine by the first digit."""
+    groups = tuple(map(len, re.findall("[0-9]+", span)))
+    if d[0] == "0":
+        return d[1] != "0" and 9 <= len(d) <= 12 and groups[0] <= 5
+    return groups == (3, 3, 4) and d[0] != "1" or len(d) == 9 and d[0] in "6789" and groups in ((3, 3, 3), (3, 2, 2, 2), (2, 3, 2, 2))
 
 
 def listed(span: str, kind: int, d: str) -> bool:
@@ -183,7 +203,7 @@ def listed(span: str, kind: int, d: str) -> bool:
         return d[0] == "4" or d[:2] in ("30", "34", "35", "36", "37", "38", "50", "56", "57", "58", "62", "64", "65") or "51" <= d[:2] <= "55" or "2221" <= d[:4] <= "2720" or d[:4] == "6011"
     if span[0] == "+":
         return d[0] in "17" or d[:2] in TWO_DIGIT_CODES or d[:2] in THREE_DIGIT_CODES
-    return d[0] not in "01" or d[:1] == "0" and len(d) >= 10
+    return d[0] not in "01" or d[0] == "0" and len(d) >= 10
 
 
 def around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
@@ -196,9 +216,9 @@ def votes(text: str, start: int, kind: int, end: int, company: bool) -> str:
     """The kind, and one character a labeler: 1 yes, 0 no, - nothing."""
     span, d = text[start:end], digits_of(text[start:end])
     left, right = around(text, start, end)
-    near = {*left[:4], *right[:1]}
+    near = {*left[1:4], *right[:1]}  # the word just before is another labeler's, so that no word votes twice
     parting = {c for c in span if not c.isalnum()}
-    shape = {0: len(span) <= 80 and ".." not in span, 1: len(span) >= 7, 2: len(d) in (15, 16) and len(parting) < 2, 3: 10 <= len(d) <= 12}[kind]
+    shape = {0: len(span) <= 80 and ".." not in span, 1: len(span) >= 7, 2: len(d) in (15, 16) and len(parting) < 2, 3: 9 <= len(d) <= 12}[kind]
     glued = start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum()
     said = [
         "1" if checked(span, kind, d) else "0",

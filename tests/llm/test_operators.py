@@ -332,9 +332,45 @@ def planted(rng, k):
     return text, spans
 
 
-def test_spans_that_the_strict_rules_miss(spark):
+def drawn(rng, form):
+    """A form with 9 for any digit, 8 for one of 1 to 9, h for any hexadecimal sign."""
+    return "".join(rng.choice({"9": "0123456789", "8": "123456789", "h": "0123456789abcdef"}.get(c, c)) for c in form)
+
+
+def planted_abroad(rng, k):
+    """The same with forms of numbers as four countries write them, short addresses, and dates, times, counts and codes that are none."""
+    phones = {
+        "en": ["020 8999 9999", "0171 999 9999", "01632 999999", "(0161) 999 9999"], "fr": ["06 99 99 99 99", "01 82 99 99 99", "07-99-99-99-99"],
+        "de": ["030/8999999", "0171 8999999", "089-89999999", "040 / 899 99 99"], "es": ["689 999 999", "698 99 99 99", "98 899 99 99"],
+    }
+    prose = {"en": "the men walked along the quiet river again", "fr": "les hommes marchent encore le long de la rive", "de": "die leute gehen wieder am stillen fluss entlang", "es": "los hombres caminan otra vez por la orilla"}
+    said = {"en": ["call", "phone"], "fr": ["appeler", "tel"], "de": ["telefon", "anrufen"], "es": ["telefono", "llame"]}
+    decoys = ["2021-99-99", "89.99.2019", "10:89:59", "80 90 80 90 80", "hh:hh:hh:hh:hh:hh", "8.999.999", "89 of 999", "8999/9999/99", "8999 8999"]
+    lang = rng.choice(sorted(prose))
+    text, spans = "", []
+    for _ in range(rng.randrange(2, 6)):
+        text += prose[lang] + " "
+        which = rng.random()
+        if which < 0.45:
+            kind = rng.choice(["phone", "ip"])
+            before = rng.choice([*said[lang], ""] if kind == "phone" else ["server", "host", "ip", ""])
+            span = drawn(rng, rng.choice(phones[lang] if kind == "phone" else ["fe80::8hh:fe8h:8hhh:8hhh", "2001:db8::8h", "2001:db8:8h::8hhh:8", "2001:db8:8h:8:8hhh:8:8:8hhh"]))
+            text += f"{before} " if before else ""
+            spans.append(f"{kind}:{len(text)}:{len(text) + len(span)}")
+            text += span + rng.choice([" ", ". ", ", "])
+        elif which < 0.6:
+            text += drawn(rng, rng.choice(["+44 20 8999 9999", "+33 6 89 99 99 99", "192.168.8.89", "89.8.89.8"])) + " "
+        else:
+            text += drawn(rng, rng.choice(decoys)) + " "
+    return text, spans
+
+
+@pytest.mark.parametrize("make, kinds, weight", [(planted, pii.KINDS, 1), (planted_abroad, ("ip", "phone"), 1), (planted_abroad, ("ip", "phone"), 0.1)])
+def test_spans_that_the_strict_rules_miss(spark, monkeypatch, make, kinds, weight):
+    """Nine of ten hidden spans of each kind are found, and 95 of 100 found ones are hidden ones, for weaker beliefs beforehand too."""
+    monkeypatch.setattr(pii, "BEFOREHAND", {k: tuple(tuple(x * weight for x in c) for c in v) for k, v in pii.BEFOREHAND.items()})
     rng = random.Random(12)
-    made = [planted(rng, k) for k in range(600)]
+    made = [make(rng, k) for k in range(600)]
     out = pii.personal_data(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(made)], "doc_id long, text string").repartition(4)).collect()
     right, wanted, added = Counter(), Counter(), Counter()
     for r in out:
@@ -348,8 +384,8 @@ def test_spans_that_the_strict_rules_miss(spark):
             wanted[s.split(":")[0]] += 1
             right[s.split(":")[0]] += s in new
     print({k: (right[k], wanted[k], added[k]) for k in wanted})
-    assert all(right[k] >= 0.9 * wanted[k] and wanted[k] > 50 for k in pii.KINDS)
-    assert sum(right.values()) >= 0.95 * sum(added.values())
+    assert all(right[k] >= 0.9 * wanted[k] and wanted[k] > 50 for k in kinds)
+    assert all(right[k] >= 0.95 * added[k] for k in added)
 
 
 def test_estimates_by_brute_force():
