@@ -94,11 +94,14 @@ def asked_tiles(asked: DataFrame, report: DataFrame, grids: DataFrame, *keys: st
     return out.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def grid_audit(rasters: DataFrame, grids: DataFrame) -> DataFrame:
-    """Each raster's grid against the expected one: size, EPSG code and affine terms (within tolerance); missing is null."""
-    terms = lambda t: F.array(*(F.col(f"{t}.{c}") for c in "abcdef"))
+def grid_audit(rasters: DataFrame, grids: DataFrame, part: float = 1e-5) -> DataFrame:
+    """Each raster's grid against the expected one: size, EPSG code and affine terms; missing is null. Cell sizes agree within a tolerance,
+    origins within `part` of an expected cell. A tolerance relative to the coordinates would let a northing of 5,000 km be 50 m off."""
+    terms = lambda t: F.array(*(F.col(f"{t}.{c}") for c in "abde"))
     both = rasters.alias("r").join(grids.alias("g"), "grid_id", "left")
     same = (F.col("r.width") == F.col("g.width")) & (F.col("r.height") == F.col("g.height")) & (F.col("r.epsg") == F.col("g.epsg"))
+    for c, u, v in ("cab", "fde"):
+        same &= F.abs(F.col(f"r.{c}") - F.col(f"g.{c}")) <= (F.abs(f"g.{u}") + F.abs(f"g.{v}")) * part
     return both.select("grid_id", (same & allclose(terms("r"), terms("g"))).alias("matches"))
 
 

@@ -113,6 +113,16 @@ def test_vectors(spark):
         vectors.fused(F.col("a"), F.col("b"), "mean")
 
 
+def test_grid_audit_far_from_the_origin(spark):
+    """Half a cell, or a hundredth, is a shift wherever on the map; noise of computing is none, and another cell size is another grid."""
+    north, base = 5_000_000.0, (100, 90, 32632, 10.0, 0.0, 600_000.0, 0.0, -10.0)
+    kind = "grid_id int, width int, height int, epsg int, a double, b double, c double, d double, e double, f double"
+    grids = spark.createDataFrame([(k, *base, north) for k in range(6)], kind)
+    moved = [(0, *base, north + 1e-9), (1, *base, north + 5.0), (2, *base[:5], base[5] - 5.0, *base[6:], north), (3, *base, north - 0.1), (4, *base[:3], 10.01, *base[4:], north), (5, *base, north), (9, *base, north)]
+    got = dict(map(tuple, profile.grid_audit(spark.createDataFrame(moved, kind), grids).collect()))
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: False, 5: True, 9: None}
+
+
 def test_patches_and_windows(spark):
     p = grid.patch(F.col("y"), F.col("x"), 500, 1200, 1200)["patch"]
     assert values(spark, p, (20, 1100), schema="y int, x int") == ["1000_0_1200_500"]
