@@ -40,6 +40,7 @@ def union_mask(inside: DataFrame) -> DataFrame:
 
 LEVELS = (-20, 40)
 BOX = ("minx", "miny", "maxx", "maxy")
+CELL = ("at", "bx", "by")
 
 
 def box_level(bin_size: float) -> Column:
@@ -59,21 +60,38 @@ def box_cells(rows: DataFrame, bin_size: float, others: Sequence[int]) -> DataFr
     return rows
 
 
-def boxes_meeting(left: DataFrame, right: DataFrame, bin_size: float, left_id: str, right_id: str) -> DataFrame:
-    """Pairs of boxes (minx, miny, maxx, maxy) that overlap or touch, however different their sizes: a pair meets at the level of its larger
-    box, where either lies in four cells at most, and counts in the cell of its overlap's lower left corner only. The levels are few
-    (one for each power of two), so each box lists few cells."""
-    levels = [sorted(r[0] for r in rows.select(box_level(bin_size)).distinct().collect() if r[0] is not None) for rows in (left, right)]
+def _listed(left: DataFrame, right: DataFrame, bin_size: float) -> tuple[DataFrame, DataFrame, Column]:
+    """The distinct boxes of both sides by cell (at, bx, by), l_ and r_ before their columns, and the condition under which two in a cell meet.
+    The levels are few (one for each power of two), so each box lists few cells."""
+    sides = [rows.select(*BOX).dropna().distinct() for rows in (left, right)]
+    levels = [sorted(r[0] for r in rows.select(box_level(bin_size)).distinct().collect()) for rows in sides]
+    a, b = (
+        box_cells(rows, bin_size, others).select("at", "bx", "by", *(F.col(c).alias(f"{tag}_{c}") for c in (*BOX, "own")))
+        for rows, others, tag in zip(sides, levels[::-1], "lr")
+    )
+    return a, b, F.expr("at = greatest(l_own, r_own) and l_minx <= r_maxx and r_minx <= l_maxx and l_miny <= r_maxy and r_miny <= l_maxy")
+
+
+def _with_box(rows: DataFrame, tag: str, *columns: str) -> DataFrame:
+    return rows.select(*columns, *(F.col(c).alias(f"{tag}_{c}") for c in BOX))
 
-    def listed(rows: DataFrame, name: str, tag: str, others: Sequence[int]) -> DataFrame:
-        out = box_cells(rows.select(name, *BOX).dropna(subset=list(BOX)), bin_size, others)
-        return out.select(name, "at", "bx", "by", *(F.col(c).alias(f"{tag}_{c}") for c in (*BOX, "own")))
 
-    a, b = listed(left, left_id, "l", levels[1]), listed(right, right_id, "r", levels[0])
-    met = a.join(b, ["at", "bx", "by"]).where("at = greatest(l_own, r_own) and l_minx <= r_maxx and r_minx <= l_maxx and l_miny <= r_maxy and r_miny <= l_maxy")
+def _small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """rows, to be broadcast if there are not too many."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def boxes_meeting(left: DataFrame, right: DataFrame, bin_size: float, left_id: str, right_id: str) -> DataFrame:
+    """Pairs of boxes (minx, miny, maxx, maxy) that overlap or touch, however different their sizes: a pair meets at the level of its larger
+    box, where either lies in four cells at most, and counts in the cell of its overlap's lower left corner only. Rows with the same box are
+    tested once; the pairs of distinct boxes are then joined with the rows that have them, so the rest of the work is the pairs returned."""
+    a, b, meet = _listed(left, right, bin_size)
+    met = a.join(b, ["at", "bx", "by"]).where(meet)
     size = F.lit(bin_size) * F.pow(F.lit(2.0), F.col("at"))
     corner = (F.floor(F.greatest("l_minx", "r_minx") / size) == F.col("bx")) & (F.floor(F.greatest("l_miny", "r_miny") / size) == F.col("by"))
-    return met.where(corner).select(left_id, right_id)
+    met = _small(met.where(corner).select(*(f"{tag}_{c}" for tag in "lr" for c in BOX)))
+    rows = _with_box(left, "l", left_id).join(met, [f"l_{c}" for c in BOX])
+    return rows.join(_small(_with_box(right, "r", right_id)), [f"r_{c}" for c in BOX]).select(left_id, right_id)
 
 
 def bounds(rings: DataFrame, pixel: float, *keys: str) -> DataFrame:

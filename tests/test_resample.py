@@ -88,6 +88,17 @@ def test_boxes_of_any_size_meet(spark, seed) -> None:
     assert cells <= 4 and levels <= 61
 
 
+def test_rows_with_the_same_box_are_tested_once(spark) -> None:
+    """Every pair of their rows is there, with repeated ids, and none of a box with a missing side; the cells are joined by distinct boxes."""
+    schema = "double, ".join(["int, minx ", "miny ", "maxx ", "maxy double"])
+    left = [(k % 200, 0.0, 0.0, 2.0, 2.0) for k in range(300)] + [(900, 50.0, 50.0, 51.0, 51.0), (901, None, 0.0, 2.0, 2.0), (902, 1.0, 1.0, float("nan"), 2.0)]
+    right = [(k, 1.0, -0.0, 3.0, 9.0) for k in range(100)] + [(800, -1.0, 1.0, 0.0, 1.0), (801, 4.0, None, 5.0, 5.0)]
+    a, b = (spark.createDataFrame(rows, f"{name} {schema}") for rows, name in ((left, "l"), (right, "r")))
+    pairs = vector.boxes_meeting(a, b, 5.0, "l", "r")
+    assert sorted(map(tuple, pairs.collect())) == sorted((i, j) for i in [k % 200 for k in range(300)] for j in [*range(100), 800])
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [minx") == 2
+
+
 def test_centroid_of_a_union_that_overlaps(spark) -> None:
     """Against a fine raster: squares that overlap, one inside another, one with a hole, one apart, and a triangle across them."""
     square = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
