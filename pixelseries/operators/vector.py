@@ -175,10 +175,13 @@ def convex_hulls(points: DataFrame, key: str, part_rows: int = 50_000) -> DataFr
     return dealt.groupBy(key, "part").applyInArrow(run, schema).groupBy(key).applyInArrow(run, schema)
 
 
-def meets_any(windows_: DataFrame, rings: DataFrame, bin_size: float, window_id: str) -> DataFrame:
-    """Windows (with their boxes) whose box meets that of some feature: the test before any exact one."""
-    boxes = bounds(rings, 1.0, "feature_id")
-    return windows_.join(boxes_meeting(windows_, boxes, bin_size, window_id, "feature_id").select(window_id).distinct(), window_id, "left_semi")
+def meets_any(windows_: DataFrame, rings: DataFrame, bin_size: float) -> DataFrame:
+    """Windows (with their boxes) whose box meets that of some feature: the test before any exact one. No pairs are made: a distinct box looks
+    in its cells for the first that it meets."""
+    a, b, meet = _listed(windows_, bounds(rings, 1.0, "feature_id"), bin_size)
+    met = a.join(b.withColumnsRenamed({c: f"r_{c}" for c in CELL}), F.expr(" and ".join(f"{c} = r_{c}" for c in CELL)) & meet, "left_semi")
+    found = met.select(*(F.col(f"l_{c}").alias(c) for c in BOX)).distinct()
+    return windows_.join(found, list(BOX), "left_semi").select(*windows_.columns)
 
 
 def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:

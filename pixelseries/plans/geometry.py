@@ -170,7 +170,7 @@ def union_mask(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_id FROM scenes WHERE EXISTS (SELECT 1 FROM (SELECT feature_id, min(vx) AS x0, min(vy) AS y0, max(vx) AS x1, max(vy) AS y1 FROM rings GROUP BY feature_id) WHERE minx <= x1 AND x0 <= maxx AND miny <= y1 AND y0 <= maxy)", "scenes", "rings")
 def meets_any(s: SparkSession, d: str) -> DataFrame:
-    return vector.meets_any(V.scenes(s, d), V.rings(s, d), 5.0, "item_id").select("item_id")
+    return vector.meets_any(V.scenes(s, d), V.rings(s, d), 5.0).select("item_id")
 
 
 @query("SELECT item_id FROM scenes WHERE (minx + maxx) / 2 BETWEEN -20 AND 20 AND (miny + maxy) / 2 BETWEEN -10 AND 30", "scenes")

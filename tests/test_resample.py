@@ -99,6 +99,15 @@ def test_rows_with_the_same_box_are_tested_once(spark) -> None:
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [minx") == 2
 
 
+def test_windows_that_meet_any_make_no_pairs(spark) -> None:
+    windows = spark.createDataFrame([(k, float(k % 3) * 20, 0.0, float(k % 3) * 20 + 2, 2.0) for k in range(300)], "w int, minx double, miny double, maxx double, maxy double")
+    corners = [(0.5, 0.5), (1.5, 0.5), (1.5, 1.5)]
+    rings = spark.createDataFrame([(f, 0, k, x + 20 * (f % 2) * 2, y) for f in range(200) for k, (x, y) in enumerate(corners)], "feature_id int, ring_id int, seq int, vx double, vy double")
+    met = vector.meets_any(windows, rings, 5.0)
+    assert sorted(r.w for r in met.collect()) == [k for k in range(300) if k % 3 != 1]
+    assert met.columns == windows.columns and "Join Inner" not in met._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_centroid_of_a_union_that_overlaps(spark) -> None:
     """Against a fine raster: squares that overlap, one inside another, one with a hole, one apart, and a triangle across them."""
     square = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
