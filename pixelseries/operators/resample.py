@@ -41,13 +41,21 @@ def moved(rows: DataFrame, east: Column, north: Column, zone: Column, south: Col
     return rows.withColumns({"__e": F.when(same, F.col("__e0")).otherwise(e), "__n": F.when(same, F.col("__n0")).otherwise(n)}).drop("__e0", "__n0", "__lon", "__lat")
 
 
+def parts(items: DataFrame, target: Grid, cells: int = 50_000) -> int:
+    """Partitions of about `cells` target cells, by the sizes of the items: their table is small, what comes of it is not."""
+    seen = lambda a, n, b, most: F.least(F.abs(F.col(a)) * F.col(n) / abs(b) + 4, F.lit(float(most)))
+    n = items.agg(F.sum(seen("a", "width", target.a, target.width) * seen("e", "height", target.e, target.height) + 84)).first()[0]
+    return min(20_000, 1 + int((n or 0) / cells))
+
+
 def target_windows(items: DataFrame, target: Grid, steps: int = 20) -> DataFrame:
     """items with the window of target cells, x0 to x1 and y0 to y1, that can see them: the bounds of steps + 1 points a side, a cell wider,
     clipped to the target. Items that cannot be seen are left out."""
     at = F.col("__k") / F.lit(float(steps))
     w, h = F.col("a") * F.col("width"), F.col("e") * F.col("height")
     sides = F.array(*(F.struct((F.col("c") + u * w).alias("e"), (F.col("f") + v * h).alias("n")) for u, v in ((at, F.lit(0.0)), (at, F.lit(1.0)), (F.lit(0.0), at), (F.lit(1.0), at))))
-    rows = items.select("item_id", "a", "c", "e", "f", "width", "height", "zone", "south", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("__k"))
+    rows = items.select("item_id", "a", "c", "e", "f", "width", "height", "zone", "south").repartition(parts(items, target), "item_id")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("__k"))
     points = rows.select("item_id", "zone", "south", F.explode(sides).alias("p"))
     points = moved(points, F.col("p.e"), F.col("p.n"), F.col("zone"), F.col("south"), F.lit(target.zone), F.lit(target.south))
     seen = points.select("item_id", cell(F.col("__e"), F.lit(target.c), F.lit(target.a)).alias("x"), cell(F.col("__n"), F.lit(target.f), F.lit(target.e)).alias("y"))
@@ -59,8 +67,9 @@ def target_windows(items: DataFrame, target: Grid, steps: int = 20) -> DataFrame
 
 def source_cells(items: DataFrame, target: Grid) -> DataFrame:
     """(item_id, y, x, sy, sx): the target cells near an item, each with the place in its grid where the centre falls, inside or just outside.
-    A filter on that place would be pushed below the projections and repeat them; the join with the cells that exist does without."""
-    rows = target_windows(items, target).select("*", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
+    A filter on that place would be pushed below the projections and repeat them; the join with the cells that exist does without. Rows of cells are dealt before they are made,
+    as the items' own few partitions would have all the projections."""
+    rows = target_windows(items, target).select("*", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")).repartition(parts(items, target), "item_id", "y")
     rows = rows.select("*", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
     east, north = target.c + (F.col("x") + 0.5) * target.a, target.f + (F.col("y") + 0.5) * target.e
     rows = moved(rows, east, north, F.lit(target.zone), F.lit(target.south), F.col("zone"), F.col("south"))

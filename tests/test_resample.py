@@ -66,6 +66,18 @@ def test_templates(spark) -> None:
     assert got[1].west == pytest.approx(9.0) and 45.1 < got[1].south < got[1].north < 45.2 and got[2].north < 0
 
 
+def test_the_cells_of_items_in_one_partition_are_dealt(spark) -> None:
+    """A table of items is a small file; the work that comes of it is not one task's, and grows by partitions."""
+    kind = "item_id int, a double, c double, e double, f double, width int, height int, zone int, south boolean"
+    target = resample.Grid(10.0, 300000.0, -10.0, 5000000.0, 1000, 1000, 32)
+    for n in (2, 4):
+        items = spark.createDataFrame([(k, 20.0, 300000.0, -20.0, 5000000.0, 200, 200, 32, False) for k in range(n)], kind).coalesce(1)
+        cells = resample.source_cells(items, target)
+        assert cells.rdd.getNumPartitions() == resample.parts(items, target) >= 3 * n
+        sizes = cells.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+        assert sizes[1] == n * 402 * 402 and sizes[0] < sizes[1] / n
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_boxes_of_any_size_meet(spark, seed) -> None:
     rnd = random.Random(seed)
