@@ -103,9 +103,10 @@ def splits_written(s: SparkSession, d: str) -> DataFrame:
 def ledger_resumed(s: SparkSession, d: str) -> DataFrame:
     """A second run into the same table writes only the tiles that are not there, whole and with rows that pass the audit."""
     path, t = place(s, "results"), V.tiles(s, d).select("tile_id", "nr")
+    packs = 1 + t.count() // 1000  # tiles are many and of a row each
     runs = {"before": t.where("nr % 3 = 0"), "now": t.where("nr % 3 = 0 OR nr % 2 = 0")}
     for run, todo in runs.items():
-        commits.write_missing(todo.withColumn("run", F.lit(run)), path, ["tile_id"], lambda rows: rows.where("nr IS NOT NULL"))
+        commits.write_missing(todo.withColumn("run", F.lit(run)), path, ["tile_id"], lambda rows: rows.where("nr IS NOT NULL"), packs)
     return commits.read(s, path, ["tile_id"]).select("tile_id", "run")
 
 

@@ -6,7 +6,8 @@ writes show nothing and a rerun replaces what it repeats. What is published can
 read, hold as many rows as were counted with the same digest, and pass an audit of the caller's. write_missing writes just the outputs
 that are not valid, so a run resumes where it stopped and mends what was damaged.
 
-    root/data/write=<id>/<keys>/...      files of a write
+    root/data/write=<id>/<keys>/...      files of a write, a folder for each output
+    root/packs/write=<id>/__pack=<n>/... the same of many small outputs, which share folders and files
     root/manifest/write=<id>/...         its outputs: keys, rows, digest, folder, version
     root/schema/write=<id>/...           an empty table with the columns of the write
 
@@ -55,11 +56,16 @@ def _schema(spark: SparkSession, root: str, write: str) -> StructType:
     return spark.read.parquet(f"{root}/schema/write={write}").schema
 
 
-def write(rows: DataFrame, root: str, keys: Sequence[str]) -> DataFrame:
-    """Stages and publishes rows; the outputs that they have replace earlier ones. Returns what was published. Keys must not be null."""
+def write(rows: DataFrame, root: str, keys: Sequence[str], packs: int | None = None) -> DataFrame:
+    """Stages and publishes rows; the outputs that they have replace earlier ones. Returns what was published. Keys must not be null.
+    With packs the outputs are dealt into that many folders by a hash of their keys: a folder for each of very many small outputs
+    costs more than its rows. A damaged file then hurts all outputs that it holds."""
     spark, turn = rows.sparkSession, uuid.uuid4().hex
-    staged = f"{root}/data/write={turn}"
-    rows.write.partitionBy(*keys).parquet(staged)
+    staged = f"{root}/{'data' if packs is None else 'packs'}/write={turn}"
+    if packs is None:
+        rows.write.partitionBy(*keys).parquet(staged)
+    else:
+        rows.withColumn("__pack", F.pmod(F.xxhash64(*keys), F.lit(packs))).repartition(packs, "__pack").write.partitionBy("__pack").parquet(staged)
     before = _read(spark, f"{root}/manifest")
     version = (before.agg(F.max("version")).first()[0] or 0) + 1 if before is not None else 1
     spark.createDataFrame([], rows.schema).coalesce(1).write.parquet(f"{root}/schema/write={turn}")
@@ -68,7 +74,7 @@ def write(rows: DataFrame, root: str, keys: Sequence[str]) -> DataFrame:
     # the folder as a name, not as a part of an address, in which blanks and the like are encoded
     folder = F.url_decode(F.replace(F.regexp_extract("_metadata.file_path", "(write=.*)/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
     folders = back.select(*keys, folder.alias("folder")).groupBy(*keys).agg(F.min("folder").alias("folder"))
-    made = _digests(back, keys).join(folders, list(keys)).withColumn("version", F.lit(version).cast("long"))
+    made = _digests(back.select(*rows.columns), keys).join(folders, list(keys)).withColumn("version", F.lit(version).cast("long"))
     made = made.select(*(F.col(t.name).cast(t.dataType) for t in types), "rows", "digest", "folder", "version")
     made.coalesce(1).write.parquet(f"{root}/manifest/write={turn}")  # one file: its rename is the commit
     return spark.read.parquet(f"{root}/manifest/write={turn}")
@@ -79,14 +85,24 @@ def read(spark: SparkSession, root: str, keys: Sequence[str], whole_only: bool =
     than Spark's own list of the files. With whole_only a file or folder that cannot be read is an error, else its rows are missing; as
     folders may be gone, all are then listed and those that do not count sorted out by a join."""
     last = outputs(spark, root, keys)
-    found = [] if last is None else last.select("folder", "version", "write").orderBy("folder").collect()
+    found = [] if last is None else last.select("folder", "version", "write").distinct().orderBy("folder").collect()
     if not found:
         raise FileNotFoundError(f"nothing is published in {root}")
     schema = _schema(spark, root, max((r["version"], r["write"]) for r in found)[1])
-    if whole_only:
-        return spark.read.option("basePath", f"{root}/data").schema(schema).parquet(*(f"{root}/data/{r['folder']}" for r in found)).select(*schema.names)
-    every = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").schema(StructType([*schema.fields]).add("write", "string"))
-    return every.parquet(f"{root}/data").join(last.select(*keys, "write"), [*keys, "write"], "left_semi").select(*schema.names)
+    marked = StructType([*schema.fields]).add("write", "string")
+    single, packed = ([r["folder"] for r in found if ("/__pack=" in r["folder"]) == many] for many in (False, True))
+    current = lambda rows: rows.join(last.select(*keys, "write"), [*keys, "write"], "left_semi").select(*schema.names)
+    lenient = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").schema(marked)
+    out = []
+    if single and whole_only:
+        out.append(spark.read.option("basePath", f"{root}/data").schema(schema).parquet(*(f"{root}/data/{f}" for f in single)).select(*schema.names))
+    elif single:
+        out.append(current(lenient.parquet(f"{root}/data")))
+    if packed and whole_only:  # a folder may hold outputs that were replaced since
+        out.append(current(spark.read.option("basePath", f"{root}/packs").schema(marked).parquet(*(f"{root}/packs/{f}" for f in packed))))
+    elif packed:
+        out.append(current(lenient.parquet(f"{root}/packs")))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def valid(spark: SparkSession, root: str, keys: Sequence[str], audit: Audit | None = None) -> DataFrame | None:
@@ -100,11 +116,11 @@ def valid(spark: SparkSession, root: str, keys: Sequence[str], audit: Audit | No
     return same if audit is None else same.join(audit(rows).select(*keys).distinct(), list(keys), "left_semi")
 
 
-def write_missing(rows: DataFrame, root: str, keys: Sequence[str], audit: Audit | None = None) -> DataFrame | None:
+def write_missing(rows: DataFrame, root: str, keys: Sequence[str], audit: Audit | None = None, packs: int | None = None) -> DataFrame | None:
     """Writes the outputs that are not valid. Returns what was published, None if nothing had to be."""
     done = valid(rows.sparkSession, root, keys, audit)
     todo = rows if done is None else rows.join(done, list(keys), "left_anti")
-    return None if done is not None and todo.isEmpty() else write(todo, root, keys)
+    return None if done is not None and todo.isEmpty() else write(todo, root, keys, packs)
 
 
 def superseded(spark: SparkSession, root: str, keys: Sequence[str]) -> list[str]:
@@ -112,5 +128,5 @@ def superseded(spark: SparkSession, root: str, keys: Sequence[str]) -> list[str]
     last, every = outputs(spark, root, keys), _read(spark, f"{root}/manifest")
     if last is None or every is None:
         return []
-    old = every.select("write").distinct().join(last.select("write").distinct(), "write", "left_anti")
-    return [f"{root}/{part}/write={r['write']}" for r in old.orderBy("write").collect() for part in ("manifest", "data", "schema")]
+    old = every.groupBy("write").agg(F.max(F.when(F.col("folder").contains("/__pack="), "packs").otherwise("data")).alias("data")).join(last.select("write").distinct(), "write", "left_anti")
+    return [f"{root}/{part}/write={r['write']}" for r in old.orderBy("write").collect() for part in ("manifest", r["data"], "schema")]

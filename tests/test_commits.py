@@ -105,3 +105,22 @@ def test_old_writes_are_named_for_deletion(spark, tmp_path) -> None:
     commits.write(rows_of(spark, "c"), root, KEYS)
     gone = commits.superseded(spark, root, KEYS)
     assert len(gone) == 3 and all(os.path.isdir(p) for p in gone)
+
+
+def test_many_small_outputs_share_folders(spark, tmp_path) -> None:
+    """Packed outputs resume, are replaced one by one and mended like others, also beside outputs with folders of their own."""
+    root, many = str(tmp_path), [f"t {k}+%" for k in range(60)]
+    commits.write(rows_of(spark, many), root, KEYS, packs=3)
+    assert len(glob.glob(f"{root}/packs/write=*/__pack=*")) == 3 and not os.path.exists(f"{root}/data")
+    assert table(commits.read(spark, root, KEYS)) == table(rows_of(spark, many)) and commits.valid(spark, root, KEYS).count() == 120
+    assert commits.write_missing(rows_of(spark, many), root, KEYS, packs=3) is None
+    commits.write(rows_of(spark, many[:1], 100), root, KEYS, packs=3)
+    commits.write(rows_of(spark, "b"), root, KEYS)
+    want = table(rows_of(spark, many[:1], 100).union(rows_of(spark, [*many[1:], "b"])))
+    assert table(commits.read(spark, root, KEYS)) == want == table(commits.read(spark, root, KEYS, whole_only=False))
+    hurt = sorted(glob.glob(f"{root}/packs/write=*/__pack=0/*.parquet"), key=os.path.getsize)[-1]
+    os.remove(hurt)
+    good = commits.valid(spark, root, KEYS).count()
+    assert 60 < good < 122
+    mended = commits.write_missing(rows_of(spark, many[:1], 100).union(rows_of(spark, [*many[1:], "b"])), root, KEYS, packs=3)
+    assert mended.count() == 122 - good and table(commits.read(spark, root, KEYS)) == want and commits.valid(spark, root, KEYS).count() == 122
