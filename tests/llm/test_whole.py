@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 from brute import brute_groups
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,39 @@ def test_near_copies_by_brute_force(spark):
         assert r["doc_id"] == rows[roots.index(group[r["text"] or ""])][0]
 
 
+def test_long_texts_with_a_common_passage_are_no_candidates(spark, monkeypatch):
+    """Parity maps of their size tell nothing, and the sample does not show that the passage is common: only its count over all texts does."""
+    rng = random.Random(7)
+    passage = [f"p{k}" for k in range(600)]
+    rows = [(k, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(1400)]), "a") for k in range(40)]
+    rows += [(100, rows[3][1] + " end", "a"), (101, rows[5][1].replace("p9 ", "q9 "), "a")]
+    monkeypatch.setattr(neardup, "SAMPLE_DOCS", 1)
+    tested, confirmed = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, *rest: tested.append(pairs.count()) or confirmed(pairs, *rest))
+    out = neardup.without_near_copies(frame(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(40))
+    assert sum(tested) <= 20
+
+
+def test_openings_are_the_first_shingles_by_their_counts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(6)}" for _ in range(rng.randrange(0, 60))) for _ in range(60)]
+    texts += [t + " x" for t in texts[:20]]
+    sets = [neardup.shingle_set(t, 2).view("int64").tolist() for t in texts]
+    counts = Counter(h for s in sets for h in s)
+    common = sorted(counts, key=lambda h: h % 2**64)[::7]
+    places = [counts[h] for h in common]
+    place = dict(zip(common, places))
+    want = set()
+    for k, s in enumerate(sets):
+        order = sorted(s, key=lambda h: (h in place, place.get(h, 0), h % 2**64) if h in place else (False, counts[h], h))
+        first = order[: neardup.opening(len(s))]
+        want |= {(h, k, len(s), i) for i, h in enumerate(first) if h in place or counts[h] > 1}
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = neardup._openings(rows, 2, neardup.SIMILARITY, np.array(common, np.int64).view(np.uint64), np.array(places))
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_pipeline_drops_near_copies(spark, small):
     import corpus_pipeline
 
