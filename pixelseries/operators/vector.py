@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from collections.abc import Sequence
 
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelseries.sources.lists import edges
+from pixelseries.streaming.arrivals import work_folder
 
 
 def crossings(rings: DataFrame, rows: DataFrame) -> DataFrame:
@@ -61,12 +64,12 @@ def box_cells(rows: DataFrame, bin_size: float, others: Sequence[int]) -> DataFr
 
 
 def _listed(left: DataFrame, right: DataFrame, bin_size: float) -> tuple[DataFrame, DataFrame, Column]:
-    """The distinct boxes of both sides by cell (at, bx, by), l_ and r_ before their columns, and the condition under which two in a cell meet.
-    The levels are few (one for each power of two), so each box lists few cells."""
-    sides = [rows.select(*BOX).dropna().distinct() for rows in (left, right)]
+    """The distinct boxes of both sides by cell (at, bx, by) with n, how many rows have them, l_ and r_ before their columns, and the condition
+    under which two in a cell meet. The levels are few (one for each power of two), so each box lists few cells."""
+    sides = [rows.select(*BOX).dropna().groupBy(*BOX).agg(F.count("*").alias("n")) for rows in (left, right)]
     levels = [sorted(r[0] for r in rows.select(box_level(bin_size)).distinct().collect()) for rows in sides]
     a, b = (
-        box_cells(rows, bin_size, others).select("at", "bx", "by", *(F.col(c).alias(f"{tag}_{c}") for c in (*BOX, "own")))
+        box_cells(rows, bin_size, others).select("at", "bx", "by", *(F.col(c).alias(f"{tag}_{c}") for c in (*BOX, "own", "n")))
         for rows, others, tag in zip(sides, levels[::-1], "lr")
     )
     return a, b, F.expr("at = greatest(l_own, r_own) and l_minx <= r_maxx and r_minx <= l_maxx and l_miny <= r_maxy and r_miny <= l_maxy")
@@ -81,17 +84,47 @@ def _small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+#: Pairs in a task, and of a block of left rows; the ids in such a block, at least and at most; the ids of a slice of a right box's rows.
+TASK_PAIRS, BLOCK_PAIRS = 32_000_000, 4_000_000
+BLOCK_IDS = (64, 256)
+SLICE_IDS = 128
+
+
 def boxes_meeting(left: DataFrame, right: DataFrame, bin_size: float, left_id: str, right_id: str) -> DataFrame:
     """Pairs of boxes (minx, miny, maxx, maxy) that overlap or touch, however different their sizes: a pair meets at the level of its larger
     box, where either lies in four cells at most, and counts in the cell of its overlap's lower left corner only. Rows with the same box are
-    tested once; the pairs of distinct boxes are then joined with the rows that have them, so the rest of the work is the pairs returned."""
+    tested once; the pairs of distinct boxes are then joined with the rows that have them, so the rest of the work is the pairs returned.
+    Those come by blocks: ids of left rows with the same box, times a slice of the ids that they meet. The left id repeats for a slice's
+    length and the slice for each left id, so that formats with runs and dictionaries store a pair in a few bits; and blocks have about as
+    many pairs each, so that tasks have too. A task sorts its blocks with their slices before it unfolds them: without that stop Spark's
+    generated code would hold all pairs of a block at once."""
     a, b, meet = _listed(left, right, bin_size)
-    met = a.join(b, ["at", "bx", "by"]).where(meet)
     size = F.lit(bin_size) * F.pow(F.lit(2.0), F.col("at"))
     corner = (F.floor(F.greatest("l_minx", "r_minx") / size) == F.col("bx")) & (F.floor(F.greatest("l_miny", "r_miny") / size) == F.col("by"))
-    met = _small(met.where(corner).select(*(f"{tag}_{c}" for tag in "lr" for c in BOX)))
-    rows = _with_box(left, "l", left_id).join(met, [f"l_{c}" for c in BOX])
-    return rows.join(_small(_with_box(right, "r", right_id)), [f"r_{c}" for c in BOX]).select(left_id, right_id)
+    l_box, r_box = ([f"{tag}_{c}" for c in BOX] for tag in "lr")
+    met = a.join(b, list(CELL)).where(meet & corner).select(*l_box, *r_box, "l_n", "r_n")
+    spark, path = left.sparkSession, f"{work_folder(left.sparkSession)}/boxes-{uuid.uuid4().hex}"
+    met.groupBy(*l_box).agg(F.max("l_n").alias("l_n"), F.sum("r_n").alias("meets"), F.count("*").alias("boxes")).write.parquet(path)
+    found = spark.read.parquet(path)
+    pairs, boxes = (n or 0 for n in found.agg(F.sum(F.col("l_n").cast("double") * F.col("meets")), F.sum("boxes")).first())
+    parts = int(max(pairs // TASK_PAIRS, min(pairs // (TASK_PAIRS // 16), 2 * spark.sparkContext.defaultParallelism))) + 1
+    ids = F.least(F.greatest(F.lit(BLOCK_PAIRS) / F.col("meets"), F.lit(BLOCK_IDS[0])), F.lit(BLOCK_IDS[1]))
+    rows = _with_box(left, "l", left_id).join(_small(found), l_box)
+    blocks = _ids(rows.withColumn("block", F.pmod(F.xxhash64(left_id), F.ceil(F.col("l_n") / ids))), left_id, "block", *l_box)
+    blocks = blocks.repartitionByRange(parts, *l_box, "block").withColumnRenamed("ids", "l_ids")
+    most, n = 1_000_000, right.count()
+    others = _with_box(right.dropna(subset=list(BOX)), "r", right_id).withColumn("block", F.pmod(F.xxhash64(right_id), F.lit(n // most + 1)))
+    at = F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / SLICE_IDS).cast("int"))
+    slices = _ids(others, right_id, "block", *r_box).select(*r_box, F.explode(F.transform(at, lambda k: F.slice("ids", k * SLICE_IDS + 1, SLICE_IDS))).alias("r_ids"))
+    met = met.select(*l_box, *r_box)
+    both = blocks.join(F.broadcast(met) if boxes <= most else met, l_box).join(F.broadcast(slices) if n <= most else slices, r_box)
+    both = both.sortWithinPartitions(*l_box, "block")
+    return both.select(F.explode("l_ids").alias(left_id), "r_ids").select(left_id, F.explode("r_ids").alias(right_id))
+
+
+def _ids(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+    """keys and ids, the list of name, with those that are null, which a list of bare values leaves out."""
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct(F.col(name).alias("id"))).alias("ids")).withColumn("ids", F.col("ids.id"))
 
 
 def bounds(rings: DataFrame, pixel: float, *keys: str) -> DataFrame:

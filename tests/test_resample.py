@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -111,6 +112,35 @@ def test_rows_with_the_same_box_are_tested_once(spark) -> None:
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [minx") == 2
 
 
+def test_pairs_of_boxes_store_in_few_bits(spark, tmp_path) -> None:
+    """Six million pairs of rows with the same boxes, of one file each: whole, dealt over tasks, and written in under 3 bits a pair. No task holds
+    the pairs of a block, as the blocks are sorted between the joins and the lists that are unfolded."""
+    schema = "bigint, minx double, miny double, maxx double, maxy double"
+    left = spark.range(2000).selectExpr("id * 7919 % 100003 as l", "0D as minx", "0D as miny", "2D as maxx", "2D as maxy").coalesce(1)
+    right = spark.range(3000).selectExpr("id * 7907 % 100003 as r", "1D as minx", "1D as miny", "3D as maxx", "3D as maxy").coalesce(1)
+    far = [spark.createDataFrame([(900_000 + k, 50.0 * k, 50.0, 50.0 * k + 1, 51.0)], f"{name} {schema}") for k, name in ((1, "l"), (2, "r"))]
+    pairs = vector.boxes_meeting(left.union(far[0]), right.union(far[1]), 5.0, "l", "r")
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.count() == got.distinct().count() == 6_000_000
+    assert got.select("l").distinct().join(left, "l", "left_semi").count() == 2000 and got.select("r").distinct().join(right, "r", "left_semi").count() == 3000
+    files = list(tmp_path.joinpath("pairs").glob("part-*.parquet"))
+    assert sum(f.stat().st_size for f in files) * 8 < 6_000_000 * 3
+    most = pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert len(files) > 2 and most < 6_000_000 * 0.6
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(r_ids") < plan.index("Generate explode(l_ids") < plan.index("Sort [") < plan.index("Join Inner")
+
+
+def test_pairs_of_boxes_keep_rows_without_an_id(spark) -> None:
+    schema = "minx double, miny double, maxx double, maxy double"
+    box = (0.0, 0.0, 1.0, 1.0)
+    a, b = spark.createDataFrame([(None, *box), ("x", *box), ("x", *box)], f"l string, {schema}"), spark.createDataFrame([(None, *box), (5, *box)], f"r int, {schema}")
+    assert Counter(map(tuple, vector.boxes_meeting(a, b, 5.0, "l", "r").collect())) == {(None, None): 1, (None, 5): 1, ("x", None): 2, ("x", 5): 2}
+    for l, r in ((a.limit(0), b), (a, b.limit(0)), (a.limit(0), b.limit(0))):
+        assert vector.boxes_meeting(l, r, 5.0, "l", "r").count() == 0
+
+
 def test_windows_that_meet_any_make_no_pairs(spark) -> None:
     windows = spark.createDataFrame([(k, float(k % 3) * 20, 0.0, float(k % 3) * 20 + 2, 2.0) for k in range(300)], "w int, minx double, miny double, maxx double, maxy double")
     corners = [(0.5, 0.5), (1.5, 0.5), (1.5, 1.5)]
